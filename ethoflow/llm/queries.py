@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethoflow.llm import bpe, decontaminate, feistel, line_dedup, quality_crf, simhash, topk_bsi, url_filter
+from ethoflow.llm import bpe, decontaminate, feistel, line_dedup, ngram_lm, quality_crf, simhash, substring_dedup, topk_bsi, url_filter
 from ethoflow.llm._common import OWN, crc_of_id, table
 
 THRESHOLD = 0.7
@@ -44,6 +44,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_crf.train(docs, table(spark, sf_dir, "labels"), crc_of_id() % 4 != 2)
@@ -51,6 +55,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = ngram_lm.train(docs, crc_of_id() % 5 != 1)
+    scored = ngram_lm.score(docs, model)
+    return scored.select("doc_id", (crc_of_id() % 5 == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
@@ -69,7 +80,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_decontaminate, op3_bpe, op4_simhash, op6_quality, op8_line_dedup, op9_url_filter, op10_shards)}
+    return {f.__name__: f for f in (op1_topk, op2_decontaminate, op3_bpe, op4_simhash, op5_passages, op6_quality, op7_ngram_lm, op8_line_dedup, op9_url_filter, op10_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
