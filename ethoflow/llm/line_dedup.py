@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ethoflow.llm._common import OWN
+from ethoflow.llm._common import OWN, Scratch
 
 #: Lines under the rolling hash.
 WINDOW = 2
@@ -64,7 +64,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     place = F.struct("id", "version", "start")
     many = chunks(docs, id_col, text_col).where("n_lines >= 2").withColumn("hash", F.xxhash64("chunk"))
     firsts = many.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("hash", "first")
-    some = many.join(firsts, "hash").withColumn("is_first", place.eqNullSafe(F.col("first")))
+    some = many.join(firsts, "hash").withColumn("is_first", place.eqNullSafe(F.col("first"))).drop("first")
+    some = Scratch(docs.sparkSession, "line-dedup").keep(some, "repeated")  # a small part of the text; read twice
     source = some.where("is_first").select("hash", F.col("chunk").alias("source")).distinct()
     return some.where("not is_first").join(source, "hash").where("chunk = source").select("id", "version", "start", "n_lines").distinct()
 
