@@ -15,3 +15,16 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function of (spark, sf_dir) under its name."""
+
+    def add(run: Callable) -> Callable:
+        QUERIES[run.__name__] = Query(run, sql)
+        return run
+
+    return add
+
+
+from ethoflow.plans import frames, report  # noqa: E402, F401  they fill QUERIES
