@@ -59,21 +59,27 @@ def binomial_quantile(q: float, n: int, p: float) -> int:
     return n
 
 
-def preferred(probs: DataFrame, alpha: float = 0.05, two_sided: bool = False) -> DataFrame:
-    """Edges against the a-priori level: interval, verdict, p-value and its false-discovery correction.
-
-    The verdict is ``above``, ``below`` or ``within`` by the binomial interval of
-    the edge's share around the share of its target in all transitions, with
-    ``(significant)`` after a corrected p under alpha.
+def preferred(counts: DataFrame, alpha: float = 0.05, two_sided: bool = False) -> DataFrame:
+    """All cells of the transition matrix against the a-priori level of their origin.
+
+    counts: from ``transitions``.  The verdict is ``above``, ``below`` or
+    ``within`` by the binomial interval of the cell's probability, with
+    ``(significant)`` if the corrected p is under alpha; ``N/A`` on the diagonal.
+    Cells without transitions, the diagonal among them, take part in the
+    correction; rows without any have no p.  The default p is the lower tail.
     """
-    level = probs.groupBy("from_label").agg(F.first("apriori").alias("level")).select(F.col("from_label").alias("to_label"), "level")
-    rows = probs.join(F.broadcast(level), "to_label", "left").withColumn("level", F.coalesce("level", F.lit(0.0)))
+    off = counts.where("from_label <> to_label")
+    states = off.select(F.explode(F.array("from_label", "to_label")).alias("to_label")).distinct()
+    rows = states.select(F.col("to_label").alias("from_label")).crossJoin(F.broadcast(states)).join(off, ["from_label", "to_label"], "left").na.fill(0, ["n"])  # a row for each pair of labels
+    total = rows.groupBy("from_label").agg(F.sum("n").alias("row_total"))
+    rows = rows.join(F.broadcast(total), "from_label").crossJoin(F.broadcast(off.agg(F.sum("n").alias("all_n"))))
+    rows = rows.withColumns({"probability": F.coalesce(F.try_divide("n", "row_total"), F.lit(0.0)), "level": F.coalesce(F.try_divide("row_total", "all_n"), F.lit(0.0))}).drop("all_n")
 
     @F.udf("struct<low:double,high:double,p_value:double>")
     def exact(n: int, total: int, share: float, level: float):  # at most one row for each pair of labels
         low, high = (binomial_quantile(q, total, share) / total if total else 0.0 for q in (0.025, 0.975))
-        p = binomial_cdf(n, total, level)
-        if two_sided:
+        p = binomial_cdf(n, total, level) if total else None
+        if two_sided and total:
             p = min(1.0, 2 * min(p, 1 - binomial_cdf(n - 1, total, level)))
         return low, high, p
 
@@ -81,8 +87,9 @@ def preferred(probs: DataFrame, alpha: float = 0.05, two_sided: bool = False) ->
     from ethoflow.operators.stats import false_discovery
 
     rows = false_discovery(rows, "p_value", "p_adjusted", ())
-    verdict = F.when(F.col("low") > F.col("level"), "above").when(F.col("high") < F.col("level"), "below").otherwise("within")
-    return rows.withColumn("verdict", F.concat(verdict, F.when(F.col("p_adjusted") < alpha, " (significant)").otherwise("")))
+    verdict = F.when(F.col("high") < F.col("level"), "below").when(F.col("low") > F.col("level"), "above").otherwise("within")
+    marked = F.concat(verdict, F.when(F.col("p_adjusted") < alpha, " (significant)").otherwise(""))
+    return rows.withColumn("verdict", F.when(F.col("from_label") == F.col("to_label"), "N/A").otherwise(marked))
 
 
 def motifs(df: DataFrame, n: int, keys: Sequence[str] = ("trial_id",), label: str = "label", order: str = "frame_number", labels: Sequence[int] | None = None, distinct: bool = True) -> DataFrame:

@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 def false_discovery(df: DataFrame, p: str = "p", out: str = "p_adj", keys: Sequence[str] = ("cluster",)) -> DataFrame:
     """Benjamini-Hochberg correction within each key's tests."""
     w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = df.withColumns({"__rank": F.row_number().over(w.orderBy(p)), "__m": F.count(p).over(w)})
+    ranked = df.withColumns({"__rank": F.row_number().over(w.orderBy(F.col(p).asc_nulls_last())), "__m": F.count(p).over(w)})
     raw = ranked.withColumn("__raw", F.col(p) * F.col("__m") / F.col("__rank"))
-    return raw.withColumn(out, F.least(F.lit(1.0), F.min("__raw").over(w.orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)))).drop("__rank", "__m", "__raw")
+    return raw.withColumn(out, F.greatest(F.col(p), F.least(F.lit(1.0), F.min("__raw").over(w.orderBy("__rank").rowsBetween(0, Window.unboundedFollowing))))).drop("__rank", "__m", "__raw")
 
 
 STATISTICS = {"meanDiff": lambda a, b: a.mean(axis=-1) - b.mean(axis=-1), "medianDiff": lambda a, b: np.median(a, axis=-1) - np.median(b, axis=-1), "sumDiff": lambda a, b: a.sum(axis=-1) - b.sum(axis=-1)}

@@ -89,7 +89,7 @@ def grouped_transitions(spark, d):
 
 @query()
 def preferred_transitions(spark, d):
-    return rounded(markov.preferred(markov.probabilities(markov.transitions(frames(spark, d)))))
+    return rounded(markov.preferred(markov.transitions(frames(spark, d))))
 
 
 SHORT = f"""with {FRAMES}, short as (
