@@ -48,6 +48,19 @@ MEMO_CHARS = 64
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+#: Code points that became letters or numbers after Unicode 16, which the tokenizer's own library follows; first and last of each range.
+_NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF),
+    (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1),
+    (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF),
+    (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2),
+    (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD),
+    (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+
+
 class _State:
     __slots__ = ("configs", "next")
 
@@ -246,7 +259,8 @@ class Tokenizer:
 
         space = f"[{_SPACE}]"
         own = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", space)
-        self._pieces = regex.compile(own).findall
+        self._find = regex.compile(own)
+        self._newer = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _NEWER) + "]")
         # Matches never span a border between a space run and what follows but for one leading blank.
         self._runs = re.compile(f" ?[^{_SPACE}]+|{space}+(?![^{_SPACE}])|{space}+").findall
         self.transducer = Transducer(ranks)
@@ -254,6 +268,11 @@ class Tokenizer:
         self._older: dict[str, bytes] = {}
         self._words = self.transducer.token
 
+    def _pieces(self, run: str) -> list[str]:
+        if run.isascii() or not self._newer.search(run):
+            return self._find.findall(run)
+        return [run[m.start() : m.end()] for m in self._find.finditer(self._newer.sub("\ue000", run))]
+
     def _encode_run(self, run: str) -> bytes:
         packed = self._older.get(run)
         if packed is None:
