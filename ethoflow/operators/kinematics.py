@@ -58,7 +58,7 @@ def channel_stats(df: DataFrame, channels: Sequence[str], keys: Sequence[str] =
 def histogram(df: DataFrame, x: str, low: float, high: float, bins: int = HISTOGRAM_BINS, keys: Sequence[str] = ()) -> DataFrame:
     """Density in equal bins over [low, high], the last one closed; other values do not count."""
     inside = df.where(real(F.col(x)).isNotNull() & F.col(x).between(low, high))
-    binned = inside.withColumn("bin", F.least(F.width_bucket(F.col(x), F.lit(float(low)), F.lit(float(high)), F.lit(bins)), F.lit(bins)) - 1)
+    binned = inside.withColumn("bin", F.least(F.width_bucket(F.col(x), F.lit(float(low)), F.lit(float(high)), F.lit(bins)), F.lit(bins)).cast("int") - 1)
     n = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
     if keys:
         total = F.sum("n").over(Window.partitionBy(*keys))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ethoflow.catalog import query
 from ethoflow.functions import numeric
 from ethoflow.functions.geometry import aligned, per_second, speed, speed_with_turn, to_body_frame, with_body_axis
-from ethoflow.operators import bouts, clean, cluster, features, kinematics, markov, metadata, proportions, sequence, stats
+from ethoflow.operators import battery, bouts, clean, cluster, features, kinematics, markov, metadata, proportions, sequence, stats
 from ethoflow.plans.roles import FRAMES, K, LANDMARKS, frames, landmarks, load
 
 FPS = 50.0
@@ -464,3 +464,14 @@ def instability(spark, d):
     fits = parts.groupBy("position").agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "c"))), lambda s: s["c"]).alias("centroids"))
     fits = fits.withColumns({"k": F.size("centroids"), "del_size": F.lit(0)})
     return rounded(cluster.instability(fits).select("k", "position", "instability"))
+
+
+@query()
+def group_battery(spark, d):
+    rows = _long(spark, d).withColumn("grp", F.col("grp").cast("string"))
+    return rounded(battery.run_battery(rows, "proportion", "grp", ("cluster",)))
+
+
+@query()
+def multinomial_intervals(spark, d):
+    return rounded(battery.multinomial_intervals(frames(spark, d), "label", ("grp",)))

@@ -108,7 +108,7 @@ def group_prevalence(spark, d):
 
 
 @query("""with d as (select distinct p_type as category, p_size as raw_id from part)
-select category, raw_id, row_number() over (order by category, raw_id) - 1 as display_id from d""")
+select category, raw_id, (row_number() over (order by category, raw_id) - 1)::int as display_id from d""")
 def cluster_map(spark, d):
     return metadata.ordered_map(load(spark, d, "part").select(F.col("p_type").alias("category"), F.col("p_size").alias("raw_id")).distinct())
 
