@@ -85,11 +85,13 @@ class HashArray:
         at = 24 + 8 * n
         self.columns = [data[at + i * wide * n : at + (i + 1) * wide * n].view(f"<u{wide}") for i in range(columns)]
 
-    def find(self, keys: np.ndarray, into: np.ndarray) -> None:
-        """Puts the counts of sorted keys into rows of ``into``; absent ones stay."""
+    def find(self, keys: np.ndarray, into: np.ndarray, there: np.ndarray | None = None) -> None:
+        """Puts the columns of sorted keys into rows of ``into``, and 1 into ``there``; absent ones stay."""
         if not len(self.keys):
             return
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
         hit = np.flatnonzero(self.keys[at] == keys)
         for i, c in enumerate(self.columns):
             into[hit, i] = c[at[hit]]
+        if there is not None:
+            there[hit] = 1
