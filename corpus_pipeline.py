@@ -40,7 +40,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, with a check that they decode to it."""
     path, pattern = rank_file()
-    back = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    back = bpe.round_trip(docs, path, pattern)
     return back.select(
         "doc_id", "lang", "source", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.col("ids"),
         F.sha2("ids", 256).alias("ids_sha256"), (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("decodes"),
