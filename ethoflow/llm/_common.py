@@ -61,7 +61,7 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small_batches(spark: SparkSession, size: int = 16 << 20) -> None:
+def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     """Bounds the bytes of an Arrow batch, so that long texts fit in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 

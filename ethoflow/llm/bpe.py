@@ -26,6 +26,7 @@ import hashlib
 import re
 import struct
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 from itertools import islice
 
 import numpy as np
@@ -36,8 +37,10 @@ from pyspark.sql import types as T
 from ethoflow.llm._common import small_batches
 
 MAX_STATES = 200_000
+#: Pairs of tokens whose order is remembered.
+MAX_PAIRS = 600_000
 #: Runs in each of the memo's two halves.
-MAX_MEMO = 300_000
+MAX_MEMO = 250_000
 #: Bytes between two looks at what is settled.
 LOOK = 1024
 _NEVER = 1 << 60
@@ -75,7 +78,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
-        self._pairs: dict[tuple, bool] = {}
+        self._pairs: dict[int, bool] = {}
         self._ends: dict[int, tuple | None] = {}
         # The trie of the vocabulary: node -> {byte: node}; accepting nodes carry their token.
         self._edges: list[dict[int, int]] = [{}]
@@ -151,7 +154,7 @@ class Transducer:
                 j += 1
 
     def _may_follow(self, before: int | None, token: int) -> bool:
-        key = (before, token)
+        key = token if before is None else (before + 1 << 32) + token
         found = self._pairs.get(key)
         if found is None:
             found = self._pairs[key] = self._spines(token) is not None if before is None else self._apart(before, token)
@@ -165,8 +168,7 @@ class Transducer:
                 continue
             token = self._accepts[child]
             if token is not None and last is None:
-                known = self._pairs.get((before, token))
-                if self._may_follow(before, token) if known is None else known:
+                if self._may_follow(before, token):
                     last = token
             if self._edges[child]:
                 grown.append((child, before))
@@ -203,9 +205,10 @@ class Transducer:
         return out[::-1]
 
     def _bound(self) -> None:
+        # A piece adds a few states for each of its bytes at most.
         if len(self._states) > MAX_STATES:
             self._reset()
-        if len(self._pairs) > 4 * MAX_STATES:
+        if len(self._pairs) > MAX_PAIRS:
             self._pairs.clear()
 
     def encode(self, piece: bytes) -> list[int]:
@@ -263,10 +266,14 @@ class Tokenizer:
         self._newer = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _NEWER) + "]")
         # Matches never span a border between a space run and what follows but for one leading blank.
         self._runs = re.compile(f" ?[^{_SPACE}]+|{space}+(?![^{_SPACE}])|{space}+").findall
-        self.transducer = Transducer(ranks)
+        self._ranks = ranks
+        self._words = {i: b for b, i in ranks.items()}
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
-        self._words = self.transducer.token
+
+    @cached_property
+    def transducer(self) -> Transducer:
+        return Transducer(self._ranks)  # decoding needs none
 
     def _pieces(self, run: str) -> list[str]:
         if run.isascii() or not self._newer.search(run):
@@ -327,12 +334,15 @@ def _tokenizer(key: str, ranks: dict[bytes, int], pattern: str) -> Tokenizer:
     return _tokenizers[key]
 
 
-def _mapped(df: DataFrame, source: str, to: T.StructField, kind: pa.DataType, path: str, pattern: str, how: Callable) -> DataFrame:
+def _mapped(df: DataFrame, source: str, new: list[tuple[T.StructField, pa.DataType]], path: str, pattern: str, how: Callable) -> DataFrame:
+    """The rows with new columns, which ``how`` makes of the tokenizer and the source column's values."""
     small_batches(df.sparkSession)
     ranks = read_ranks(path)
     key = hashlib.sha256(repr((path, len(ranks), pattern)).encode()).hexdigest()
     sent = df.sparkSession.sparkContext.broadcast(ranks)
-    names = [c for c in df.columns if c != to.name]
+    fields = [f for f, _ in new]
+    made = {f.name for f in fields}
+    names = [c for c in df.columns if c not in made]
     picked = [df.columns.index(c) for c in names]
     at = df.columns.index(source)
 
@@ -340,18 +350,35 @@ def _mapped(df: DataFrame, source: str, to: T.StructField, kind: pa.DataType, pa
         tok = None
         for batch in batches:
             tok = tok or _tokenizer(key, sent.value, pattern)
-            made = pa.array([how(tok, v) for v in batch.column(at).to_pylist()], kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in picked), made], names=[*names, to.name])
+            columns = how(tok, batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in picked), *(pa.array(c, k) for c, (_, k) in zip(columns, new))], names=[*names, *(f.name for f in fields)])
+
+    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in names), *fields]))
+
+
+def _ids(out: str) -> tuple[T.StructField, pa.DataType]:
+    return T.StructField(out, T.BinaryType()), pa.binary()
 
-    return df.mapInArrow(run, T.StructType([*(df.schema[c] for c in names), to]))
+
+def _text(out: str) -> tuple[T.StructField, pa.DataType]:
+    return T.StructField(out, T.StringType()), pa.string()
 
 
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """The rows with the ids of the text, as little-endian unsigned 32-bit integers in a binary column."""
-    return _mapped(df, text_col, T.StructField(out, T.BinaryType()), pa.binary(), path, pattern, Tokenizer.encode)
+    return _mapped(df, text_col, [_ids(out)], path, pattern, lambda tok, texts: [[tok.encode(t) for t in texts]])
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """The rows with the text of packed ids."""
-    return _mapped(df, ids_col, T.StructField(out, T.StringType()), pa.string(), path, pattern, Tokenizer.decode)
+    return _mapped(df, ids_col, [_text(out)], path, pattern, lambda tok, ids: [[tok.decode(i) for i in ids]])
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Encoding, then decoding of the ids, in one pass: one worker process for a task instead of two."""
+
+    def both(tok: Tokenizer, texts: list) -> list[list]:
+        packed = [tok.encode(t) for t in texts]
+        return [packed, [tok.decode(p) for p in packed]]
 
+    return _mapped(df, text_col, [_ids(ids), _text(decoded)], path, pattern, both)

@@ -142,10 +142,12 @@ def test_bpe_equals_the_library(tokenizers):
     assert own.decode(own.encode("x" * 50_000)) == "x" * 50_000
 
 
-def test_bpe_tables_start_afresh(tokenizers, monkeypatch):
-    own, ref, _, _ = tokenizers
+def test_bpe_with_full_tables(tokenizers, monkeypatch):
+    _, ref, path, pattern = tokenizers
     monkeypatch.setattr(bpe, "MAX_STATES", 50)
+    monkeypatch.setattr(bpe, "MAX_PAIRS", 50)
     monkeypatch.setattr(bpe, "MAX_MEMO", 5)
+    own = bpe.Tokenizer(bpe.read_ranks(path), pattern)
     for seed in range(50):
         text = " ".join(words_of(20, seed)) + "xyzzyq"
         assert list(np.frombuffer(own.encode(text), "<u4")) == ref.encode_ordinary(text)
@@ -165,6 +167,7 @@ def test_bpe_frames(spark, tokenizers):
     df = docs(spark, TEXTS).withColumn("ids", F.lit("old"))
     back = bpe.decode(bpe.encode(df, path, pattern), path, pattern)
     rows = {r.doc_id: r for r in back.collect()}
+    assert {r.doc_id: (r.ids, r.decoded) for r in bpe.round_trip(df, path, pattern).collect()} == {i: (r.ids, r.decoded) for i, r in rows.items()}
     assert len(rows) == len(TEXTS) and all(rows[i].decoded == (t or "") for i, t in enumerate(TEXTS))
     assert bytes(rows[0].ids) == bytes(rows[1].ids) == b""
     assert bpe.encode(df.limit(0), path, pattern).count() == 0
