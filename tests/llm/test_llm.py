@@ -278,6 +278,24 @@ def test_passages(spark):
     assert substring_dedup.passages(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_equal_passages_behind_edited_first_documents(spark):
+    texts, last = [], []
+    for trial in range(12):
+        passage = words_of(50, 300 + trial)
+        for k in range(3):  # earlier documents with a part each, too short to match
+            part = passage[:]
+            part[:10 + 5 * k] = words_of(10 + 5 * k, 4000 + 10 * trial + k, 100_000)
+            part[36 + 5 * k :] = words_of(14 - 5 * k, 5000 + 10 * trial + k, 100_000) if k < 2 else part[36 + 5 * k :]
+            texts.append(words_of(60, 6000 + 10 * trial + k, 100_000) + part + words_of(60, 7000 + 10 * trial + k, 100_000))
+        last.append(len(texts))
+        texts += [words_of(30, 8000 + 2 * trial + k, 100_000) + passage + words_of(40, 9000 + 2 * trial + k, 100_000) for k in (0, 1)]
+    got = {r.doc_id: r for r in substring_dedup.passages(docs(spark, [" ".join(t) for t in texts])).collect()}
+    for i in last:
+        assert got[i].class_id == got[i + 1].class_id
+        for j in (i, i + 1):
+            assert any(s.first <= 30 and s.last >= 79 for s in got[j].spans)
+
+
 # 6. Quality
 
 
