@@ -278,6 +278,22 @@ def test_passages(spark):
     assert substring_dedup.passages(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_passages_with_repeated_lines(spark):
+    line, before, after = words_of(16, 20), words_of(25, 21), words_of(25, 22)
+    passage = before + line + after
+    fill = lambda s, n=60: words_of(n, s, 100_000)
+    texts = [line + fill(23) + passage + fill(24), fill(25) + passage + fill(26)]
+    again = words_of(12, 27) * 6  # repeats inside
+    texts += [fill(28) + again + fill(29), fill(30, 70) + again + fill(31)]
+    texts = [" ".join(t) for t in texts]
+    a, b, c, d = map(substring_dedup.shingles_of, texts)
+    assert substring_dedup.matched_ranges(a, b) == []
+    assert (76, 76 + 61, 60, 60 + 61) in substring_dedup.matched_ranges(a, b, [16])
+    assert (60, 60 + 67, 70, 70 + 67) in substring_dedup.matched_ranges(c, d, [-10])
+    got = {r.doc_id: r for r in substring_dedup.passages(docs(spark, texts[:2])).collect()}
+    assert got[0].class_id == got[1].class_id and any(s.first == 76 and s.last == 141 for s in got[0].spans)
+
+
 def test_equal_passages_behind_edited_first_documents(spark):
     texts, last = [], []
     for trial in range(12):
