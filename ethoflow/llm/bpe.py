@@ -11,7 +11,7 @@ it completes.  Tokens on which all starts agree are emitted, so output lags by
 a bounded lookahead.  States and transitions are built when first met and kept
 up to a bound; beyond it the table starts afresh.
 
-Encoded runs of non-space characters are memoised under a bound as well.
+Encoded runs of non-space characters are memoised under a bound in bytes.
 
 Edge cases: a null text encodes like the empty one, to no ids; further columns
 pass through; a column named like the output is replaced; an empty table gives
@@ -25,6 +25,7 @@ import base64
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
 from itertools import islice
@@ -36,17 +37,24 @@ from pyspark.sql import types as T
 
 from ethoflow.llm._common import small_batches
 
-MAX_STATES = 200_000
-#: Pairs of tokens whose order is remembered.
-MAX_PAIRS = 600_000
-#: Runs in each of the memo's two halves.
-MAX_MEMO = 250_000
+#: States of a worker's machine, about 400 bytes each with their transitions.
+MAX_STATES = 250_000
+#: The table of remembered pairs of tokens has 2 ** PAIR_BITS places of 8 bytes.
+PAIR_BITS = 19
+#: Bytes of each of the memo's two halves.
+MEMO_BYTES = 24 << 20
+#: Bytes that a run takes in the memo besides its characters and ids.
+MEMO_ENTRY = 200
 #: Bytes between two looks at what is settled.
 LOOK = 1024
 _NEVER = 1 << 60
+_32, _64 = (1 << 32) - 1, (1 << 64) - 1
+_SPREAD = 0x9E3779B97F4A7C15
 #: Longer runs are not memoised.
 MEMO_CHARS = 64
 
+#: Fixed value: the pattern whose matches are known to keep to runs of white space and of other characters.
+PROSE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Unicode White_Space, which the pattern's \s stands for in the tokenizer's own library.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -64,48 +72,48 @@ _NEWER = (
 )
 
 
-class _State:
-    __slots__ = ("configs", "next")
-
-    def __init__(self, configs: tuple) -> None:
-        self.configs = configs  # ((trie node, last token before its start), ...), earliest start first
-        self.next: dict[int, tuple] = {}  # byte -> (last token of the prefix that ends here, state)
-
-
 class Transducer:
-    """Encodes one match of the pattern, given as bytes."""
+    """Encodes one match of the pattern, given as bytes.
+
+    All tables are packed: the trie is one dict from (node, byte) to node, a state is a number whose starts are
+    kept as bytes, and a transition is one integer, so a worker with full tables takes about 130 MB.
+    """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self.token = {i: b for b, i in ranks.items()}
-        self._pairs: dict[int, bool] = {}
+        self.token = words_by_rank(ranks)
+        self._size = array("H", [0 if w is None else len(w) for w in self.token])
+        # Order of pairs of tokens, in a table of fixed size: a pair met later may take another's place.
+        self._pairs = array("Q", bytes(8 << PAIR_BITS))
         self._ends: dict[int, tuple | None] = {}
-        # The trie of the vocabulary: node -> {byte: node}; accepting nodes carry their token.
-        self._edges: list[dict[int, int]] = [{}]
-        self._accepts: list[int | None] = [None]
-        self._depth: list[int] = [0]
-        self._size = {i: len(b) for b, i in ranks.items()}
+        # The trie of the vocabulary; accepting nodes carry their token, others -1.
+        self._edges: dict[int, int] = {}
+        self._accepts, self._depth, self._inner = array("i", [-1]), array("H", [0]), bytearray(b"\1")
         for word, rank in ranks.items():
             node = 0
             for depth, b in enumerate(word, 1):
-                nxt = self._edges[node].get(b)
+                self._inner[node] = 1
+                nxt = self._edges.get(node << 8 | b)
                 if nxt is None:
-                    nxt = self._edges[node][b] = len(self._edges)
-                    self._edges.append({})
-                    self._accepts.append(None)
+                    nxt = self._edges[node << 8 | b] = len(self._accepts)
+                    self._accepts.append(-1)
                     self._depth.append(depth)
+                    self._inner.append(0)
                 node = nxt
             self._accepts[node] = rank
         self._reset()
 
     def _reset(self) -> None:
-        self._states: dict[tuple, _State] = {}
-        self._start = self._state(((0, None),))
+        self._numbers: dict[bytes, int] = {}
+        self._states: list[bytes] = []  # starts of a state, earliest first: trie node << 32 | last token before it + 1
+        self._next: dict[int, int] = {}  # state << 8 | byte -> state << 32 | last token of the prefix that ends here + 1
+        self._state(bytes(8))
 
-    def _state(self, configs: tuple) -> _State:
-        found = self._states.get(configs)
+    def _state(self, starts: bytes) -> int:
+        found = self._numbers.get(starts)
         if found is None:
-            found = self._states[configs] = _State(configs)
+            found = self._numbers[starts] = len(self._states)
+            self._states.append(starts)
         return found
 
     def _merged(self, word: bytes, stop: int = 1) -> list[bytes]:
@@ -118,19 +126,19 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _spines(self, token: int) -> tuple[list[int], list[int]] | None:
+    def _spines(self, token: int) -> tuple[tuple, tuple] | None:
         """The tokens that the merges make at the left and right end of a token, from byte to whole; None if they never make it."""
         found = self._ends.get(token, 0)
         if found == 0:
             word, found = self.token[token], None
             halves = self._merged(word, 2)
             if len(word) == 1:
-                found = ([token], [token])
+                found = ((token,), (token,))
             elif len(halves) == 2 and self.ranks.get(halves[0] + halves[1]) == token:
                 left, right = self.ranks[halves[0]], self.ranks[halves[1]]
                 if max(left, right) >= token:
                     raise ValueError(f"rank {token} is below those of its parts")
-                found = ([*self._spines(left)[0], token], [*self._spines(right)[1], token])
+                found = ((*self._spines(left)[0], token), (*self._spines(right)[1], token))
             self._ends[token] = found
         return found
 
@@ -139,10 +147,11 @@ class Transducer:
         left, right = self._spines(before), self._spines(token)
         if right is None or left is None:
             return False
-        xs, ys = [*left[1], _NEVER], [*right[0], _NEVER]
+        xs, ys = (*left[1], _NEVER), (*right[0], _NEVER)
+        words, rank_of = self.token, self.ranks.get
         i = j = 0
         while True:
-            joint = self.ranks.get(self.token[xs[i]] + self.token[ys[j]], _NEVER)
+            joint = rank_of(words[xs[i]] + words[ys[j]], _NEVER)
             # On equal ranks the pair further left is merged first.
             if joint < xs[i + 1] and joint <= ys[j + 1] and joint != _NEVER:
                 return False
@@ -153,45 +162,61 @@ class Transducer:
             else:
                 j += 1
 
-    def _may_follow(self, before: int | None, token: int) -> bool:
-        key = token if before is None else (before + 1 << 32) + token
-        found = self._pairs.get(key)
-        if found is None:
-            found = self._pairs[key] = self._spines(token) is not None if before is None else self._apart(before, token)
+    def _may_follow(self, before: int, token: int) -> bool:
+        """before: the last token plus 1, or 0."""
+        key = before << 32 | token << 2 | 2
+        at = (key * _SPREAD & _64) >> 64 - PAIR_BITS
+        held = self._pairs[at]
+        if held | 1 == key | 1:
+            return held & 1 == 1
+        found = self._apart(before - 1, token) if before else self._spines(token) is not None
+        self._pairs[at] = key | found
         return found
 
-    def _step(self, state: _State, byte: int) -> tuple:
-        grown, last = [], None
-        for node, before in state.configs:
-            child = self._edges[node].get(byte)
+    def _step(self, state: int, byte: int) -> int:
+        grown, last = array("Q"), 0
+        child_of, accepts, inner = self._edges.get, self._accepts, self._inner
+        for start in memoryview(self._states[state]).cast("Q"):
+            child = child_of(start >> 32 << 8 | byte)
             if child is None:
                 continue
-            token = self._accepts[child]
-            if token is not None and last is None:
-                if self._may_follow(before, token):
-                    last = token
-            if self._edges[child]:
-                grown.append((child, before))
-        grown.append((0, last))
-        step = state.next[byte] = (last, self._state(tuple(grown)))
+            if not last:
+                token = accepts[child]
+                if token >= 0 and self._may_follow(start & _32, token):
+                    last = token + 1
+            if inner[child]:
+                grown.append(child << 32 | start & _32)
+        grown.append(last)
+        step = self._next[state << 8 | byte] = self._state(grown.tobytes()) << 32 | last
         return step
 
+    def _walk(self, piece: bytes, state: int, lasts: list[int]) -> int:
+        """The state after the piece; the last token of each prefix, plus 1, is added to ``lasts``."""
+        known, make, put = self._next.get, self._step, lasts.append
+        for byte in piece:
+            step = known(state << 8 | byte) or make(state, byte)
+            put(step & _32)
+            state = step >> 32
+        return state
+
     def stream(self, piece: bytes) -> Iterator[list[int]]:
         """The piece's tokens, in runs: each as soon as every way on from here agrees on it (looked at every LOOK bytes)."""
         self._bound()
-        state, size, lasts = self._start, self._size, []
+        state, size, lasts = 0, self._size, []
         for at in range(0, len(piece), LOOK):
-            for byte in piece[at : at + LOOK]:
-                last, state = state.next.get(byte) or self._step(state, byte)
-                lasts.append(last)
+            if len(self._states) > MAX_STATES:  # the tables start afresh from the state that the piece is in
+                starts = self._states[state]
+                self._reset()
+                state = self._state(starts)
+            state = self._walk(piece[at : at + LOOK], state, lasts)
             fixed = len(lasts)
             if at + LOOK < len(piece):
                 # Every token to come starts at one of these; where their pasts meet, all before is settled.
-                live = {fixed - self._depth[node] for node, _ in state.configs}
+                live = {fixed - self._depth[start >> 32] for start in memoryview(self._states[state]).cast("Q")}
                 while len(live) > 1:
                     furthest = max(live)
                     live.remove(furthest)
-                    live.add(furthest - size[lasts[furthest - 1]])
+                    live.add(furthest - size[lasts[furthest - 1] - 1])
                 fixed = live.pop()
             yield self._back(lasts, fixed)
             lasts = lasts[fixed:]
@@ -199,17 +224,16 @@ class Transducer:
     def _back(self, lasts: list[int], end: int) -> list[int]:
         out, size = [], self._size
         while end:
-            token = lasts[end - 1]
+            token = lasts[end - 1] - 1
             out.append(token)
             end -= size[token]
-        return out[::-1]
+        out.reverse()
+        return out
 
     def _bound(self) -> None:
         # A piece adds a few states for each of its bytes at most.
         if len(self._states) > MAX_STATES:
             self._reset()
-        if len(self._pairs) > MAX_PAIRS:
-            self._pairs.clear()
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)  # the library looks up a whole match first
@@ -218,10 +242,11 @@ class Transducer:
         if len(piece) > LOOK:
             return [i for run in self.stream(piece) for i in run]
         self._bound()
-        state, lasts = self._start, []
+        known, make, state, lasts = self._next.get, self._step, 0, []
         for byte in piece:
-            last, state = state.next.get(byte) or self._step(state, byte)
-            lasts.append(last)
+            step = known(state << 8 | byte) or make(state, byte)
+            lasts.append(step & _32)
+            state = step >> 32
         return self._back(lasts, len(piece))
 
 
@@ -254,6 +279,14 @@ class Utf8Stream:
         return rest.decode("utf-8", "replace")
 
 
+def words_by_rank(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """The token of each rank; None where there is none."""
+    out: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for word, rank in ranks.items():
+        out[rank] = word
+    return out
+
+
 class Tokenizer:
     """Text to ids (packed as little-endian unsigned 32-bit) and back."""
 
@@ -264,12 +297,18 @@ class Tokenizer:
         own = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", space)
         self._find = regex.compile(own)
         self._newer = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in _NEWER) + "]")
-        # Matches never span a border between a space run and what follows but for one leading blank.
-        self._runs = re.compile(f" ?[^{_SPACE}]+|{space}+(?![^{_SPACE}])|{space}+").findall
+        # Matches of this pattern never span a border between a space run and what follows but for one leading blank;
+        # of another pattern, nothing is known, and a text is one run.
+        self._prose = pattern == PROSE_PATTERN
+        self._runs = re.compile(f" ?[^{_SPACE}]+|{space}+(?![^{_SPACE}])|{space}+" if self._prose else "(?s:.+)").findall
         self._ranks = ranks
-        self._words = {i: b for b, i in ranks.items()}
         self._memo: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
+        self._held = 0
+
+    @cached_property
+    def _words(self) -> list[bytes | None]:
+        return words_by_rank(self._ranks)
 
     @cached_property
     def transducer(self) -> Transducer:
@@ -284,16 +323,18 @@ class Tokenizer:
         packed = self._older.get(run)
         if packed is None:
             # One match of the pattern, as it is for most words, needs no search for more.
-            pieces = [run] if run.isalpha() or (run[0] == " " and run[1:].isalpha()) else self._pieces(run)
+            word = self._prose and (run.isalpha() or (run[0] == " " and run[1:].isalpha()))
+            pieces = [run] if word else self._pieces(run)
             if len(pieces) == 1:
                 ids = self.transducer.encode(run.encode("utf-8", "surrogatepass"))
             else:
                 ids = [i for piece in pieces for i in self.transducer.encode(piece.encode("utf-8", "surrogatepass"))]
             packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(run) <= MEMO_CHARS:
-            if len(self._memo) >= MAX_MEMO:
-                self._older, self._memo = self._memo, {}  # what is met again moves back to the younger half
+            if self._held >= MEMO_BYTES:
+                self._older, self._memo, self._held = self._memo, {}, 0  # what is met again moves back to the younger half
             self._memo[run] = packed
+            self._held += MEMO_ENTRY + len(run) + len(packed)
         return packed
 
     def encode(self, text: str | None) -> bytes:
@@ -308,9 +349,14 @@ class Tokenizer:
 
     def decode_stream(self, ids: Iterable[int], block: int = 4096) -> Iterator[str]:
         """Pieces of text, each as soon as its bytes are complete."""
-        stream, word, ids = Utf8Stream(), self._words.__getitem__, iter(ids)
-        while held := b"".join(map(word, islice(ids, block))):
-            yield stream.feed(held)
+        stream, words, ids = Utf8Stream(), self._words, iter(ids)
+        while some := list(islice(ids, block)):
+            if not 0 <= min(some) <= max(some) < len(words):
+                raise KeyError("an id outside the vocabulary")
+            found = [words[i] for i in some]
+            if None in found:
+                raise KeyError("an id outside the vocabulary")
+            yield stream.feed(b"".join(found))
         yield stream.end()
 
     def decode(self, packed: bytes | None) -> str:

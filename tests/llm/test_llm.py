@@ -145,8 +145,8 @@ def test_bpe_equals_the_library(tokenizers):
 def test_bpe_with_full_tables(tokenizers, monkeypatch):
     _, ref, path, pattern = tokenizers
     monkeypatch.setattr(bpe, "MAX_STATES", 50)
-    monkeypatch.setattr(bpe, "MAX_PAIRS", 50)
-    monkeypatch.setattr(bpe, "MAX_MEMO", 5)
+    monkeypatch.setattr(bpe, "PAIR_BITS", 5)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 1000)
     own = bpe.Tokenizer(bpe.read_ranks(path), pattern)
     for seed in range(50):
         text = " ".join(words_of(20, seed)) + "xyzzyq"
