@@ -1,20 +1,26 @@
 """Interpolated modified Kneser-Ney language model over words.
 
-Counting.  Each task hashes its texts' words to 64 bits, combines its n-grams,
-and deals them by hash to buckets; the next task adds up a bucket.  From the
-distinct n-grams of one order follow the continuation counts of the next lower
-one and the contexts' sums, which are dealt and added the same way.
-
-Storage.  Each bucket of each order is one file in the shared folder: sorted
-hashes, then the counts as plain arrays.  Tasks that score map these files into
-memory and look up a batch's sorted distinct n-grams in them, so the model
-never has to fit in a process and is never sent to one.  A file is written
-under another name and then renamed; its content depends on the data alone, so
-a repeated or lost task does no harm.  In a store without local paths a worker
-maps an unlinked local copy.
+Counting.  Words are counted first, by hash, and numbered in each bucket from the
+most frequent one down, so that common words have small ids.  N-grams of ids are
+combined in each task and dealt by their inner words: an n-gram, its context (all
+but the last word) and the n-gram one shorter (all but the first) meet in one
+bucket, so one shuffle serves three tables, and with trigrams the bigrams need
+none of their own.  What is dealt is sorted, delta-coded and compressed, about five
+bytes a trigram.  Inner words that occur in more than ``SPLIT_TOKENS`` places are
+spread over several buckets by their last word; their contexts' partial sums are
+added in the last step, with the words' continuation counts.
+
+Storage.  A bucket is one file in the shared folder with sorted hash arrays: an
+index over the leading bits of the hashes, the next 40 bits of each, and the
+counts, mostly in one byte.  An absent n-gram meets another's counts with a chance
+of about 3e-11.  Tasks that score map these files into memory (``MAX_OPEN`` at
+most, the least recently used are closed), so the model never has to fit in a
+process and is never sent to one.  A file is written under another name and then
+renamed; its content depends on the data alone, so a repeated or lost task does no
+harm.  In a store without local paths a worker maps an unlinked local copy.
 
 Tokens: A-Z in lower case, words between ASCII white space, then one end. The
-first word's context is a start mark, which is never predicted.
+first word's context is start marks, which are never predicted.
 
 Edge cases: null and empty texts are one end token; repeated rows count as
 often as they come; an empty training set leaves the uniform distribution over
@@ -24,6 +30,7 @@ for training.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,33 +40,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ethoflow.llm._arrays import HashArray, bucket_of, key_of, write_array
+from ethoflow.llm._arrays import Buckets, bucket_of, groups_of, key_of, packed_columns, unpacked_columns, write_bucket
 from ethoflow.llm._common import Scratch, small_batches
 
-#: Length of the n-grams. At 3, nearly every n-gram of the standard documents is distinct, and counting them takes over 4 times the input's disk.
-ORDER = 2
-#: Bytes of text for each bucket: about 10^7 tokens, 200 MB while they are added up.
-BUCKET_BYTES = 64 << 20
-#: Tokens that a counting task combines at once.
-COMBINE = 4_000_000
-START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
+#: Length of the n-grams.
+ORDER = 3
+#: Bytes of text for each bucket: about 5 * 10^6 tokens.
+BUCKET_BYTES = 32 << 20
+#: Tokens that a counting task combines at once, and distinct words.
+COMBINE, COMBINE_WORDS = 2_000_000, 400_000
+#: Inner words that occur more often are spread over several buckets.
+SPLIT_TOKENS = 1_000_000
+START, END, UNKNOWN = np.uint64(0), np.uint64(1), np.uint64(1 << 62)
+_FIRST = 2  # id of the first word
 
-def word_hashes(text: str | None) -> list[int]:
-    from xxhash import xxh64_intdigest
 
-    return list(map(xxh64_intdigest, (text or "").encode("utf-8", "surrogatepass").lower().split()))
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
 
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
 
-def tokens_of(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(word hashes with order - 1 starts and one end for each text, tokens of each text)."""
-    flat, sizes, pad = [], [], [int(START)] * (order - 1)
-    for text in texts:
-        words = word_hashes(text)
-        sizes.append(len(words) + 1)
-        flat += pad
-        flat += words
-        flat.append(int(END))
-    return np.array(flat, dtype=np.uint64), np.array(sizes, dtype=np.int64)
+    return np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 def ngrams(flat: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
@@ -72,101 +75,268 @@ def ngrams(flat: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
     return np.stack([flat[at - order + 1 + i] for i in range(order)], axis=1)
 
 
-def combined(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct keys, their words, summed counts [n, columns])."""
-    keys = key_of(words)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
-    sums = np.add.reduceat(counts[order], first, axis=0) if len(first) else counts[:0]
-    return keys[first], words[order[first]], sums
-
-
-def _packed(kind: str, words: np.ndarray, counts: np.ndarray, keys: np.ndarray, buckets: int) -> list[tuple]:
-    """Rows (kind, bucket, body) of combined n-grams; leading words are kept once for a run of equal ones."""
-    out = []
-    where = np.searchsorted(bucket_of(keys, buckets), np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(where)).tolist():
-        w, c = words[where[b] : where[b + 1]], counts[where[b] : where[b + 1]]
-        by = np.argsort(w[:, 0], kind="stable")
-        w, c = w[by], c[by]
-        run = np.flatnonzero(np.concatenate(([True], w[1:, 0] != w[:-1, 0])))
-        head = np.array([len(w), len(run), w.shape[1], c.shape[1]], dtype="<u8")
-        lengths = np.diff(np.append(run, len(w))).astype("<u4")
-        wide = "<u4" if c.size == 0 or int(c.max()) < 1 << 32 else "<u8"
-        out.append((kind + wide[2], b, b"".join([head.tobytes(), w[run, 0].astype("<u8").tobytes(), lengths.tobytes(), w[:, 1:].astype("<u8").tobytes(), c.astype(wide).tobytes()])))
-    return out
-
-
-def _unpacked(kind: str, body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, runs, k, columns = np.frombuffer(body, dtype="<u8", count=4).astype(np.int64).tolist()
-    at = 32
-    lead = np.frombuffer(body, dtype="<u8", count=runs, offset=at)
-    at += 8 * runs
-    lengths = np.frombuffer(body, dtype="<u4", count=runs, offset=at)
-    at += 4 * runs
-    rest = np.frombuffer(body, dtype="<u8", count=n * (k - 1), offset=at).reshape(n, k - 1)
-    at += 8 * n * (k - 1)
-    counts = np.frombuffer(body, dtype="<u" + kind[-1], count=n * columns, offset=at).reshape(n, columns)
-    return np.concatenate([np.repeat(lead, lengths)[:, None], rest], axis=1), counts.astype(np.uint64)
+def combined(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sums of counts [n, columns]), ordered by inner words, last word, first word."""
+    if not len(rows):
+        return rows, counts
+    k = rows.shape[1]
+    columns = [*range(1, k), 0]
+    distinct, ranks = np.unique(rows, return_inverse=True)
+    bits = max(1, (len(distinct) - 1).bit_length())
+    if bits * k <= 64:  # ranks keep the order of the ids and fit in one number
+        ranks = ranks.reshape(rows.shape).astype(np.uint64)
+        key = ranks[:, columns[0]].copy()
+        for c in columns[1:]:
+            key = key << np.uint64(bits) | ranks[:, c]
+        by = np.argsort(key, kind="stable")
+        key = key[by]
+        new = key[1:] != key[:-1]
+    else:
+        by = np.lexsort([rows[:, c] for c in reversed(columns)])
+        new = (rows[by[1:]] != rows[by[:-1]]).any(axis=1)
+    first = np.flatnonzero(np.concatenate(([True], new)))
+    return rows[by[first]], np.add.reduceat(counts[by], first, axis=0)
+
+
+@dataclass
+class Words:
+    """The table of words: ids by hash, counts by id."""
+
+    files: Buckets
+    documents: int
+    tokens: int
+    distinct: int
+    split_tokens: int
+
+    @property
+    def buckets(self) -> int:
+        return self.files.buckets
+
+    def ids(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full((len(hashes), 1), UNKNOWN, dtype=np.uint64)
+        for b, at in groups_of(bucket_of(hashes, self.buckets)):
+            self.files.open(b).find("ids", hashes[at], out, at)
+        return out[:, 0]
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Training tokens of each id; the start mark counts as often as the end."""
+        out = np.zeros(len(ids), dtype=np.uint64)
+        out[ids < _FIRST] = self.documents
+        for b, at in groups_of(np.where(ids < _FIRST, self.buckets, np.where(ids == UNKNOWN, self.buckets, (ids - np.uint64(_FIRST)) % np.uint64(self.buckets))).astype(np.int64)):
+            if b < self.buckets:
+                out[at] = self.files.open(b).column("counts", ((ids[at] - np.uint64(_FIRST)) // np.uint64(self.buckets)).astype(np.int64))
+        return out
+
+    def tokens_of(self, texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids with order - 1 starts and one end for each text, tokens of each text)."""
+        split = [words_of(t) for t in texts]
+        distinct = list({w for words in split for w in words})
+        number = dict(zip(distinct, self.ids(hashes_of(distinct)).tolist()))
+        flat, sizes, pad = [], [], [int(START)] * (order - 1)
+        for words in split:
+            sizes.append(len(words) + 1)
+            flat += pad
+            flat += map(number.__getitem__, words)
+            flat.append(int(END))
+        return np.array(flat, dtype=np.uint64), np.array(sizes, dtype=np.int64)
+
+
+def owner_of(rows: np.ndarray) -> np.ndarray:
+    """The inner words of n-grams; of bigrams, the first word."""
+    return rows[:, 1:-1] if rows.shape[1] > 2 else rows[:, :1]
+
+
+def splits_of(owner: np.ndarray, words: Words) -> np.ndarray:
+    """Over how many buckets each owner's n-grams are spread."""
+    distinct, back = np.unique(owner, return_inverse=True)
+    counts = words.counts(distinct)[back].reshape(owner.shape).min(axis=1)
+    return np.maximum(np.uint64(1), (counts + np.uint64(words.split_tokens - 1)) // np.uint64(words.split_tokens))
+
+
+def place_of(owner: np.ndarray, last: np.ndarray, splits: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of n-grams."""
+    part = np.where(splits > 1, key_of(last[:, None]) % splits, np.uint64(0))
+    return bucket_of(key_of(np.concatenate([owner, part[:, None]], axis=1)), buckets)
+
+
+def _sums(c: np.ndarray) -> np.ndarray:
+    """Each count's part of its context's sums: total, and n-grams of count 1, 2, 3 and more."""
+    return np.stack([c, c == 1, c == 2, c >= 3], axis=1).astype(np.uint64)
+
+
+def _contexts(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return combined(rows[:, :-1], _sums(counts))
+
+
+_SCHEMA, _NAMES = "kind string, bucket int, body binary", ["kind", "bucket", "body"]
+
+
+def _body(rows: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rows in the order of ``combined``, coded by columns in that order."""
+    k = rows.shape[1]
+    return packed_columns([rows[:, c] for c in [*range(1, k), 0]], [counts[:, i] for i in range(counts.shape[1])])
+
+
+def _rows(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    rows, counts = unpacked_columns(body)
+    return np.stack([rows[-1], *rows[:-1]], axis=1), np.stack(counts, axis=1)
+
+
+def _dealt(kind: str, rows: np.ndarray, counts: np.ndarray, buckets: np.ndarray) -> Iterator[tuple]:
+    for b, at in groups_of(buckets):
+        yield kind, b, _body(rows[at], counts[at])
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_NAMES).astype({"bucket": "int32"})
+
+
+def _by_bucket(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple[str, bytes]]]]:
+    """The rows of each bucket in turn; rows come sorted by bucket, so only one bucket is held."""
+    now, held = None, []
+    for frame in frames:
+        for kind, b, body in frame.itertuples(index=False, name=None):
+            if b != now:
+                if held:
+                    yield now, held
+                now, held = b, []
+            held.append((kind, body))
+    if held:
+        yield now, held
+
+
+def _each_bucket(rows: DataFrame, buckets: int, how, schema: str = _SCHEMA) -> DataFrame:
+    """Applies ``how`` where all rows of a bucket are, a bucket at a time; a task has one bucket."""
+    return rows.repartitionById(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(how, schema)
+
+
+def _seen(level: int, c: np.ndarray) -> tuple:
+    n = [*(int((c == i).sum()) for i in (1, 2, 3, 4)), int((c >= 3).sum()), int(c.sum())]
+    return f"d{level}", 0, np.array(n, dtype="<u8").tobytes()
+
+
+def count_words(rows: DataFrame, files: Buckets) -> tuple[int, int, int]:
+    """Writes the words' tables; (documents, tokens, distinct words)."""
+    buckets = files.buckets
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        held: Counter = Counter()
+
+        def flush() -> pd.DataFrame:
+            hashes, counts = hashes_of(list(held)), np.fromiter(held.values(), dtype=np.uint64, count=len(held))
+            held.clear()
+            out = []
+            for b, at in groups_of(bucket_of(hashes, buckets)):
+                by = np.argsort(hashes[at])
+                out.append(("w", b, packed_columns([hashes[at][by]], [counts[at][by]])))
+            return _frame(out)
+
+        documents = 0
+        for batch in batches:
+            documents += batch.num_rows
+            for text in batch.column(0).to_pylist():
+                held.update(words_of(text))
+                if len(held) >= COMBINE_WORDS:
+                    yield flush()
+        if held:
+            yield flush()
+        yield _frame([("n", 0, np.array([documents], dtype="<u8").tobytes())])
+
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, parts in _by_bucket(frames):
+            found = [unpacked_columns(body) for kind, body in parts if kind == "w"]
+            documents = sum(int(np.frombuffer(body, dtype="<u8")[0]) for kind, body in parts if kind == "n")
+            hashes = np.concatenate([f[0][0] for f in found]) if found else np.zeros(0, dtype=np.uint64)
+            counts = np.concatenate([f[1][0] for f in found]) if found else hashes
+            hashes, counts = combined(hashes[:, None], counts[:, None])
+            rank = np.argsort(np.argsort(-counts[:, 0].astype(np.int64), kind="stable"), kind="stable")
+            by_rank = np.zeros((len(rank), 1), dtype=np.uint64)
+            by_rank[rank] = counts
+            ids = _FIRST + rank.astype(np.uint64) * np.uint64(buckets) + np.uint64(b)
+            write_bucket(files.uri(b), {"ids": (hashes[:, 0], ids[:, None]), "counts": (None, by_rank)})
+            yield _frame([("s", b, np.array([documents, int(counts.sum()), len(hashes)], dtype="<u8").tobytes())])
+
+    total = np.zeros(3, dtype=object)
+    for row in _each_bucket(rows.mapInArrow(_arrow(count), _SCHEMA), buckets, add).collect():  # three numbers a bucket
+        total += np.frombuffer(row.body, dtype="<u8").astype(object)
+    return tuple(int(x) for x in total)
+
+
+def _arrow(how):
+    """A function that yields pandas frames, for Arrow batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in how(batches):
+            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+    return run
 
 
 @dataclass
 class Model:
     """What a scoring task needs to know; the counts stay in the files."""
 
-    root: str
-    buckets: int
+    words: Words
+    files: dict[int, Buckets]  # n-grams by order, and contexts of owners in one bucket; bigrams are with the trigrams
+    sums: Buckets  # contexts of spread owners, and the words' continuation counts
     order: int
     discounts: dict[int, tuple[float, float, float]]
-    tokens: int  # N
-    words: int  # V
     ends: int  # sum of the words' continuation counts
     lambda_1: float  # weight of the uniform distribution
-    _open: dict = field(default_factory=dict)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_open": {}}
-
-    def counts(self, kind: str, keys: np.ndarray, columns: int) -> np.ndarray:
-        """Counts [n, columns] of keys in any order; zeros where there are none."""
-        distinct, back = np.unique(keys, return_inverse=True)
-        out = np.zeros((len(distinct), columns), dtype=np.uint64)
-        where = np.searchsorted(bucket_of(distinct, self.buckets), np.arange(self.buckets + 1))
-        for b in np.flatnonzero(np.diff(where)).tolist():
-            if (kind, b) not in self._open:
-                self._open[kind, b] = HashArray(f"{self.root}/{kind}/{b:06d}")
-            self._open[kind, b].find(distinct[where[b] : where[b + 1]], out[where[b] : where[b + 1]])
-        return out[back]
+
+    @property
+    def tokens(self) -> int:
+        return self.words.tokens
 
     def discounted(self, k: int, c: np.ndarray) -> np.ndarray:
         d = np.array([0.0, *self.discounts[k]])[np.minimum(c, 3).astype(np.int64)]
         return np.maximum(c.astype(np.float64) - d, 0.0)
 
-    def probabilities(self, words: np.ndarray) -> np.ndarray:
-        """P(last word | the words before) for rows of word hashes [n, order]."""
-        last = self.counts("n1", key_of(words[:, -1:]), 1)[:, 0]
-        p = np.full(len(words), self.lambda_1 / (self.words + 1))
+    def continuations(self, ids: np.ndarray) -> np.ndarray:
+        """Distinct words before each word."""
+        distinct, back = np.unique(ids, return_inverse=True)
+        out, keys = np.zeros((len(distinct), 1), dtype=np.uint64), key_of(distinct[:, None])
+        for b, at in groups_of(bucket_of(keys, self.sums.buckets)):
+            self.sums.open(b).find("n1", keys[at], out, at)
+        return out[back, 0]
+
+    def level(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(counts of n-grams, sums [n, 4] of their contexts)."""
+        k, owner = rows.shape[1], owner_of(rows)
+        splits = splits_of(owner, self.words)
+        places = place_of(owner, rows[:, -1], splits, self.sums.buckets)
+        own, context = key_of(rows), key_of(rows[:, :-1])
+        n, sums = np.zeros((len(rows), 1), dtype=np.uint64), np.zeros((len(rows), 4), dtype=np.uint64)
+        for b, at in groups_of(places):
+            part = self.files[k].open(b)
+            part.find(f"n{k}", own[at], n, at)
+            whole = at[splits[at] == 1]
+            part.find(f"c{k}", context[whole], sums, whole)
+        spread = np.flatnonzero(splits > 1)
+        for b, at in groups_of(bucket_of(context[spread], self.sums.buckets)):
+            self.sums.open(b).find(f"c{k}", context[spread[at]], sums, spread[at])
+        return n[:, 0], sums
+
+    def probabilities(self, rows: np.ndarray) -> np.ndarray:
+        """P(last word | the words before) for rows of ids [n, order]."""
+        p = np.full(len(rows), self.lambda_1 / (self.words.distinct + 1))
         if self.ends:
-            p += self.discounted(1, last) / self.ends
+            p += self.discounted(1, self.continuations(rows[:, -1])) / self.ends
         for k in range(2, self.order + 1):
-            own = words[:, -k:]
-            context = self.counts(f"c{k}", key_of(own[:, :-1]), 4).astype(np.float64)
-            c = self.counts(f"n{k}", key_of(own), 1)[:, 0]
-            total = context[:, 0]
-            known = total > 0
-            back = context[:, 1:] @ np.array(self.discounts[k])
-            safe = np.where(known, total, 1.0)
-            p = np.where(known, (self.discounted(k, c) + back * p) / safe, p)
+            c, sums = self.level(rows[:, -k:])
+            total = sums[:, 0].astype(np.float64)
+            back = sums[:, 1:].astype(np.float64) @ np.array(self.discounts[k])
+            p = np.where(total > 0, (self.discounted(k, c) + back * p) / np.where(total > 0, total, 1.0), p)
         return p
 
     def scores(self, texts: list[str | None]) -> dict[str, np.ndarray]:
-        flat, sizes = tokens_of(texts, self.order)
-        words = ngrams(flat, sizes, self.order)
+        flat, sizes = self.words.tokens_of(texts, self.order)
+        rows = ngrams(flat, sizes, self.order)
         at = np.cumsum(sizes) - sizes
-        c = self.counts("t", key_of(words[:, -1:]), 1)[:, 0]
-        base = np.log10((c.astype(np.float64) + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
-        log_p = np.log10(self.probabilities(words))
+        distinct, back = np.unique(rows[:, -1], return_inverse=True)
+        c = self.words.counts(distinct)[back]
+        base = np.log10((c.astype(np.float64) + 0.5) / (self.tokens + 0.5 * (self.words.distinct + 1)))
+        log_p = np.log10(self.probabilities(rows))
         return {"n_tokens": sizes, "n_known": np.add.reduceat((c > 0).astype(np.int64), at), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(log_p, at)}
 
 
@@ -180,7 +350,7 @@ def discounts_of(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw))
 
 
-def train(docs: DataFrame, usable: Column, order: int = ORDER, text_col: str = "text") -> Model:
+def train(docs: DataFrame, usable: Column, order: int = ORDER, text_col: str = "text", split_tokens: int = SPLIT_TOKENS) -> Model:
     """Counts the rows for which ``usable`` holds, and writes the model to the shared folder."""
     if order < 2:
         raise ValueError("the order is 2 at least")
@@ -189,20 +359,25 @@ def train(docs: DataFrame, usable: Column, order: int = ORDER, text_col: str = "
     rows = docs.where(usable).select(F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    root = Scratch(spark, "ngrams").root
-    schema = "kind string, bucket int, body binary"
-    names = ["kind", "bucket", "body"]
+    scratch = Scratch(spark, "ngrams")
+    table, sums = Buckets(f"{scratch.root}/words", buckets), Buckets(f"{scratch.root}/sums", buckets)
+    files = {k: Buckets(f"{scratch.root}/ngrams{k}", buckets) for k in range(min(order, 3), order + 1)}
+    files.setdefault(2, files[min(order, 3)])
+    documents, tokens, distinct = count_words(rows, table)
+    words = Words(table, documents, tokens + documents, distinct + (documents > 0), split_tokens)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
 
-        def flush() -> pa.RecordBatch:
-            words = np.concatenate(held)
-            keys, words, counts = combined(words, np.ones((len(words), 1), dtype=np.uint64))
-            return pa.RecordBatch.from_pandas(pd.DataFrame(_packed(f"n{order}:", words, counts, keys, buckets), columns=names).astype({"bucket": "int32"}), preserve_index=False)
+        def flush() -> pd.DataFrame:
+            grams, counts = combined(np.concatenate(held), np.ones((n, 1), dtype=np.uint64))
+            owner = owner_of(grams)
+            return _frame(list(_dealt(f"g{order}", grams, counts, place_of(owner, grams[:, -1], splits_of(owner, words), buckets))))
 
         for batch in batches:
-            flat, sizes = tokens_of(batch.column(0).to_pylist(), order)
+            if not batch.num_rows:
+                continue
+            flat, sizes = words.tokens_of(batch.column(0).to_pylist(), order)
             held.append(ngrams(flat, sizes, order))
             n += len(held[-1])
             if n >= COMBINE:
@@ -212,58 +387,74 @@ def train(docs: DataFrame, usable: Column, order: int = ORDER, text_col: str = "
             yield flush()
 
     def adding(level: int):
-        """Adds up what was dealt: n-grams of one order, or, at level 1, words, contexts and tokens."""
+        """Adds up the n-grams of one order in each bucket, writes them and deals what follows from them."""
+
+        def tables(grams: np.ndarray, counts: np.ndarray, sections: dict, out: list) -> None:
+            k = grams.shape[1]
+            sections[f"n{k}"] = (key_of(grams), counts)
+            contexts, parts = _contexts(grams, counts[:, 0])
+            # The owner of an n-gram ends its context.
+            spread = splits_of(contexts[:, 1:] if k > 2 else contexts, words) > 1
+            sections[f"c{k}"] = (key_of(contexts[~spread]), parts[~spread])
+            keys = key_of(contexts[spread])
+            for b, at in groups_of(bucket_of(keys, buckets)):
+                out.append((f"c{k}", b, packed_columns([keys[at]], list(parts[spread][at].T))))
+            out.append(_seen(k, counts[:, 0]))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held: dict[tuple, list] = {}
-            passed = []
-            for frame in frames:
-                for kind, bucket, body in frame.itertuples(index=False, name=None):
-                    if kind[0] == "d" or (level > 1 and not kind.startswith(f"n{level}:")):
-                        passed.append((kind, bucket, body))
-                    else:
-                        held.setdefault((kind.split(":")[0], bucket), []).append(_unpacked(kind, body))
-            if passed:
-                yield pd.DataFrame(passed, columns=names)
-            parts: dict[str, list] = {}
-            for (kind, bucket), pieces in held.items():
-                keys, words, counts = combined(np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces]))
-                # Contexts are looked up by the hash of their words, which is what was dealt.
-                write_array(f"{root}/{kind}/{bucket:06d}", keys, counts)
-                if kind[0] == "n":
-                    c = counts[:, 0]
-                    seen = [int((c == i).sum()) for i in (1, 2, 3, 4)]
-                    yield pd.DataFrame([(f"d{kind[1:]}", 0, np.array([*seen, int((c >= 3).sum()), int(c.sum())], dtype="<u8").tobytes())], columns=names)
-                if kind == "t":
-                    yield pd.DataFrame([("dt", 0, np.array([int(counts.sum()), len(keys)], dtype="<u8").tobytes())], columns=names)
-                if kind == f"n{level}" and level > 1:
-                    c = counts[:, :1]
-                    sums = np.concatenate([c, c == 1, c == 2, c >= 3], axis=1).astype(np.uint64)
-                    parts.setdefault(f"c{level}:", []).append((words[:, :-1], sums))
-                    parts.setdefault(f"n{level - 1}:", []).append((words[:, 1:], np.ones_like(c)))
-                    if level == order:
-                        parts.setdefault("t:", []).append((words[:, -1:], c))
-            for kind, pieces in parts.items():
-                keys, words, counts = combined(np.concatenate([p[0] for p in pieces]), np.concatenate([p[1] for p in pieces]))
-                for row in _packed(kind, words, counts, keys, buckets):
-                    yield pd.DataFrame([row], columns=names)
+            for b, parts in _by_bucket(frames):
+                out = [(kind, 0 if kind[0] == "d" else b, body) for kind, body in parts if kind != f"g{level}"]
+                found = [_rows(body) for kind, body in parts if kind == f"g{level}"]
+                if found:
+                    grams, counts = combined(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+                    sections: dict = {}
+                    tables(grams, counts, sections, out)
+                    if level > 2:  # all first words of a shorter n-gram are here
+                        grams, counts = combined(grams[:, 1:], np.ones((len(grams), 1), dtype=np.uint64))
+                        if level > 3:
+                            owner = owner_of(grams)
+                            out += _dealt(f"g{level - 1}", grams, counts, place_of(owner, grams[:, -1], splits_of(owner, words), buckets))
+                        else:
+                            tables(grams, counts, sections, out)
+                    if level <= 3:
+                        last, befores = combined(grams[:, -1:], np.ones((len(grams), 1), dtype=np.uint64))
+                        keys = key_of(last)
+                        for to, at in groups_of(bucket_of(keys, buckets)):
+                            out.append(("n1", to, packed_columns([keys[at]], [befores[at, 0]])))
+                    write_bucket(files[level].uri(b), sections)
+                for row in out:
+                    yield _frame([row])
 
         return run
 
-    dealt = rows.mapInArrow(count, schema)
-    for level in range(order, 0, -1):
-        dealt = dealt.repartition(buckets, "bucket").mapInPandas(adding(level), schema)
+    def add_sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b, parts in _by_bucket(frames):
+            held: dict[str, list] = {}
+            for kind, body in parts:
+                if kind[0] == "d":
+                    yield _frame([(kind, b, body)])
+                else:
+                    held.setdefault(kind, []).append(unpacked_columns(body))
+            sections = {}
+            for kind, found in held.items():
+                keys, added = combined(np.concatenate([f[0][0] for f in found])[:, None], np.concatenate([np.stack(f[1], axis=1) for f in found]))
+                sections[kind] = (keys[:, 0], added)
+                if kind == "n1":
+                    yield _frame([_seen(1, added[:, 0])])
+            write_bucket(sums.uri(b), sections)
+
+    dealt = rows.mapInArrow(_arrow(count), _SCHEMA)
+    for level in range(order, 1 if order == 2 else 2, -1):
+        dealt = _each_bucket(dealt, buckets, adding(level))
     # A few numbers for each bucket and order reach the driver.
     seen: dict[str, np.ndarray] = {}
-    for kind, _, body in dealt.where("kind like 'd%'").collect():
+    for kind, _, body in _each_bucket(dealt, buckets, add_sums).collect():
         seen[kind] = seen.get(kind, 0) + np.frombuffer(body, dtype="<u8").astype(object)
-    zero = np.zeros(6, dtype=object)
-    levels = {k: seen.get(f"d{k}", zero).tolist() for k in range(1, order + 1)}
+    levels = {k: seen.get(f"d{k}", np.zeros(6, dtype=object)).tolist() for k in range(1, order + 1)}
     discounts = {k: discounts_of(v[:4]) for k, v in levels.items()}
-    tokens, words = seen.get("dt", np.zeros(2, dtype=object)).tolist()
     n1, n2, _, _, more, ends = levels[1]
     d = discounts[1]
-    return Model(root, buckets, order, discounts, int(tokens), int(words), int(ends), (d[0] * n1 + d[1] * n2 + d[2] * more) / ends if ends else 1.0)
+    return Model(words, files, sums, order, discounts, int(ends), (d[0] * n1 + d[1] * n2 + d[2] * more) / ends if ends else 1.0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

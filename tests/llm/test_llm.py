@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ethoflow.llm import bpe, components, decontaminate, feistel, line_dedup, ngram_lm, quality_crf, queries, simhash, substring_dedup, topk_bsi, url_filter
+from ethoflow.llm import _arrays, bpe, components, decontaminate, feistel, line_dedup, ngram_lm, quality_crf, queries, simhash, substring_dedup, topk_bsi, url_filter
 from ethoflow.llm._common import OWN, Scratch, crc_of_id
 
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -349,13 +349,44 @@ def test_quality(spark):
 # 7. Language model
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_language_model(spark, order):
+def test_packed_columns_and_buckets(tmp_path):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 5000):
+        rows = np.sort(rng.integers(0, 40, n).astype(np.uint64) << np.uint64(33)), rng.integers(0, 9, n).astype(np.uint64), rng.integers(0, 1 << 63, n).astype(np.uint64)
+        keys, counts = _arrays.unpacked_columns(_arrays.packed_columns(rows, [rows[2], np.ones(n, dtype=np.uint64)]))
+        assert all((a == b).all() for a, b in zip(keys, rows)) and (counts[0] == rows[2]).all() and (counts[1] == 1).all()
+        own = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+        common = np.stack([rng.integers(0, 5, len(own)), rng.integers(0, 2, len(own)) * 70_000], axis=1).astype(np.uint64)
+        wide = rng.integers(0, 1 << 40, (len(own), 1)).astype(np.uint64)
+        common[: len(own) // 9, 0] = wide[: len(own) // 9, 0]
+        _arrays.write_bucket(f"{tmp_path}/{n}", {"few": (own, common), "wide": (own, wide), "dense": (None, wide)})
+        b = _arrays.Bucket(f"{tmp_path}/{n}")
+        asked = np.concatenate([own, own ^ np.uint64(1 << 40)])[:: 2 if n > 7 else 1]
+        for name, columns in (("few", common), ("wide", wide), ("none", wide)):
+            out = np.zeros((len(asked), columns.shape[1]), dtype=np.uint64)
+            b.find(name, asked, out, np.arange(len(asked)))
+            held = dict(zip(own.tolist(), columns.tolist())) if name != "none" else {}
+            assert out.tolist() == [held.get(k, [0] * columns.shape[1]) for k in asked.tolist()]
+        assert (b.column("dense", np.arange(len(own))) == wide[:, 0]).all()
+    assert not _arrays.Bucket(f"{tmp_path}/absent").arrays
+
+
+def chen_goodman(n1, n2, n3, n4):
+    """The three discounts, within (0.05, 0.95), (0.05, 1.95) and (0.05, 2.95); halves of the counts where there are too few to tell."""
+    if n1 == 0 or n2 == 0:
+        return (0.5, 1.0, 1.5)
+    y = n1 / (n1 + 2 * n2)
+    d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+    return tuple(min(max(x, 0.05), top) for x, top in zip(d, (0.95, 1.95, 2.95)))
+
+
+@pytest.mark.parametrize("order, split", [(2, 40), (3, 1_000_000), (3, 20), (4, 20)])
+def test_language_model(spark, order, split):
     rng = random.Random(7)
     texts = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(60))).upper() for _ in range(40)] + TEXTS
     train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
     df = docs(spark, texts)
-    model = ngram_lm.train(df, crc_of_id() % 5 != 1, order)
+    model = ngram_lm.train(df, crc_of_id() % 5 != 1, order, split_tokens=split)
     got = {r.doc_id: r for r in ngram_lm.score(df, model).collect()}
     split = lambda t: (t or "").encode().lower().split() + ["</s>"]
     levels = {order: Counter()}
@@ -368,7 +399,7 @@ def test_language_model(spark, order):
         levels[k] = Counter(g[1:] for g in levels[k + 1])
     context, cuts = {}, {}
     for k, c in levels.items():
-        cuts[k] = ngram_lm.discounts_of([sum(v == i for v in c.values()) for i in (1, 2, 3, 4)])
+        cuts[k] = chen_goodman(*(sum(v == i for v in c.values()) for i in (1, 2, 3, 4)))
         context[k] = defaultdict(lambda: [0, 0, 0, 0])
         for g, n in c.items():
             context[k][g[:-1]][0] += n
@@ -394,7 +425,9 @@ def test_language_model(spark, order):
         assert got[i].base_score == pytest.approx(sum(math.log10((uni[x] + 0.5) / (total + 0.5 * (len(uni) + 1))) for x in w[order - 1 :]))
     # Probabilities of all words and one unknown add up to one.
     seen = [x for x in uni if x != "</s>"]
-    rows = np.array([[ngram_lm.word_hashes("a")[0]] * (order - 1) + [h] for h in [*(ngram_lm.word_hashes(x.decode())[0] for x in seen), int(ngram_lm.END), 12345]], dtype=np.uint64)
+    ids = model.words.ids(ngram_lm.hashes_of([b"a", *seen]))
+    assert len(set(ids.tolist())) == len(seen) and int(ids.max()) < int(ngram_lm.UNKNOWN)
+    rows = np.array([[ids[0]] * (order - 1) + [h] for h in [*ids[1:], ngram_lm.END, ngram_lm.UNKNOWN]], dtype=np.uint64)
     assert model.probabilities(rows).sum() == pytest.approx(1)
 
 
