@@ -27,4 +27,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from ethoflow.plans import frames, report  # noqa: E402, F401  they fill QUERIES
+from ethoflow.plans import database, frames, kinematics, prototypes, report, saved  # noqa: E402, F401  they fill QUERIES

@@ -38,6 +38,11 @@ def star_symbols(p: Column) -> Column:
     return F.when(p.isNull() | F.isnan(p), "").when(p < 0.001, "★★★").when(p < 0.01, "★★").when(p < 0.05, "★").otherwise("n.s.")
 
 
+def sig_letters(p: Column) -> Column:
+    """``a``, ``b``, ``c`` at 0.001, 0.01 and 0.05, else empty; for narrow tables."""
+    return F.when(p.isNull() | F.isnan(p), "").when(p < 0.001, "a").when(p < 0.01, "b").when(p < 0.05, "c").otherwise("")
+
+
 def all_real(columns: Sequence[str]) -> Column:
     """Whether every column holds a finite number."""
     return F.forall(F.array(*columns), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))

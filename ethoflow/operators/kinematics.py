@@ -1,7 +1,14 @@
-"""Locomotion metrics of one animal a recording, for all recordings at once."""
+"""Locomotion metrics of one animal a recording, for all recordings at once.
+
+Everything is keyed by the recording, so one shuffle by its keys serves the windows
+and the aggregates.  NaN, infinite and null values are no measurements: they take no
+part in counts, means and fractions, and end a run.  Without any measurement a
+fraction or mean is null.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,141 +17,313 @@ from pyspark.sql import functions as F
 
 from ethoflow.functions.geometry import speed
 from ethoflow.functions.numeric import real
-from ethoflow.operators.sequence import by, gradient, runs, turning
+from ethoflow.operators.sequence import by, gradient, turning
 
 
 @dataclass(frozen=True)
 class Limits:
-    """Thresholds of the detectors (mm, mm/s, rad/s, ms)."""
+    """Thresholds of the detectors (mm, mm/s, rad/s, ms), shares of the well's radius."""
 
     fps: float = 50.0
-    well_radius: float = 7.8
-    wall_share: float = 0.6  # of the radius: nearer the wall than this
-    radial_cap: float = 0.5  # of the speed that may point outward
-    turning: float = 0.3
-    moving: float = 2.0
-    circling_ms: float = 800.0
-    same_sign: float = 0.8
+    # darting
     burst_speed: float = 8.0
+    saccade: float = 6.0
     burst_ms: float = 60.0
     chain_ms: float = 400.0
-    saccade: float = 6.0
     bursts: int = 2
+    # circling
+    wall_share: float = 0.70
+    turning: float = 0.5
+    circling_speed: float = 3.0
+    circling_ms: float = 800.0
+    radial_share: float = 0.6  # of the radius, a second
+    same_sign: float = 0.8
+    # mobility
+    moving: float = 2.0
     immobile_ms: float = 500.0
+    # thigmotaxis and turns
+    centre_share: float = 0.5
     sharp_turn: float = 6.0
+    well_radius: float = 7.8
 
     def frames(self, ms: float) -> int:
         return max(1, round(ms * 1e-3 * self.fps))  # Python's round: halves to even
 
 
+#: Bins of a velocity histogram, and each channel's range.
 HISTOGRAM_BINS = 60
+HISTOGRAM_RANGES = {
+    "thrust": (-40.0, 40.0),
+    "slip": (-30.0, 30.0),
+    "yaw": (-20.0, 20.0),
+    "abs_translational": (0.0, 50.0),
+    "speed": (0.0, 50.0),
+}
+CHANNELS = tuple(HISTOGRAM_RANGES)
+
+
+def measured(x: Column) -> Column:
+    """Whether a value is a finite number; never null."""
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < math.inf), F.lit(False))
+
+
+def above(x: Column, limit: float | Column) -> Column:
+    """Whether a measured value lies above; Spark orders NaN above all numbers, so it is tested apart."""
+    return measured(x) & F.coalesce(x > limit, F.lit(False))
 
 
 def ground_speed(w, fps: float) -> Column:
     return F.hypot(gradient("x", w), gradient("y", w)) * fps
 
 
-def path_length(df: DataFrame, keys: Sequence[str] = ("trial_id",)) -> DataFrame:
+def with_channels(df: DataFrame, limits: Limits = Limits(), keys: Sequence[str] = ("trial_id",)) -> DataFrame:
+    """Adds the five velocity channels under their names."""
+    return df.withColumns({
+        "thrust": F.col("thrust_mm_s"), "slip": F.col("slip_mm_s"), "yaw": F.col("yaw_rad_s"),
+        "abs_translational": speed(), "speed": ground_speed(by(keys), limits.fps),
+    })
+
+
+def path_step(keys: Sequence[str] = ("trial_id",)) -> Column:
     w = by(keys)
-    step = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
-    return df.withColumn("__step", real(step)).groupBy(*keys).agg(F.coalesce(F.sum("__step"), F.lit(0.0)).alias("path_mm"))
+    return real(F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)))
+
+
+def path_length(df: DataFrame, keys: Sequence[str] = ("trial_id",)) -> DataFrame:
+    rows = df.withColumn("__step", path_step(keys))
+    return rows.groupBy(*keys).agg(F.coalesce(F.sum("__step"), F.lit(0.0)).alias("path_mm"))
+
+
+def channel_aggregates(channels: Sequence[str]) -> list[Column]:
+    """Mean, median and population deviation over measured values."""
+    out = []
+    for c in channels:
+        x = real(F.col(c))
+        out += [F.avg(x).alias(f"{c}_mean"), F.median(x).alias(f"{c}_median"), F.stddev_pop(x).alias(f"{c}_sd")]
+    return out
 
 
 def channel_stats(df: DataFrame, channels: Sequence[str], keys: Sequence[str] = ("trial_id",)) -> DataFrame:
-    """Mean, median and population deviation over finite values."""
-    return df.groupBy(*keys).agg(*(a for c in channels for a in (F.avg(real(F.col(c))).alias(f"{c}_mean"), F.median(real(F.col(c))).alias(f"{c}_median"), F.stddev_pop(real(F.col(c))).alias(f"{c}_sd"))))
+    return df.groupBy(*keys).agg(*channel_aggregates(channels))
+
+
+def bin_of(x: Column, low: float, high: float, bins: int) -> Column:
+    """The bin (from 0) of a value in [low, high], the last one closed; else null."""
+    inside = measured(x) & x.between(low, high)
+    number = F.width_bucket(x, F.lit(float(low)), F.lit(float(high)), F.lit(bins))
+    return F.when(inside, F.least(number, F.lit(bins)).cast("int") - 1)
 
 
 def histogram(df: DataFrame, x: str, low: float, high: float, bins: int = HISTOGRAM_BINS, keys: Sequence[str] = ()) -> DataFrame:
-    """Density in equal bins over [low, high], the last one closed; other values do not count."""
-    inside = df.where(real(F.col(x)).isNotNull() & F.col(x).between(low, high))
-    binned = inside.withColumn("bin", F.least(F.width_bucket(F.col(x), F.lit(float(low)), F.lit(float(high)), F.lit(bins)), F.lit(bins)).cast("int") - 1)
+    """Density in equal bins over [low, high]; other values do not count."""
+    binned = df.withColumn("bin", bin_of(F.col(x), low, high, bins)).where("bin is not null")
     n = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    width = (high - low) / bins
     if keys:
         total = F.sum("n").over(Window.partitionBy(*keys))
-        return n.withColumn("density", F.col("n") / (total * ((high - low) / bins)))
-    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).withColumn("density", F.col("n") / (F.col("total") * ((high - low) / bins))).drop("total")
+        return n.withColumn("density", F.col("n") / (total * width))
+    total = n.agg(F.sum("n").alias("total"))  # one row
+    return n.crossJoin(F.broadcast(total)).withColumn("density", F.col("n") / (F.col("total") * width)).drop("total")
+
+
+def channel_histograms(df: DataFrame, keys: Sequence[str] = ("trial_id",), bins: int = HISTOGRAM_BINS) -> DataFrame:
+    """Rows (keys, channel, bin, n, density) of all five channels over their ranges, from one pass."""
+    binned = F.array(*(
+        F.struct(F.lit(c).alias("channel"), F.lit((high - low) / bins).alias("width"), bin_of(F.col(c), low, high, bins).alias("bin"))
+        for c, (low, high) in HISTOGRAM_RANGES.items()
+    ))
+    rows = df.select(*keys, F.explode(binned).alias("b")).select(*keys, "b.*").where("bin is not null")
+    n = rows.groupBy(*keys, "channel", "width", "bin").agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*keys, "channel"))
+    return n.withColumn("density", F.col("n") / (total * F.col("width"))).drop("width")
 
 
 def mean_histogram(histograms: DataFrame, groups: Sequence[str]) -> DataFrame:
     return histograms.groupBy(*groups, "bin").agg(F.avg("density").alias("density"))
 
 
+def _starts(on: str, keys: Sequence[str]) -> Column:
+    """Whether a run of a flag starts here."""
+    return F.col(on) & ~F.coalesce(F.lag(on).over(by(keys)), F.lit(False))
+
+
+def with_sharp_turns(df: DataFrame, limits: Limits, keys: Sequence[str]) -> DataFrame:
+    df = df.withColumn("__sharp", above(F.abs("yaw_rad_s"), limits.sharp_turn))
+    return df.withColumn("__sharp_start", _starts("__sharp", keys))
+
+
+def turn_aggregates(limits: Limits) -> list[Column]:
+    a = real(F.abs("yaw_rad_s"))
+    return [
+        (F.coalesce(F.sum(a), F.lit(0.0)) / limits.fps).alias("rotation_rad"),
+        F.count_if("__sharp_start").alias("sharp_turns"), F.avg(a).alias("mean_abs_yaw"),
+    ]
+
+
 def turns(df: DataFrame, limits: Limits = Limits(), keys: Sequence[str] = ("trial_id",)) -> DataFrame:
     """Total rotation, number of sharp turns (runs of fast yaw) and mean absolute yaw."""
+    return with_sharp_turns(df, limits, keys).groupBy(*keys).agg(*turn_aggregates(limits))
+
+
+def with_well(df: DataFrame, keys: Sequence[str] = ("trial_id",), default_radius: float = Limits.well_radius) -> DataFrame:
+    """Adds cx, cy and radius of the recording's well: median centre and 99th percentile of the distance from it.
+
+    Under ten positions the radius is the default.
+    """
+    all_rows = Window.partitionBy(*keys)
+    here = measured(F.col("x")) & measured(F.col("y"))
+    df = df.withColumns({
+        "cx": F.median(F.when(here, F.col("x"))).over(all_rows), "cy": F.median(F.when(here, F.col("y"))).over(all_rows),
+        "__points": F.count_if(here).over(all_rows),
+    })
+    r = F.when(here, F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")))
+    far = F.percentile(r, F.lit(0.99)).over(all_rows)
+    return df.withColumn("radius", F.when(F.col("__points") < 10, default_radius).otherwise(far)).drop("__points")
+
+
+def well_geometry(df: DataFrame, keys: Sequence[str] = ("trial_id",), default_radius: float = Limits.well_radius) -> DataFrame:
+    """Rows (keys, cx, cy, radius)."""
+    return with_well(df, keys, default_radius).groupBy(*keys).agg(*(F.first(c).alias(c) for c in ("cx", "cy", "radius")))
+
+
+def with_zone(df: DataFrame, limits: Limits, keys: Sequence[str]) -> DataFrame:
+    df = df.withColumn("__r", real(F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))))
+    df = df.withColumn("__in", F.coalesce(F.col("__r") < limits.centre_share * F.col("radius"), F.lit(False)))
+    return df.withColumn("__enter", _starts("__in", keys))
+
+
+def zone_aggregates() -> list[Column]:
+    inside = F.when(F.col("__r").isNotNull(), F.col("__in").cast("double"))
+    return [
+        F.avg(inside).alias("centre_share"), F.avg(1 - inside).alias("periphery_share"),
+        F.count_if("__enter").alias("centre_entries"), F.avg("__r").alias("mean_radial_mm"),
+    ]
+
+
+def thigmotaxis(df: DataFrame, limits: Limits = Limits(), keys: Sequence[str] = ("trial_id",)) -> DataFrame:
+    """Shares of frames in the centre and at the periphery, runs in the centre and mean distance; needs cx, cy, radius."""
+    return with_zone(df, limits, keys).groupBy(*keys).agg(*zone_aggregates())
+
+
+def with_long_runs(df: DataFrame, on: str, keys: Sequence[str], least: int, name: str, share: Column | None = None, at_least: float = 0.0) -> DataFrame:
+    """Adds ``name`` (in a run of the flag of so many frames) and ``name``_start.
+
+    With a share (0 or 1 for each frame), the larger side's part of the run must also reach ``at_least``.
+    """
     w = by(keys)
-    sharp = F.coalesce(F.abs("yaw_rad_s") > limits.sharp_turn, F.lit(False)) & ~F.isnan("yaw_rad_s")
-    df = df.withColumn("__sharp", sharp)
-    df = df.withColumn("__start", F.col("__sharp") & ~F.coalesce(F.lag("__sharp").over(w), F.lit(False)))
-    a = real(F.abs("yaw_rad_s"))
-    return df.groupBy(*keys).agg((F.coalesce(F.sum(a), F.lit(0.0)) / limits.fps).alias("rotation_rad"), F.count_if("__start").alias("sharp_turns"), F.avg(a).alias("mean_abs_yaw"))
+    df = df.withColumn("__new", F.coalesce(F.col(on) != F.lag(on).over(w), F.lit(True)).cast("long"))
+    df = df.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy(*keys, "__run")
+    good = F.col(on) & (F.count(F.lit(1)).over(run) >= least)
+    if share is not None:
+        left, right = (F.avg((share == s).cast("double")).over(run) for s in (1, -1))
+        good = good & (F.greatest(left, right) >= at_least)
+    df = df.withColumn(name, good)
+    return df.withColumn(f"{name}_start", F.col(name) & (F.col("__new") == 1)).drop("__new", "__run")
 
 
-def well_geometry(df: DataFrame, keys: Sequence[str] = ("trial_id",), default_radius: float = 7.8) -> DataFrame:
-    """Median centre and 99th percentile of the radius; under ten points the default radius."""
-    df = df.where(real(F.col("x")).isNotNull() & real(F.col("y")).isNotNull())
-    centre = df.groupBy(*keys).agg(F.median("x").alias("cx"), F.median("y").alias("cy"), F.count(F.lit(1)).alias("n_points"))
-    r = df.join(centre, list(keys)).withColumn("__r", F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")))
-    return r.groupBy(*keys, "cx", "cy", "n_points").agg(F.percentile("__r", F.lit(0.99)).alias("p99")).select(*keys, "cx", "cy", F.when(F.col("n_points") < 10, default_radius).otherwise(F.col("p99")).alias("radius"))
+def with_mobility(df: DataFrame, limits: Limits, keys: Sequence[str], value: str) -> DataFrame:
+    x = F.col(value)
+    df = df.withColumns({"__measured": measured(x), "__slow": measured(x) & ~above(x, limits.moving)})
+    return with_long_runs(df, "__slow", keys, limits.frames(limits.immobile_ms), "__still")
 
 
-def thigmotaxis(df: DataFrame, share: float = 0.5, keys: Sequence[str] = ("trial_id",)) -> DataFrame:
-    """Shares of frames in the centre and at the periphery, entries to the centre (a start there counts) and mean radius; needs cx, cy, radius."""
-    df = df.withColumn("__r", F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy")) / F.col("radius"))
-    df = df.where(real(F.col("__r")).isNotNull()).withColumn("__in", F.col("__r") < share)
-    df = df.withColumn("__enter", F.col("__in") & ~F.coalesce(F.lag("__in").over(by(keys)), F.lit(False)))
-    return df.groupBy(*keys).agg(F.avg(F.col("__in").cast("double")).alias("centre_share"), F.avg((~F.col("__in")).cast("double")).alias("periphery_share"), F.count_if("__enter").alias("centre_entries"), F.avg("__r").alias("mean_radius"))
+def mobility_aggregates(limits: Limits) -> list[Column]:
+    frames, still = F.count_if("__measured"), F.count_if("__still")
+    return [
+        ((frames - still) / limits.fps).alias("mobile_s"), (still / limits.fps).alias("immobile_s"),
+        F.try_divide(frames - still, frames).alias("mobile_share"), F.count_if("__still_start").alias("immobile_bouts"),
+    ]
 
 
 def mobility(df: DataFrame, limits: Limits = Limits(), keys: Sequence[str] = ("trial_id",), value: str = "speed") -> DataFrame:
-    """Share of mobile frames and number of immobile bouts; short pauses count as mobile."""
-    df = df.withColumn("__still", ~F.coalesce(F.col(value) > limits.moving, F.lit(False)) | F.isnan(value))
-    r = runs(df, keys, ("__still",), gaps=False)
-    pause = F.col("__still") & (F.col("n_frames") >= limits.frames(limits.immobile_ms))
-    frames = F.sum("n_frames")
-    return r.groupBy(*keys).agg(((frames - F.coalesce(F.sum(F.when(pause, F.col("n_frames"))), F.lit(0))) / frames).alias("mobile_share"), F.count_if(pause).alias("immobile_bouts"), (F.coalesce(F.sum(F.when(pause, F.col("n_frames"))), F.lit(0)) / limits.fps).alias("immobile_s"))
+    """Mobile and immobile time; pauses shorter than ``immobile_ms`` count as mobile."""
+    return with_mobility(df, limits, keys, value).groupBy(*keys).agg(*mobility_aggregates(limits))
 
 
-def darting(df: DataFrame, limits: Limits = Limits(), keys: Sequence[str] = ("trial_id",), value: str = "speed") -> DataFrame:
-    """Episodes of bursts that follow each other closely with a saccade between.
+def with_darting(df: DataFrame, limits: Limits, keys: Sequence[str], value: str) -> DataFrame:
+    """Adds bursts and the episodes they chain into.
 
-    Whether two bursts chain depends on that pair alone, so runs over the bursts
-    are exact.
+    Two bursts chain if their gap is short and holds a saccade, which depends on that pair alone; so a running count
+    of the bursts that do not chain numbers the episodes.
     """
     w = by(keys)
-    df = df.withColumns({"__fast": F.coalesce(F.col(value) > limits.burst_speed, F.lit(False)) & ~F.isnan(value), "__jerk": (F.abs("yaw_rad_s") > limits.saccade) & ~F.isnan("yaw_rad_s")})
-    df = df.withColumn("__jerks", F.sum(F.col("__jerk").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    r = runs(df, keys, ("__fast",), gaps=False, aggs=(F.max("__jerks").alias("jerks_to"), (F.min("__jerks") - F.min_by(F.col("__jerk").cast("long"), "frame_number")).alias("jerks_before")))
-    bursts = r.where(F.col("__fast") & (F.col("n_frames") >= limits.frames(limits.burst_ms)))
-    b = Window.partitionBy(*keys).orderBy("first_frame")
-    bridged = (F.col("first_frame") - F.lag("last_frame").over(b) - 1 <= limits.frames(limits.chain_ms)) & (F.col("jerks_before") > F.lag("jerks_to").over(b))
-    chained = bursts.withColumn("__new", F.when(F.coalesce(bridged, F.lit(False)), 0).otherwise(1)).withColumn("episode", F.sum("__new").over(b.rowsBetween(Window.unboundedPreceding, 0)))
-    episodes = chained.groupBy(*keys, "episode").agg(F.count(F.lit(1)).alias("bursts"), F.min("first_frame").alias("first_frame"), F.max("last_frame").alias("last_frame")).where(F.col("bursts") >= limits.bursts)
-    found = episodes.groupBy(*keys).agg(F.count(F.lit(1)).alias("episodes"), F.sum("bursts").alias("bursts"), (F.sum(F.col("last_frame") - F.col("first_frame") + 1) / limits.fps).alias("darting_s"))
-    return df.select(*keys).distinct().join(found, list(keys), "left").na.fill(0)
-
-
-def circling(df: DataFrame, limits: Limits = Limits(), keys: Sequence[str] = ("trial_id",), value: str = "speed") -> DataFrame:
-    """Long runs near the wall with steady turning round the centre; needs cx, cy, radius."""
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col(value)
+    df = df.withColumns({"__fast": above(x, limits.burst_speed), "__seen": measured(x), "__at": F.row_number().over(w)})
+    df = with_long_runs(df, "__fast", keys, limits.frames(limits.burst_ms), "__burst")
+    jerk = above(F.abs("yaw_rad_s"), limits.saccade).cast("long")
+    df = df.withColumn("__jerks", F.sum(jerk).over(so_far))  # up to and with this frame
+    last = F.when(F.col("__burst"), F.struct(F.col("__at").alias("at"), F.col("__jerks").alias("jerks")))
+    df = df.withColumns({"__last": F.last(last, ignorenulls=True).over(before), "__jerks_before": F.lag("__jerks").over(w)})
+    gap = F.col("__at") - F.col("__last.at") - 1
+    chained = (gap <= limits.frames(limits.chain_ms)) & (F.col("__jerks_before") > F.col("__last.jerks"))
+    new = F.col("__burst_start") & ~F.coalesce(chained, F.lit(False))
+    df = df.withColumn("__episode", F.sum(new.cast("long")).over(so_far))
+    episode = Window.partitionBy(*keys, "__episode")
+    bursting = F.when(F.col("__burst"), F.col("__at"))
+    df = df.withColumns({
+        "__chain": F.count_if("__burst_start").over(episode), "__from": F.min(bursting).over(episode), "__to": F.max(bursting).over(episode),
+    })
+    df = df.withColumn("__dart", (F.col("__chain") >= limits.bursts) & F.col("__at").between(F.col("__from"), F.col("__to")))
+    return df.withColumn("__dart", F.coalesce("__dart", F.lit(False))).withColumn("__dart_start", F.col("__dart") & (F.col("__at") == F.col("__from")))
+
+
+def darting_aggregates(limits: Limits) -> list[Column]:
+    frames = F.count_if("__dart")
+    return [
+        F.count_if("__dart_start").alias("episodes"), F.count_if("__burst_start").alias("bursts"),
+        (frames / limits.fps).alias("darting_s"), F.try_divide(frames, F.count_if("__seen")).alias("darting_share"),
+    ]
+
+
+def darting(df: DataFrame, limits: Limits = Limits(), keys: Sequence[str] = ("trial_id",), value: str = "abs_translational") -> DataFrame:
+    """Episodes of bursts that follow each other closely with a saccade between; ``bursts`` counts all of them."""
+    return with_darting(df, limits, keys, value).groupBy(*keys).agg(*darting_aggregates(limits))
+
+
+def with_circling(df: DataFrame, limits: Limits, keys: Sequence[str], value: str) -> DataFrame:
+    """Adds the frames of long, steady turning round the centre near the wall; needs cx, cy, radius.
+
+    A position that is not measured leaves its neighbours without an angle, and no others.
+    """
     w = by(keys)
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
-    df = df.withColumns({"__theta": F.atan2(dy, dx), "__r": F.hypot(dx, dy)})
-    df = df.withColumns({"__omega": turning("__theta", w) * limits.fps, "__out": gradient("__r", w) * limits.fps})
-    ok = (F.col("__r") > limits.wall_share * F.col("radius")) & (F.abs("__omega") > limits.turning) & (F.col(value) > limits.moving) & (F.abs("__out") < limits.radial_cap * F.col(value))
-    df = df.withColumns({"__on": F.coalesce(ok, F.lit(False)), "__valid": real(F.col("__r")).isNotNull()})
-    valid = df.groupBy(*keys).agg(F.count_if("__valid").alias("valid_frames"))
-    r = runs(df, keys, ("__on",), gaps=False, aggs=(F.avg((F.col("__omega") > 0).cast("double")).alias("left"),)).where("__on")
-    r = r.where((F.col("n_frames") >= limits.frames(limits.circling_ms)) & (F.greatest(F.col("left"), 1 - F.col("left")) >= limits.same_sign))
-    found = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("bouts"), F.sum("n_frames").alias("frames"))
-    return valid.join(found, list(keys), "left").na.fill(0).select(*keys, "bouts", (F.col("frames") / limits.fps).alias("circling_s"), F.coalesce(F.try_divide(F.col("frames"), F.col("valid_frames")), F.lit(0.0)).alias("circling_share"))
+    df = df.withColumns({"__theta": F.atan2(dy, dx), "__d": F.hypot(dx, dy)})
+    df = df.withColumns({"__turn": turning("__theta", w), "__out": gradient("__d", w)})
+    seen = measured(F.col("__d")) & measured(F.col(value))
+    calm = measured(F.col("__out")) & (F.abs("__out") * limits.fps < limits.radial_share * F.col("radius"))
+    on = seen & above(F.col("__d"), limits.wall_share * F.col("radius")) & above(F.abs("__turn") * limits.fps, limits.turning)
+    on = on & above(F.col(value), limits.circling_speed) & F.coalesce(calm, F.lit(False))
+    df = df.withColumns({"__valid": seen, "__on": on, "__side": F.when(above(F.col("__turn"), 0.0), 1).when(above(-F.col("__turn"), 0.0), -1).otherwise(0)})
+    return with_long_runs(df, "__on", keys, limits.frames(limits.circling_ms), "__circle", F.col("__side"), limits.same_sign)
+
+
+def circling_aggregates(limits: Limits) -> list[Column]:
+    frames = F.count_if("__circle")
+    return [
+        F.count_if("__circle_start").alias("circling_bouts"), (frames / limits.fps).alias("circling_s"),
+        F.try_divide(frames, F.count_if("__valid")).alias("circling_share"),
+    ]
+
+
+def circling(df: DataFrame, limits: Limits = Limits(), keys: Sequence[str] = ("trial_id",), value: str = "abs_translational") -> DataFrame:
+    """Bouts, time and share of circling; needs cx, cy, radius."""
+    return with_circling(df, limits, keys, value).groupBy(*keys).agg(*circling_aggregates(limits))
 
 
 def animal_summary(df: DataFrame, limits: Limits = Limits(), keys: Sequence[str] = ("trial_id",)) -> DataFrame:
-    """One row an animal: all metrics joined on the recording's keys."""
-    w = by(keys)
-    df = df.withColumns({"speed": speed(), "ground_speed": ground_speed(w, limits.fps)})
-    df = df.join(well_geometry(df, keys, limits.well_radius), list(keys))
-    out = channel_stats(df, ("thrust_mm_s", "slip_mm_s", "yaw_rad_s", "speed", "ground_speed"), keys)
-    for part in (path_length(df, keys), turns(df, limits, keys), thigmotaxis(df, keys=keys), mobility(df, limits, keys, "ground_speed"), darting(df, limits, keys), circling(df, limits, keys)):
-        out = out.join(part, list(keys), "left")
-    return out
+    """One row an animal with all metrics: one shuffle by the keys, then windows and one aggregate in place."""
+    df = with_well(with_channels(df, limits, keys), keys, limits.well_radius).withColumn("__step", path_step(keys))
+    df = with_zone(with_sharp_turns(df, limits, keys), limits, keys)
+    df = with_mobility(df, limits, keys, "speed")
+    df = with_darting(df, limits, keys, "abs_translational")
+    df = with_circling(df, limits, keys, "abs_translational")
+    valid = measured(F.col("thrust")) & measured(F.col("yaw"))
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_frames"), F.avg(valid.cast("double")).alias("valid_share"),
+        *channel_aggregates(CHANNELS), *(F.first(c).alias(c) for c in ("cx", "cy", "radius")),
+        F.coalesce(F.sum("__step"), F.lit(0.0)).alias("path_mm"), *turn_aggregates(limits), *zone_aggregates(),
+        *mobility_aggregates(limits), *darting_aggregates(limits), *circling_aggregates(limits),
+    ).withColumn("fps", F.lit(limits.fps))

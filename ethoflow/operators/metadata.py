@@ -7,28 +7,43 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ethoflow.functions.text import plain_name, tail_key
+from ethoflow.functions.text import plain_name, prefix_key, tail_key
+
+
+def _keys_by(plates: DataFrame, key: Column, name: str) -> DataFrame:
+    """Per normalised name: how many plates it leads to, and the first of them."""
+    rows = plates.select("key", F.explode("videos").alias("v")).where("v is not null").select("key", key.alias(name)).where(F.col(name).isNotNull())
+    return rows.groupBy(name).agg(F.count_distinct("key").alias(f"{name}_n"), F.min("key").alias(f"{name}_key"))
+
+
+#: (name, key) of each tier of video matching, in the order in which they are tried.
+TIERS = (("exact", plain_name), ("tail", tail_key), ("prefix", prefix_key))
 
 
 def matched_videos(videos: DataFrame, plates: DataFrame) -> DataFrame:
-    """Rows (filename, key, status): exact plain names first, then the tail digits, then prefixes.
+    """Rows (filename, key, status): the plain name, then the nine digits at its end, then what stands before the time.
 
-    A tier decides only if exactly one key fits in it; the first tier with a fit
-    decides, and several keys there are ``ambiguous``.  plates: key and videos (names).
+    A tier decides only if it leads to exactly one plate; else the next is tried. Without a decision a name that is
+    a plate's own is ``ambiguous``, others are ``unmatched``. plates: key and videos (an array of names).
     """
-    v = videos.select("filename", plain_name(F.col("filename")).alias("n"), tail_key(F.col("filename")).alias("t")).distinct()
-    p = plates.select("key", F.explode("videos").alias("name")).where("name is not null").select("key", plain_name(F.col("name")).alias("m"), tail_key(F.col("name")).alias("u")).where("m <> ''").distinct()
-    exact = v.join(p, v.n == p.m).select("filename", F.lit(1).alias("tier"), "key")
-    tail = v.join(p, v.t == p.u).select("filename", F.lit(2).alias("tier"), "key")
-    # A name is a prefix of another: every prefix of the longer one is looked up by equality.
-    heads = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, F.lit(1), i))
-    vh, ph = v.where("n <> ''").withColumn("h", F.explode(heads(F.col("n")))), p.withColumn("h", F.explode(heads(F.col("m"))))
-    prefix = vh.join(p, vh.h == p.m).select("filename", F.lit(3).alias("tier"), "key").unionAll(ph.join(v, ph.h == v.n).select("filename", F.lit(3).alias("tier"), "key"))
-    fits = exact.unionAll(tail).unionAll(prefix).distinct()
-    first = fits.groupBy("filename").agg(F.min(F.struct("tier")).alias("x")).select("filename", F.col("x.tier").alias("tier"))
-    keys = fits.join(first, ["filename", "tier"]).groupBy("filename", "tier").agg(F.count_distinct("key").alias("n_keys"), F.min("key").alias("key"))
-    status = F.when(F.col("n_keys").isNull(), "unmatched").when(F.col("n_keys") > 1, "ambiguous").when(F.col("tier") == 1, "exact").when(F.col("tier") == 2, "tail").otherwise("prefix")
-    return v.select("filename").distinct().join(keys, "filename", "left").select("filename", F.when(F.col("n_keys") == 1, F.col("key")).alias("key"), status.alias("status"))
+    rows = videos.select("filename").distinct()
+    for name, key in TIERS:
+        rows = rows.withColumn(name, key(F.col("filename"))).join(_keys_by(plates, key(F.col("v")), name), name, "left")
+    chosen = F.coalesce(*(F.when(F.col(f"{n}_n") == 1, F.struct(F.col(f"{n}_key").alias("key"), F.lit(n).alias("status"))) for n, _ in TIERS))
+    none = F.when(F.col("exact_n") > 1, "ambiguous").otherwise("unmatched")
+    return rows.withColumn("c", chosen).select("filename", F.col("c.key").alias("key"), F.coalesce("c.status", none).alias("status"))
+
+
+def candidate_keys(videos: DataFrame, plates: DataFrame) -> DataFrame:
+    """Rows (filename, keys): the plates that any tier leads to, sorted; what to choose from where no tier decides."""
+    names = plates.select("key", F.explode("videos").alias("v")).where("v is not null")
+    found = None
+    for _, key in TIERS:
+        v, p = videos.select("filename", key(F.col("filename")).alias("k")), names.select("key", key(F.col("v")).alias("k"))
+        hits = v.where("k is not null").join(p, "k").select("filename", "key")
+        found = hits if found is None else found.unionAll(hits)
+    keys = found.groupBy("filename").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    return videos.select("filename").distinct().join(keys, "filename", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
 
 
 def get_or_create(table: DataFrame, wanted: DataFrame, keys: Sequence[str], id_col: str) -> tuple[DataFrame, DataFrame]:
@@ -80,25 +95,29 @@ def missing_clips(videos: DataFrame, files: DataFrame, wells: int = 24) -> DataF
     return grid.join(files.select("stem", "well").distinct(), ["stem", "well"], "left_anti")
 
 
-def plan(plates: DataFrame, matches: DataFrame) -> DataFrame:
-    """Reviewable rows with what will be done: skip without transgene, wells or on gradients."""
-    from ethoflow.functions.text import is_gradient
-
-    rows = matches.join(plates, "key", "left")
-    status = F.when(F.col("key").isNull(), F.col("status")).when(F.coalesce("transgene", F.lit("")) == "", "skip: no transgene").when(is_gradient(F.col("description")), "skip: gradient").when(F.coalesce(F.size("wells"), F.lit(0)) <= 0, "skip: no wells").otherwise("ready")
-    return rows.withColumn("plan_status", status)
-
-
 def mapped_labels(df: DataFrame, cluster_map: DataFrame, label: str = "label") -> DataFrame:
     """Adds display id, category and short label; unknown labels show as ``C<label>``, ``unclassified``."""
     m = cluster_map.select(F.col("raw_id").alias(label), "display_id", "category", "short_label")
-    out = df.join(F.broadcast(m), label, "left") if cluster_map.count() <= 10_000 else df.join(m, label, "left")
+    out = df.join(m, label, "left")
     return out.withColumns({"category": F.coalesce("category", F.lit("unclassified")), "short_label": F.coalesce(F.nullif("short_label", F.lit("")), F.concat(F.lit("C"), F.col(label).cast("string")))})
 
 
-def ordered_map(categories: DataFrame) -> DataFrame:
-    """Display ids from 0 by category and raw id: a dimension of at most hundreds of rows."""
-    return categories.withColumn("display_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("category", "raw_id")) - 1)
+def ordered_map(categories: DataFrame, by_category: bool = True) -> DataFrame:
+    """Display ids from 0 by category and raw id, or by raw id: a dimension of at most hundreds of rows."""
+    order = ("category", "raw_id") if by_category else ("raw_id",)
+    return categories.withColumn("display_id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+
+
+def identity_map(spark, k: int, category: str = "unclassified") -> DataFrame:
+    """Rows (raw_id, display_id, category) where both ids are the same."""
+    i = F.col("id").cast("int")
+    return spark.range(k).select(i.alias("raw_id"), i.alias("display_id"), F.lit(category).alias("category"))
+
+
+def short_labels(cluster_map: DataFrame, short: Column) -> DataFrame:
+    """Adds ``<category's short name>.<number in the category>``, numbered in display order."""
+    n = F.row_number().over(Window.partitionBy("category").orderBy("display_id"))
+    return cluster_map.withColumn("short_label", F.concat(short, F.lit("."), n.cast("string")))
 
 
 def agglomerated(df: DataFrame, groups: Sequence[tuple[str, Sequence[int]]], label: str = "label", out: str = "category") -> DataFrame:

@@ -11,15 +11,11 @@ from ethoflow.catalog import query
 from ethoflow.functions import numeric
 from ethoflow.functions.geometry import aligned, per_second, speed, speed_with_turn, to_body_frame, with_body_axis
 from ethoflow.operators import battery, bouts, clean, cluster, features, kinematics, markov, metadata, proportions, sequence, stats
-from ethoflow.plans.roles import FRAMES, K, LANDMARKS, frames, landmarks, load
+from ethoflow.plans.roles import FRAMES, K, LANDMARKS, frames, landmarks, load, rounded
 
 FPS = 50.0
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
-
-
 SHARES = f"""with {FRAMES}, shares as (
   select trial_id, grp, label as cluster, n / sum(n) over (partition by trial_id) as proportion
   from (select trial_id, grp, l.label, count(f.label) as n from (select distinct trial_id, grp from frames) t cross join range(5) l(label)
@@ -212,83 +208,6 @@ def speed_channels(spark, d):
     return _frame_query(lambda f, w: f.withColumns({"speed": speed(), "combined": speed_with_turn()}), ["speed", "combined"])(spark, d)
 
 
-LIMITS = kinematics.Limits(fps=10.0, burst_ms=100, chain_ms=2000, immobile_ms=200)
-SPEED = f"""with {FRAMES}, s as (select *, sqrt(pow(thrust_mm_s, 2) + pow(slip_mm_s, 2)) as speed from frames)"""
-
-
-def _fast(spark, d):
-    return frames(spark, d).withColumn("speed", speed())
-
-
-@query(f"""{SPEED}, r as (select trial_id, still, run, count(*) as n from (select *, sum(new) over (partition by trial_id order by frame_number) as run from (
-  select *, speed <= 2 as still, case when lag(speed <= 2) over w is null or lag(speed <= 2) over w <> (speed <= 2) then 1 else 0 end as new from s window w as (partition by trial_id order by frame_number))) group by all)
-select trial_id, round(1 - coalesce(sum(n) filter (still and n >= 2), 0) / sum(n), 6) as mobile_share, count(*) filter (still and n >= 2) as immobile_bouts, round(coalesce(sum(n) filter (still and n >= 2), 0) / 10, 6) as immobile_s from r group by 1""")
-def mobility(spark, d):
-    return rounded(kinematics.mobility(_fast(spark, d), LIMITS))
-
-
-@query(f"""{SPEED}, m as (select *, speed > 8 as fast, sum(case when abs(yaw_rad_s) > 6 then 1 else 0 end) over (partition by trial_id order by frame_number) as jerks from s),
-r as (select trial_id, run, min(frame_number) as a, max(frame_number) as z from (select *, sum(new) over (partition by trial_id order by frame_number) as run from (
-  select *, case when lag(fast) over w is null or lag(fast) over w <> fast then 1 else 0 end as new from m window w as (partition by trial_id order by frame_number))) where fast group by all),
-c as (select *, lag(z) over (partition by trial_id order by a) as y from r),
-j as (select c.*, coalesce(c.a - c.y - 1 <= 20 and coalesce((select max(jerks) from m where m.trial_id = c.trial_id and m.frame_number = c.a - 1), 0) > (select max(jerks) from m where m.trial_id = c.trial_id and m.frame_number = c.y), false) as bridged from c),
-e as (select trial_id, ep, count(*) as bursts, min(a) as a, max(z) as z from (select *, sum(case when bridged then 0 else 1 end) over (partition by trial_id order by a) as ep from j) group by all having count(*) >= 2)
-select t.trial_id, count(e.ep) as episodes, coalesce(sum(bursts), 0)::bigint as bursts, round(coalesce(sum(z - a + 1), 0)::double / 10, 6) as darting_s from (select distinct trial_id from frames) t left join e using (trial_id) group by 1""")
-def darting(spark, d):
-    return rounded(kinematics.darting(_fast(spark, d), LIMITS))
-
-
-@query(f"""with {FRAMES} select trial_id, round(coalesce(sum(sqrt(pow(dx, 2) + pow(dy, 2))), 0), 6) as path_mm from (
-  select trial_id, x - lag(x) over w as dx, y - lag(y) over w as dy from frames window w as (partition by trial_id order by frame_number)) group by 1""")
-def path_length(spark, d):
-    return rounded(kinematics.path_length(frames(spark, d)))
-
-
-@query(f"""with {FRAMES} select trial_id, round(sum(abs(yaw_rad_s)) / 10, 6) as rotation_rad, count(*) filter (abs(yaw_rad_s) > 6 and (before is null or abs(before) <= 6)) as sharp_turns, round(avg(abs(yaw_rad_s)), 6) as mean_abs_yaw
-from (select *, lag(yaw_rad_s) over (partition by trial_id order by frame_number) as before from frames) group by 1""")
-def turn_statistics(spark, d):
-    return rounded(kinematics.turns(frames(spark, d), LIMITS))
-
-
-GEOMETRY = f"""with {FRAMES}, g as (select f.trial_id, cx, cy, case when n < 10 then 7.8 else quantile_cont(sqrt(pow(x - cx, 2) + pow(y - cy, 2)), 0.99) end as radius
-  from frames f join (select trial_id, median(x) as cx, median(y) as cy, count(*) as n from frames group by 1) c using (trial_id) group by f.trial_id, cx, cy, n)"""
-
-
-@query(f"{GEOMETRY} select trial_id, round(cx, 6) as cx, round(cy, 6) as cy, round(radius, 6) as radius from g")
-def well_geometry(spark, d):
-    return rounded(kinematics.well_geometry(frames(spark, d)))
-
-
-@query(f"""{GEOMETRY}, t as (select trial_id, frame_number, sqrt(pow(x - cx, 2) + pow(y - cy, 2)) / radius as r from frames join g using (trial_id))
-select trial_id, round(avg((r < 0.5)::int), 6) as centre_share, round(avg((r >= 0.5)::int), 6) as periphery_share, count(*) filter (r < 0.5 and (before is null or before >= 0.5)) as centre_entries, round(avg(r), 6) as mean_radius
-from (select *, lag(r) over (partition by trial_id order by frame_number) as before from t) group by 1""")
-def thigmotaxis(spark, d):
-    f = frames(spark, d)
-    return rounded(kinematics.thigmotaxis(f.join(kinematics.well_geometry(f), "trial_id")))
-
-
-@query()
-def circling(spark, d):
-    f = _fast(spark, d)
-    return rounded(kinematics.circling(f.join(kinematics.well_geometry(f), "trial_id"), LIMITS))
-
-
-@query()
-def animal_summary(spark, d):
-    return rounded(kinematics.animal_summary(frames(spark, d), LIMITS))
-
-
-@query(f"""with {FRAMES} select grp, b::int as bin, n, round(n / (sum(n) over (partition by grp) * 0.5), 6) as density
-from (select grp, least(floor(x / 0.5), 59) as b, count(*) as n from frames where x between 0 and 30 group by all)""")
-def velocity_histogram(spark, d):
-    return rounded(kinematics.histogram(frames(spark, d), "x", 0, 30, 60, ("grp",)))
-
-
-@query(f"with {FRAMES} select trial_id, round(avg(x), 6) as x_mean, round(median(x), 6) as x_median, round(stddev_pop(x), 6) as x_sd, round(avg(y), 6) as y_mean, round(median(y), 6) as y_median, round(stddev_pop(y), 6) as y_sd from frames group by 1")
-def channel_statistics(spark, d):
-    return rounded(kinematics.channel_stats(frames(spark, d), ("x", "y")))
-
-
 FEATURES = ("left_eye_x", "right_eye_y", "tail_base_y")
 STATS = (("left_eye_x", 25.0, 14.0), ("right_eye_y", 5.0, 3.0), ("tail_base_y", -25.0, 0.0))
 CENTROIDS = ((-1.0, -1.0, 0.0), (1.0, -1.0, 10.0), (-1.0, 1.0, 20.0), (1.0, 1.0, -20.0))

@@ -8,29 +8,54 @@ from pyspark.sql import functions as F
 from ethoflow.catalog import query
 from ethoflow.functions import text
 from ethoflow.operators import metadata, report
-from ethoflow.plans.roles import STAR, load, star
+from ethoflow.plans.roles import GROUPS, STAR, load, star
 
 
-@query(f"""with {STAR} select e.experiment_type_id, e.long_name, coalesce(string_agg(distinct i.first_name || ' ' || i.last_name, ',' order by i.first_name || ' ' || i.last_name), '') as investigators,
-  count(distinct v.video_id) as n_videos, min('20' || v.filename[4:5] || '-' || v.filename[6:7] || '-' || v.filename[8:9]) as first_day, max('20' || v.filename[4:5] || '-' || v.filename[6:7] || '-' || v.filename[8:9]) as last_day
-from experiment_type e join series s on e.experiment_type_id = s.experiment_type_id left join investigator i on s.investigator_id = i.investigator_id left join video v on s.series_id = v.series_id group by all""")
+EXPERIMENTS = """experiments as (
+  select e.experiment_type_id, e.short_name, e.long_name, e.protocol,
+    coalesce(string_agg(distinct i.first_name || ' ' || i.last_name, ',' order by i.first_name || ' ' || i.last_name), '') as investigators,
+    min(s.experiment_date) as series_first, max(s.experiment_date) as series_last, count(distinct v.video_id) as n_videos
+  from experiment_type e join series s on e.experiment_type_id = s.experiment_type_id left join investigator i on s.investigator_id = i.investigator_id
+    left join video v on s.series_id = v.series_id
+  where e.experiment_type_id in (0, 1) group by all
+)"""
+
+
+@query(f"with {STAR}, {EXPERIMENTS} select * from experiments")
 def star_experiments(spark, d):
-    return report.experiments(star(spark, d))
+    return report.experiments(star(spark, d), [0, 1])
 
 
-@query(f"with {STAR} select tadpole_group_id, transgene, experiment_type_id, n_animals, n_videos, first_file from groups")
+@query(f"with {STAR}, {GROUPS} select * from groups")
 def star_groups(spark, d):
-    return report.groups(star(spark, d))
+    return report.groups(star(spark, d), [0, 1])
+
+
+@query(f"with {STAR}, {GROUPS} select tadpole_group_id, guide, n_animals from groups where role = 'internal control'")
+def internal_controls(spark, d):
+    return report.internal_controls(report.groups(star(spark, d), [0, 1])).select("tadpole_group_id", "guide", "n_animals")
 
 
-@query(f"with {STAR} select experiment_type_id, sum(n_animals)::bigint as n_animals from groups where experiment_type_id <> 1 and contains(lower(transgene), 'control') group by 1")
+@query(f"""with {STAR} select f.experiment_type_id::int as experiment_type_id, short_name, case when lower(short_name) like '%ptz%' then 'seizure-positive (PTZ)' else 'seizure-positive (4-AP)' end as role,
+  count(distinct trial_id) as n_animals, count(distinct tadpole_group_id) as n_groups
+from filmed f join experiment_type e on f.experiment_type_id = e.experiment_type_id
+where f.experiment_type_id <> 1 and (lower(short_name) like '%ptz%' or lower(short_name) like '%4ap%') group by all""")
 def global_controls(spark, d):
     return report.global_controls(star(spark, d), [1])
 
 
-@query(f"with {STAR} select count(distinct experiment_type_id) as n_experiments, count(distinct tadpole_group_id) as n_groups, sum(n_animals)::bigint as n_animals, sum(n_videos)::bigint as n_videos from groups")
+@query(f"""with {STAR}, {EXPERIMENTS}, {GROUPS}
+select (select count(*) from experiments) as n_experiments, (select sum(n_videos) from experiments)::bigint as n_videos, count(*) as n_groups, sum(n_animals)::bigint as n_animals,
+  min(recording_date) as first_day, max(recording_date) as last_day from groups where role <> 'empty'""")
 def report_summary(spark, d):
-    return report.summary_row(report.groups(star(spark, d)))
+    t = star(spark, d)
+    return report.summary_row(report.experiments(t, [0, 1]), report.groups(t, [0, 1]))
+
+
+@query(f"with {STAR}, {GROUPS} select o_orderkey, o_custkey as group_id, o_totalprice from orders where o_custkey in (select tadpole_group_id from groups where role = 'edited')")
+def report_group_filter(spark, d):
+    rows = load(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("group_id"), "o_totalprice")
+    return report.in_groups(rows, report.groups(star(spark, d), [0, 1]).where("role = 'edited'"))
 
 
 @query("""with o as (select o_orderkey, [(o_orderkey % 24 + 1)::int, ((o_orderkey * 7) % 24 + 1)::int] as ends, (o_custkey % 30)::int as extra from orders)
@@ -49,13 +74,13 @@ def compact_wells(spark, d):
     return w.select("o_custkey", text.compact(F.col("w")).alias("wells"))
 
 
-@query("select o_orderkey, case when o_orderkey % 5 = 4 then null else o_orderdate::date end as day from orders")
+@query("""select o_orderkey, case when o_orderkey % 8 = 7 then null when o_orderkey % 8 = 6 then date '1970-02-01' else o_orderdate::date end as day from orders""")
 def multi_format_date(spark, d):
     o, t = load(spark, d, "orders"), F.col("o_orderdate")
-    forms = ("yyyy-MM-dd", "dd/MM/yyyy", "dd.MM.yyyy", "yyyy-MM-dd HH:mm:ss")
-    written = F.lit("31/11/2024")
-    for i, f in enumerate(forms):
-        written = F.when(F.col("o_orderkey") % 5 == i, F.date_format(t, f)).otherwise(written)
+    written = F.lit("31/11/24")
+    for i, f in enumerate(("yyyy-MM-dd HH:mm:ss", "yyyy-M-d", "d/M/yyyy", "dd/MM/yy", "dd-MM-yyyy", "d-M-yy")):
+        written = F.when(F.col("o_orderkey") % 8 == i, F.date_format(t, f)).otherwise(written)
+    written = F.when(F.col("o_orderkey") % 8 == 6, "1/2/70").otherwise(written)
     return o.select("o_orderkey", text.parsed_date(written).alias("day"))
 
 
@@ -87,14 +112,53 @@ def name_keys(spark, d):
     return load(spark, d, "customer").select("c_custkey", text.plain_name(F.concat("c_name", F.lit(".mp4"))).alias("name"), text.tail_key(F.col("c_name")).alias("tail"))
 
 
-@query("""select n_name || '.MP4' as filename, case when n_nationkey % 5 < 2 then n_name end as key, case when n_nationkey % 5 < 2 then 'exact' else 'unmatched' end as status from nation""")
+# Recordings of a name: five in six are in a plate, under their name or with a slip in it (a letter left out, another time); some names are in two plates.
+VIDEO_NAMES = """names as (
+  select c_custkey as i, 'Cam' || (c_custkey % 9) || '_' || printf('%03d', c_custkey % 1000) || '_' || printf('%06d', c_custkey * 7 % 1000000) as name from customer
+), plates as (
+  select printf('#%d', i // 3) as key, case i % 6 when 0 then name when 1 then replace(name, 'Cam', 'Ca') when 2 then left(name, length(name) - 6) || '999999' when 3 then lower(replace(name, '_', '-')) || ',mp4'
+    else name end as v from names where i % 6 <> 5
+  union all select '#dup', name from names where i % 12 = 4
+), keyed as (
+  select key, regexp_replace(regexp_replace(lower(v), '[^a-z0-9]', '', 'g'), 'mp4$', '') as n from plates
+), videos as (
+  select name || '.MP4' as filename, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') as n from names
+), e as (
+  select v.filename, count(distinct key) as c, min(key) as key from videos v join keyed k on v.n = k.n group by 1
+), t as (
+  select v.filename, count(distinct key) as c, min(key) as key from videos v join keyed k on right(v.n, 9) = right(k.n, 9) and regexp_matches(v.n, '[0-9]{9}$') and regexp_matches(k.n, '[0-9]{9}$') group by 1
+), p as (
+  select v.filename, count(distinct key) as c, min(key) as key from videos v join keyed k on left(v.n, length(v.n) - 6) = left(k.n, length(k.n) - 6) and regexp_matches(v.n, '[0-9]{9}$') and regexp_matches(k.n, '[0-9]{9}$') group by 1
+)"""
+
+
+def _names(spark, d):
+    c, i = load(spark, d, "customer"), F.col("c_custkey")
+    name = F.format_string("Cam%d_%03d_%06d", i % 9, i % 1000, i * 7 % 1000000)
+    names = c.select(i.alias("i"), name.alias("name"))
+    slip = (
+        F.when(F.col("i") % 6 == 1, F.replace("name", F.lit("Cam"), F.lit("Ca"))).when(F.col("i") % 6 == 2, F.concat(F.expr("left(name, length(name) - 6)"), F.lit("999999")))
+        .when(F.col("i") % 6 == 3, F.concat(F.lower(F.replace("name", F.lit("_"), F.lit("-"))), F.lit(",mp4"))).otherwise(F.col("name"))
+    )
+    one = names.where("i % 6 <> 5").select(F.format_string("#%d", F.expr("i div 3")).alias("key"), slip.alias("v"))
+    plates = one.unionAll(names.where("i % 12 = 4").select(F.lit("#dup"), "name")).groupBy("key").agg(F.collect_list("v").alias("videos"))
+    return names.select(F.concat("name", F.lit(".MP4")).alias("filename")), plates
+
+
+@query(f"""with {VIDEO_NAMES} select v.filename, case when e.c = 1 then e.key when t.c = 1 then t.key when p.c = 1 then p.key end as key,
+  case when e.c = 1 then 'exact' when t.c = 1 then 'tail' when p.c = 1 then 'prefix' when e.c > 1 then 'ambiguous' else 'unmatched' end as status
+from videos v left join e using (filename) left join t using (filename) left join p using (filename)""")
 def match_videos(spark, d):
-    n = load(spark, d, "nation")
-    plates = n.where("n_nationkey % 5 < 2").select(F.col("n_name").alias("key"), F.array(F.lower(F.regexp_replace("n_name", "_", "-"))).alias("videos"))
-    # Names of one and two digits are prefixes of each other, so both sides get an end mark.
-    plates = plates.withColumn("videos", F.transform("videos", lambda v: F.concat(v, F.lit("x"))))
-    videos = n.select(F.concat("n_name", F.lit("x.MP4")).alias("filename"))
-    return metadata.matched_videos(videos, plates).withColumn("filename", F.regexp_replace("filename", r"x\.MP4$", ".MP4"))
+    return metadata.matched_videos(*_names(spark, d))
+
+
+@query(f"""with {VIDEO_NAMES}, hits as (
+  select v.filename, k.key from videos v join keyed k on v.n = k.n or (regexp_matches(v.n, '[0-9]{{9}}$') and regexp_matches(k.n, '[0-9]{{9}}$')
+    and (right(v.n, 9) = right(k.n, 9) or left(v.n, length(v.n) - 6) = left(k.n, length(k.n) - 6)))
+)
+select v.filename, coalesce(string_agg(distinct h.key, ',' order by h.key), '') as keys from videos v left join hits h using (filename) group by 1""")
+def candidate_keys(spark, d):
+    return metadata.candidate_keys(*_names(spark, d)).withColumn("keys", F.array_join("keys", ","))
 
 
 @query("select p_brand, p_type, n, round(n / sum(n) over (partition by p_brand), 6) as share from (select p_brand, p_type, count(*) as n from part group by all)")
@@ -113,10 +177,12 @@ def cluster_map(spark, d):
     return metadata.ordered_map(load(spark, d, "part").select(F.col("p_type").alias("category"), F.col("p_size").alias("raw_id")).distinct())
 
 
-@query("select o.o_orderkey, w.w as well, l.l_partkey from (select o_orderkey from orders where o_orderkey % 100 = 0) o cross join range(1, 8) w(w) left join (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey from lineitem group by all) l on l.l_orderkey = o.o_orderkey and l.l_linenumber = w.w where l.l_partkey is null".replace(", l.l_partkey from (select", " from (select"))
+@query("""select o_orderkey, w as well from orders cross join range(1, 8) r(w)
+where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linenumber = w)""")
 def missing_clips(spark, d):
     o, l = load(spark, d, "orders"), load(spark, d, "lineitem")
-    grid = metadata.missing_clips(o.where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("stem")), l.select(F.col("l_orderkey").alias("stem"), (F.col("l_linenumber") - 1).alias("well")), 7)
+    files = l.select(F.col("l_orderkey").alias("stem"), (F.col("l_linenumber") - 1).alias("well"))
+    grid = metadata.missing_clips(o.select(F.col("o_orderkey").alias("stem")), files, 7)
     return grid.select(F.col("stem").alias("o_orderkey"), (F.col("well") + 1).cast("long").alias("well"))
 
 

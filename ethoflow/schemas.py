@@ -28,12 +28,14 @@ TABLES = {
 }
 
 
+#: Markers of the body parts, in the order of their ids.
+BODY_MARKERS = ("left_eye", "right_eye", "frons", "tail_base", "tail_1", "tail_2", "tail_3", "tail_end")
+
+
 def create(spark: SparkSession, root: str) -> None:
     """Empty tables under a folder where they are missing; body parts are seeded."""
-    from ethoflow.operators.features import PARTS
-
     for name, schema in TABLES.items():
-        rows = [(i, p) for i, p in enumerate(PARTS, 1)] if name == "body_part" else []
+        rows = [(i, p) for i, p in enumerate(BODY_MARKERS, 1)] if name == "body_part" else []
         spark.createDataFrame(rows, schema).write.mode("ignore").parquet(f"{root}/{name}")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -20,3 +24,16 @@ def session(app: str = "ethoflow", **more: str) -> SparkSession:
     for key, value in (SETTINGS | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path for intermediate files in the shared folder that ``spark.checkpoint.dir`` names.
+
+    Without the setting a local run uses the temporary folder; on a cluster that is an error, as executors would not share it.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs a shared folder in spark.checkpoint.dir")
+        root = f"file://{os.path.join(tempfile.gettempdir(), 'ethoflow-scratch')}"
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
