@@ -14,7 +14,7 @@ import pyarrow as pa
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes in a range of the index, on average.
-RANGE = 32
+RANGE = 16
 #: Files that a worker keeps mapped.
 MAX_OPEN = 4096
 
@@ -178,7 +178,7 @@ def _mapped(uri: str) -> np.ndarray | None:
         held.flush()
     elif not os.path.exists(path):
         return None
-    return np.memmap(held if held is not None else path, dtype=np.uint8, mode="r")
+    return np.asarray(np.memmap(held if held is not None else path, dtype=np.uint8, mode="r"))
 
 
 class Bucket:

@@ -47,8 +47,8 @@ from ethoflow.llm._common import Scratch, small_batches
 ORDER = 3
 #: Bytes of text for each bucket: about 5 * 10^6 tokens.
 BUCKET_BYTES = 32 << 20
-#: Tokens that a counting task combines at once, and distinct words.
-COMBINE, COMBINE_WORDS = 2_000_000, 400_000
+#: Distinct words that a counting task combines at once.
+COMBINE_WORDS = 400_000
 #: Inner words that occur more often are spread over several buckets.
 SPLIT_TOKENS = 1_000_000
 START, END, UNKNOWN = np.uint64(0), np.uint64(1), np.uint64(1 << 62)
@@ -75,29 +75,55 @@ def ngrams(flat: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
     return np.stack([flat[at - order + 1 + i] for i in range(order)], axis=1)
 
 
-def combined(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct rows, sums of counts [n, columns]), ordered by inner words, last word, first word."""
+def combined(rows: np.ndarray, counts: np.ndarray, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sums of counts [n, columns]), ordered by inner words, last word, first word.
+
+    size: all numbers are below it, which saves ranking them.
+    """
     if not len(rows):
         return rows, counts
     k = rows.shape[1]
-    columns = [*range(1, k), 0]
-    distinct, ranks = np.unique(rows, return_inverse=True)
-    bits = max(1, (len(distinct) - 1).bit_length())
-    if bits * k <= 64:  # ranks keep the order of the ids and fit in one number
-        ranks = ranks.reshape(rows.shape).astype(np.uint64)
-        key = ranks[:, columns[0]].copy()
+    columns, ranks = [*range(1, k), 0], rows
+    if size is None:
+        distinct, ranks = np.unique(rows, return_inverse=True)
+        size, ranks = len(distinct), ranks.reshape(rows.shape)  # ranks keep the order
+    bits = max(1, (size - 1).bit_length())
+    if bits * k <= 64:  # they fit in one number
+        key = ranks[:, columns[0]].astype(np.uint64)
         for c in columns[1:]:
-            key = key << np.uint64(bits) | ranks[:, c]
-        by = np.argsort(key, kind="stable")
+            key = key << np.uint64(bits) | ranks[:, c].astype(np.uint64)
+        by = np.argsort(key)
         key = key[by]
         new = key[1:] != key[:-1]
     else:
-        by = np.lexsort([rows[:, c] for c in reversed(columns)])
-        new = (rows[by[1:]] != rows[by[:-1]]).any(axis=1)
+        by = np.lexsort([ranks[:, c] for c in reversed(columns)])
+        new = (ranks[by[1:]] != ranks[by[:-1]]).any(axis=1)
     first = np.flatnonzero(np.concatenate(([True], new)))
     return rows[by[first]], np.add.reduceat(counts[by], first, axis=0)
 
 
+@dataclass
+class Local:
+    """The words of a batch or bucket by a small number: their ids in order, and how often they occur in training."""
+
+    ids: np.ndarray
+    counts: np.ndarray
+    splits: np.ndarray  # over how many buckets the n-grams of an inner word are spread
+
+    def key(self, rows: np.ndarray) -> np.ndarray:
+        """The hash of each row of numbers."""
+        return key_of(self.ids[rows])
+
+    def split(self, owner: np.ndarray) -> np.ndarray:
+        return self.splits[owner].min(axis=1)
+
+    def place(self, owner: np.ndarray, last: np.ndarray, buckets: int) -> np.ndarray:
+        """The bucket of n-grams, by their owner and last word."""
+        splits = self.split(owner)
+        part = np.where(splits > 1, key_of(self.ids[last][:, None]) % splits, np.uint64(0))
+        return bucket_of(key_of(np.concatenate([self.ids[owner], part[:, None]], axis=1)), buckets)
+
+
 @dataclass
 class Words:
     """The table of words: ids by hash, counts by id."""
@@ -127,18 +153,25 @@ class Words:
                 out[at] = self.files.open(b).column("counts", ((ids[at] - np.uint64(_FIRST)) // np.uint64(self.buckets)).astype(np.int64))
         return out
 
-    def tokens_of(self, texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids with order - 1 starts and one end for each text, tokens of each text)."""
+    def local(self, ids: np.ndarray) -> Local:
+        """For distinct ids in order."""
+        counts = self.counts(ids)
+        step = np.uint64(self.split_tokens)
+        return Local(ids, counts, np.maximum(np.uint64(1), (counts + step - np.uint64(1)) // step))
+
+    def tokens_of(self, texts: list[str | None], order: int) -> tuple[Local, np.ndarray, np.ndarray]:
+        """(words, their numbers with order - 1 starts and one end for each text, tokens of each text)."""
         split = [words_of(t) for t in texts]
         distinct = list({w for words in split for w in words})
-        number = dict(zip(distinct, self.ids(hashes_of(distinct)).tolist()))
-        flat, sizes, pad = [], [], [int(START)] * (order - 1)
+        ids, numbers = np.unique(np.concatenate([[START, END], self.ids(hashes_of(distinct))]), return_inverse=True)
+        number = dict(zip(distinct, numbers[2:].tolist()))
+        flat, sizes, pad, end = [], [], [int(numbers[0])] * (order - 1), int(numbers[1])
         for words in split:
             sizes.append(len(words) + 1)
             flat += pad
             flat += map(number.__getitem__, words)
-            flat.append(int(END))
-        return np.array(flat, dtype=np.uint64), np.array(sizes, dtype=np.int64)
+            flat.append(end)
+        return self.local(ids), np.array(flat, dtype=np.int64), np.array(sizes, dtype=np.int64)
 
 
 def owner_of(rows: np.ndarray) -> np.ndarray:
@@ -146,28 +179,11 @@ def owner_of(rows: np.ndarray) -> np.ndarray:
     return rows[:, 1:-1] if rows.shape[1] > 2 else rows[:, :1]
 
 
-def splits_of(owner: np.ndarray, words: Words) -> np.ndarray:
-    """Over how many buckets each owner's n-grams are spread."""
-    distinct, back = np.unique(owner, return_inverse=True)
-    counts = words.counts(distinct)[back].reshape(owner.shape).min(axis=1)
-    return np.maximum(np.uint64(1), (counts + np.uint64(words.split_tokens - 1)) // np.uint64(words.split_tokens))
-
-
-def place_of(owner: np.ndarray, last: np.ndarray, splits: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket of n-grams."""
-    part = np.where(splits > 1, key_of(last[:, None]) % splits, np.uint64(0))
-    return bucket_of(key_of(np.concatenate([owner, part[:, None]], axis=1)), buckets)
-
-
 def _sums(c: np.ndarray) -> np.ndarray:
     """Each count's part of its context's sums: total, and n-grams of count 1, 2, 3 and more."""
     return np.stack([c, c == 1, c == 2, c >= 3], axis=1).astype(np.uint64)
 
 
-def _contexts(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return combined(rows[:, :-1], _sums(counts))
-
-
 _SCHEMA, _NAMES = "kind string, bucket int, body binary", ["kind", "bucket", "body"]
 
 
@@ -182,9 +198,9 @@ def _rows(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([rows[-1], *rows[:-1]], axis=1), np.stack(counts, axis=1)
 
 
-def _dealt(kind: str, rows: np.ndarray, counts: np.ndarray, buckets: np.ndarray) -> Iterator[tuple]:
-    for b, at in groups_of(buckets):
-        yield kind, b, _body(rows[at], counts[at])
+def _dealt(words: Local, rows: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[tuple]:
+    for b, at in groups_of(words.place(owner_of(rows), rows[:, -1], buckets)):
+        yield f"g{rows.shape[1]}", b, _body(words.ids[rows[at]], counts[at])
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -294,50 +310,56 @@ class Model:
 
     def continuations(self, ids: np.ndarray) -> np.ndarray:
         """Distinct words before each word."""
-        distinct, back = np.unique(ids, return_inverse=True)
-        out, keys = np.zeros((len(distinct), 1), dtype=np.uint64), key_of(distinct[:, None])
+        out, keys = np.zeros((len(ids), 1), dtype=np.uint64), key_of(ids[:, None])
         for b, at in groups_of(bucket_of(keys, self.sums.buckets)):
             self.sums.open(b).find("n1", keys[at], out, at)
-        return out[back, 0]
-
-    def level(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(counts of n-grams, sums [n, 4] of their contexts)."""
-        k, owner = rows.shape[1], owner_of(rows)
-        splits = splits_of(owner, self.words)
-        places = place_of(owner, rows[:, -1], splits, self.sums.buckets)
-        own, context = key_of(rows), key_of(rows[:, :-1])
-        n, sums = np.zeros((len(rows), 1), dtype=np.uint64), np.zeros((len(rows), 4), dtype=np.uint64)
-        for b, at in groups_of(places):
-            part = self.files[k].open(b)
-            part.find(f"n{k}", own[at], n, at)
-            whole = at[splits[at] == 1]
-            part.find(f"c{k}", context[whole], sums, whole)
-        spread = np.flatnonzero(splits > 1)
-        for b, at in groups_of(bucket_of(context[spread], self.sums.buckets)):
-            self.sums.open(b).find(f"c{k}", context[spread[at]], sums, spread[at])
-        return n[:, 0], sums
-
-    def probabilities(self, rows: np.ndarray) -> np.ndarray:
-        """P(last word | the words before) for rows of ids [n, order]."""
-        p = np.full(len(rows), self.lambda_1 / (self.words.distinct + 1))
+        return out[:, 0]
+
+    def ngrams(self, words: Local, rows: np.ndarray) -> np.ndarray:
+        """Counts of n-grams."""
+        k, keys = rows.shape[1], words.key(rows)
+        out = np.zeros((len(rows), 1), dtype=np.uint64)
+        for b, at in groups_of(words.place(owner_of(rows), rows[:, -1], self.sums.buckets)):
+            self.files[k].open(b).find(f"n{k}", keys[at], out, at)
+        return out[:, 0]
+
+    def contexts(self, words: Local, rows: np.ndarray) -> np.ndarray:
+        """Sums [n, 4] of contexts. The owner of an n-gram ends its context."""
+        k, keys = rows.shape[1] + 1, words.key(rows)
+        owner = rows[:, 1:] if k > 2 else rows
+        out, spread = np.zeros((len(rows), 4), dtype=np.uint64), words.split(owner) > 1
+        whole, parts = np.flatnonzero(~spread), np.flatnonzero(spread)
+        for b, at in groups_of(words.place(owner[whole], owner[whole, 0], self.sums.buckets)):
+            self.files[k].open(b).find(f"c{k}", keys[whole[at]], out, whole[at])
+        for b, at in groups_of(bucket_of(keys[parts], self.sums.buckets)):
+            self.sums.open(b).find(f"c{k}", keys[parts[at]], out, parts[at])
+        return out
+
+    def probabilities(self, words: Local, rows: np.ndarray) -> np.ndarray:
+        """P(last word | the words before) for rows of numbers [n, order]."""
+        p = np.full(len(words.ids), self.lambda_1 / (self.words.distinct + 1))
         if self.ends:
-            p += self.discounted(1, self.continuations(rows[:, -1])) / self.ends
+            p += self.discounted(1, self.continuations(words.ids)) / self.ends
+        p = p[rows[:, -1]]
         for k in range(2, self.order + 1):
-            c, sums = self.level(rows[:, -k:])
+            c = self.ngrams(words, rows[:, -k:])
+            if k == 2:  # once for each word
+                sums = self.contexts(words, np.arange(len(words.ids))[:, None])[rows[:, -2]]
+            else:
+                sums = self.contexts(words, rows[:, -k:-1])
             total = sums[:, 0].astype(np.float64)
             back = sums[:, 1:].astype(np.float64) @ np.array(self.discounts[k])
             p = np.where(total > 0, (self.discounted(k, c) + back * p) / np.where(total > 0, total, 1.0), p)
         return p
 
     def scores(self, texts: list[str | None]) -> dict[str, np.ndarray]:
-        flat, sizes = self.words.tokens_of(texts, self.order)
+        words, flat, sizes = self.words.tokens_of(texts, self.order)
         rows = ngrams(flat, sizes, self.order)
-        at = np.cumsum(sizes) - sizes
-        distinct, back = np.unique(rows[:, -1], return_inverse=True)
-        c = self.words.counts(distinct)[back]
-        base = np.log10((c.astype(np.float64) + 0.5) / (self.tokens + 0.5 * (self.words.distinct + 1)))
-        log_p = np.log10(self.probabilities(rows))
-        return {"n_tokens": sizes, "n_known": np.add.reduceat((c > 0).astype(np.int64), at), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(log_p, at)}
+        at, last = np.cumsum(sizes) - sizes, rows[:, -1]
+        base = np.log10((words.counts.astype(np.float64) + 0.5) / (self.tokens + 0.5 * (self.words.distinct + 1)))[last]
+        log_p = np.log10(self.probabilities(words, rows))
+        known = (words.counts > 0).astype(np.int64)[last]
+        return {"n_tokens": sizes, "n_known": np.add.reduceat(known, at), "base_score": np.add.reduceat(base, at), "score": np.add.reduceat(log_p, at)}
 
 
 def discounts_of(n: list[int]) -> tuple[float, float, float]:
@@ -367,38 +389,25 @@ def train(docs: DataFrame, usable: Column, order: int = ORDER, text_col: str = "
     words = Words(table, documents, tokens + documents, distinct + (documents > 0), split_tokens)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-
-        def flush() -> pd.DataFrame:
-            grams, counts = combined(np.concatenate(held), np.ones((n, 1), dtype=np.uint64))
-            owner = owner_of(grams)
-            return _frame(list(_dealt(f"g{order}", grams, counts, place_of(owner, grams[:, -1], splits_of(owner, words), buckets))))
-
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat, sizes = words.tokens_of(batch.column(0).to_pylist(), order)
-            held.append(ngrams(flat, sizes, order))
-            n += len(held[-1])
-            if n >= COMBINE:
-                yield flush()
-                held, n = [], 0
-        if n:
-            yield flush()
+            if batch.num_rows:
+                own, flat, sizes = words.tokens_of(batch.column(0).to_pylist(), order)
+                rows = ngrams(flat, sizes, order)
+                rows, counts = combined(rows, np.ones((len(rows), 1), dtype=np.uint64), len(own.ids))
+                yield _frame(list(_dealt(own, rows, counts, buckets)))
 
     def adding(level: int):
         """Adds up the n-grams of one order in each bucket, writes them and deals what follows from them."""
 
-        def tables(grams: np.ndarray, counts: np.ndarray, sections: dict, out: list) -> None:
-            k = grams.shape[1]
-            sections[f"n{k}"] = (key_of(grams), counts)
-            contexts, parts = _contexts(grams, counts[:, 0])
-            # The owner of an n-gram ends its context.
-            spread = splits_of(contexts[:, 1:] if k > 2 else contexts, words) > 1
-            sections[f"c{k}"] = (key_of(contexts[~spread]), parts[~spread])
-            keys = key_of(contexts[spread])
+        def tables(own: Local, rows: np.ndarray, counts: np.ndarray, sections: dict, out: list) -> None:
+            k, size = rows.shape[1], len(own.ids)
+            sections[f"n{k}"] = (own.key(rows), counts)
+            contexts, parts = combined(rows[:, :-1], _sums(counts[:, 0]), size)
+            keys, spread = own.key(contexts), own.split(contexts[:, 1:] if k > 2 else contexts) > 1
+            sections[f"c{k}"] = (keys[~spread], parts[~spread])
+            keys, parts = keys[spread], parts[spread]
             for b, at in groups_of(bucket_of(keys, buckets)):
-                out.append((f"c{k}", b, packed_columns([keys[at]], list(parts[spread][at].T))))
+                out.append((f"c{k}", b, packed_columns([keys[at]], list(parts[at].T))))
             out.append(_seen(k, counts[:, 0]))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -406,19 +415,22 @@ def train(docs: DataFrame, usable: Column, order: int = ORDER, text_col: str = "
                 out = [(kind, 0 if kind[0] == "d" else b, body) for kind, body in parts if kind != f"g{level}"]
                 found = [_rows(body) for kind, body in parts if kind == f"g{level}"]
                 if found:
-                    grams, counts = combined(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+                    ids, rows = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+                    own, rows = words.local(ids), rows.reshape(-1, level)
+                    rows, counts = combined(rows, np.concatenate([f[1] for f in found]), len(ids))
+                    del found
                     sections: dict = {}
-                    tables(grams, counts, sections, out)
+                    tables(own, rows, counts, sections, out)
+                    one = np.ones((len(rows), 1), dtype=np.uint64)
                     if level > 2:  # all first words of a shorter n-gram are here
-                        grams, counts = combined(grams[:, 1:], np.ones((len(grams), 1), dtype=np.uint64))
+                        rows, counts = combined(rows[:, 1:], one, len(ids))
                         if level > 3:
-                            owner = owner_of(grams)
-                            out += _dealt(f"g{level - 1}", grams, counts, place_of(owner, grams[:, -1], splits_of(owner, words), buckets))
+                            out += _dealt(own, rows, counts, buckets)
                         else:
-                            tables(grams, counts, sections, out)
+                            tables(own, rows, counts, sections, out)
                     if level <= 3:
-                        last, befores = combined(grams[:, -1:], np.ones((len(grams), 1), dtype=np.uint64))
-                        keys = key_of(last)
+                        last, befores = combined(rows[:, -1:], one[: len(rows)], len(ids))
+                        keys = own.key(last)
                         for to, at in groups_of(bucket_of(keys, buckets)):
                             out.append(("n1", to, packed_columns([keys[at]], [befores[at, 0]])))
                     write_bucket(files[level].uri(b), sections)

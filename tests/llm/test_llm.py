@@ -427,8 +427,10 @@ def test_language_model(spark, order, split):
     seen = [x for x in uni if x != "</s>"]
     ids = model.words.ids(ngram_lm.hashes_of([b"a", *seen]))
     assert len(set(ids.tolist())) == len(seen) and int(ids.max()) < int(ngram_lm.UNKNOWN)
-    rows = np.array([[ids[0]] * (order - 1) + [h] for h in [*ids[1:], ngram_lm.END, ngram_lm.UNKNOWN]], dtype=np.uint64)
-    assert model.probabilities(rows).sum() == pytest.approx(1)
+    own = model.words.local(np.unique(np.concatenate([ids, [ngram_lm.END, ngram_lm.UNKNOWN]])))
+    first = int(np.searchsorted(own.ids, ids[0]))
+    rows = np.array([[first] * (order - 1) + [i] for i in range(len(own.ids))])
+    assert model.probabilities(own, rows).sum() == pytest.approx(1)
 
 
 def test_language_model_without_training_rows(spark):
