@@ -15,6 +15,8 @@ import pyarrow as pa
 _K = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes in a range of the index, on average.
 RANGE = 16
+#: Rows of a table that its codes are taken from.
+SAMPLE = 1 << 16
 #: Files that a worker keeps mapped.
 MAX_OPEN = 4096
 
@@ -26,12 +28,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def key_on(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The hashes of rows that are one word longer than those of the keys; 0 is the hash of the empty row."""
+    with np.errstate(over="ignore"):
+        return _mix(keys * _K + words)
+
+
 def key_of(words: np.ndarray) -> np.ndarray:
     """One hash for each row of word hashes [n, k]."""
     out = np.zeros(len(words), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(words.shape[1]):
-            out = _mix(out * _K + words[:, k])
+    for k in range(words.shape[1]):
+        out = key_on(out, words[:, k])
     return out
 
 
@@ -43,7 +50,8 @@ def groups_of(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, places of its rows, in order) of each bucket that occurs."""
     if not len(buckets):
         return
-    by = np.argsort(buckets, kind="stable")
+    small = buckets.astype(np.uint16) if int(buckets.max()) < 1 << 16 else buckets  # sorted by digits
+    by = np.argsort(small, kind="stable")
     cuts = np.flatnonzero(np.diff(buckets[by])) + 1
     for part in np.split(by, cuts):
         yield int(buckets[part[0]]), part
@@ -117,15 +125,17 @@ def _section(keys: np.ndarray | None, columns: np.ndarray) -> dict[str, np.ndarr
         rest = keys << np.uint64(bits)
         out["index"] = np.searchsorted(parts, np.arange((1 << bits) + 1, dtype=np.uint64)).astype("<u4" if n < 1 << 32 else "<u8")
         out["high"], out["low"] = (rest >> np.uint64(32)).astype("<u4"), (rest >> np.uint64(24) & np.uint64(255)).astype(np.uint8)
-    _, first, code, often = np.unique(key_of(columns), return_index=True, return_inverse=True, return_counts=True)
-    common = np.argsort(-often, kind="stable")[:255]
-    if n and often[common].sum() * 4 < n * 3:
+    # The rows that are common among the first get the codes 0 to 254.
+    rows = key_of(columns)
+    seen, first, often = np.unique(rows[:SAMPLE], return_index=True, return_counts=True)
+    common = np.sort(np.argsort(-often, kind="stable")[:255])
+    at = np.minimum(np.searchsorted(seen[common], rows), max(0, len(common) - 1))
+    known = seen[common][at] == rows if n else np.zeros(0, dtype=bool)
+    if n and known.mean() < 0.75:
         for i in range(columns.shape[1]):
             out[f"plain{i}"] = _least(columns[:, i])
         return out
-    short = np.full(len(often), 255, dtype=np.uint8)
-    short[common] = np.arange(len(common))
-    out["code"] = short[code]
+    out["code"] = np.where(known, at, 255).astype(np.uint8)
     out["rows"] = columns[first[common]].astype("<u8")
     rare = np.flatnonzero(out["code"] == 255)
     out["rare"], out["rare_rows"] = rare.astype("<u4" if n < 1 << 32 else "<u8"), columns[rare].astype("<u8")

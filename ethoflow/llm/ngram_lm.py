@@ -32,7 +32,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ethoflow.llm._arrays import Buckets, bucket_of, groups_of, key_of, packed_columns, unpacked_columns, write_bucket
+from ethoflow.llm._arrays import Buckets, bucket_of, groups_of, key_of, key_on, packed_columns, unpacked_columns, write_bucket
 from ethoflow.llm._common import Scratch, small_batches
 
 #: Length of the n-grams.
@@ -112,16 +113,31 @@ class Local:
 
     def key(self, rows: np.ndarray) -> np.ndarray:
         """The hash of each row of numbers."""
-        return key_of(self.ids[rows])
+        out = self.first[rows[:, 0]]
+        for k in range(1, rows.shape[1]):
+            out = key_on(out, self.ids[rows[:, k]])
+        return out
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        """The hash of each word alone."""
+        return key_of(self.ids[:, None])
 
     def split(self, owner: np.ndarray) -> np.ndarray:
-        return self.splits[owner].min(axis=1)
+        return self.splits[owner[:, 0]] if owner.shape[1] == 1 else self.splits[owner].min(axis=1)
 
     def place(self, owner: np.ndarray, last: np.ndarray, buckets: int) -> np.ndarray:
         """The bucket of n-grams, by their owner and last word."""
-        splits = self.split(owner)
-        part = np.where(splits > 1, key_of(self.ids[last][:, None]) % splits, np.uint64(0))
-        return bucket_of(key_of(np.concatenate([self.ids[owner], part[:, None]], axis=1)), buckets)
+        zero = np.uint64(0)
+        if owner.shape[1] == 1:
+            out = bucket_of(key_on(self.first, zero), buckets)[owner[:, 0]]
+        else:
+            out = bucket_of(key_on(self.key(owner), zero), buckets)
+        spread = np.flatnonzero(self.split(owner) > 1)
+        if len(spread):
+            part = self.first[last[spread]] % self.split(owner[spread])
+            out[spread] = bucket_of(key_on(self.key(owner[spread]), part), buckets)
+        return out
 
 
 @dataclass
@@ -315,24 +331,41 @@ class Model:
             self.sums.open(b).find("n1", keys[at], out, at)
         return out[:, 0]
 
-    def ngrams(self, words: Local, rows: np.ndarray) -> np.ndarray:
-        """Counts of n-grams."""
-        k, keys = rows.shape[1], words.key(rows)
-        out = np.zeros((len(rows), 1), dtype=np.uint64)
-        for b, at in groups_of(words.place(owner_of(rows), rows[:, -1], self.sums.buckets)):
-            self.files[k].open(b).find(f"n{k}", keys[at], out, at)
-        return out[:, 0]
-
-    def contexts(self, words: Local, rows: np.ndarray) -> np.ndarray:
-        """Sums [n, 4] of contexts. The owner of an n-gram ends its context."""
-        k, keys = rows.shape[1] + 1, words.key(rows)
-        owner = rows[:, 1:] if k > 2 else rows
-        out, spread = np.zeros((len(rows), 4), dtype=np.uint64), words.split(owner) > 1
-        whole, parts = np.flatnonzero(~spread), np.flatnonzero(spread)
-        for b, at in groups_of(words.place(owner[whole], owner[whole, 0], self.sums.buckets)):
-            self.files[k].open(b).find(f"c{k}", keys[whole[at]], out, whole[at])
-        for b, at in groups_of(bucket_of(keys[parts], self.sums.buckets)):
-            self.sums.open(b).find(f"c{k}", keys[parts[at]], out, parts[at])
+    def looked_up(self, words: Local, rows: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By length of n-gram: counts, and sums [n, 4] of contexts. Trigrams come with their bigrams, which lie in the same buckets."""
+        k = rows.shape[1]
+        lengths = (3, 2) if k == 3 else (k,)
+        n = {j: np.zeros((len(rows), 1), dtype=np.uint64) for j in lengths}
+        sums = {j: np.zeros((len(rows), 4), dtype=np.uint64) for j in lengths}
+        context = words.key(rows[:, :-1])
+        keys = {k: key_on(context, words.ids[rows[:, -1]])}
+        if k == 3:
+            keys[2] = words.key(rows[:, 1:])
+        owner = owner_of(rows)
+        spread = words.split(owner) > 1
+        for b, at in groups_of(words.place(owner, rows[:, -1], self.sums.buckets)):
+            part = self.files[k].open(b)
+            for j in lengths:
+                part.find(f"n{j}", keys[j][at], n[j], at)
+            whole = at[~spread[at]]
+            part.find(f"c{k}", context[whole], sums[k], whole)
+        parts = np.flatnonzero(spread)  # the owner of an n-gram ends its context
+        for b, at in groups_of(bucket_of(context[parts], self.sums.buckets)):
+            self.sums.open(b).find(f"c{k}", context[parts[at]], sums[k], parts[at])
+        if k == 3:
+            sums[2] = self.words_as_contexts(words)[rows[:, 1]]
+        elif k == 2:
+            sums[2] = self.words_as_contexts(words)[rows[:, 0]]
+        return {j: (n[j][:, 0], sums[j]) for j in lengths}
+
+    def words_as_contexts(self, words: Local) -> np.ndarray:
+        """Sums [n, 4] of each word as the context of bigrams."""
+        out, alone = np.zeros((len(words.ids), 4), dtype=np.uint64), np.arange(len(words.ids))
+        whole, parts = np.flatnonzero(words.splits == 1), np.flatnonzero(words.splits > 1)
+        for b, at in groups_of(words.place(alone[whole, None], alone[whole], self.sums.buckets)):
+            self.files[2].open(b).find("c2", words.first[whole[at]], out, whole[at])
+        for b, at in groups_of(bucket_of(words.first[parts], self.sums.buckets)):
+            self.sums.open(b).find("c2", words.first[parts[at]], out, parts[at])
         return out
 
     def probabilities(self, words: Local, rows: np.ndarray) -> np.ndarray:
@@ -341,12 +374,11 @@ class Model:
         if self.ends:
             p += self.discounted(1, self.continuations(words.ids)) / self.ends
         p = p[rows[:, -1]]
+        found: dict = {}
+        for k in range(min(self.order, 3), self.order + 1):
+            found |= self.looked_up(words, rows[:, -k:])
         for k in range(2, self.order + 1):
-            c = self.ngrams(words, rows[:, -k:])
-            if k == 2:  # once for each word
-                sums = self.contexts(words, np.arange(len(words.ids))[:, None])[rows[:, -2]]
-            else:
-                sums = self.contexts(words, rows[:, -k:-1])
+            c, sums = found[k]
             total = sums[:, 0].astype(np.float64)
             back = sums[:, 1:].astype(np.float64) @ np.array(self.discounts[k])
             p = np.where(total > 0, (self.discounted(k, c) + back * p) / np.where(total > 0, total, 1.0), p)
