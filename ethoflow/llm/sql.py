@@ -51,10 +51,10 @@ with l as (
   from documents where text is not null
 ), h as (
   select *, ('0x' || substr(md5(line), 1, 8))::bigint & 2147483647 as h from l
+), q as (
+  select *, (h * 1000003 + coalesce(lag(h) over (partition by doc_id order by i), 0)) % 2147483647 as r, max(i) over (partition by doc_id) as n from h
 ), e as (
-  select *, ((h * 1000003 + coalesce(lag(h) over (partition by doc_id order by i), 0)) % 2147483647) % 4 = 0
-    or lead(h) over (partition by doc_id order by i) is null as ends
-  from h
+  select *, i = n or (i >= 1 and i <= n - 2 and r < lag(r) over w and r <= lead(r) over w) as ends from q window w as (partition by doc_id order by i)
 ), c as (
   select *, coalesce(sum(ends::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as c from e
 ), g as (
