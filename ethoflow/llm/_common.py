@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ethoflow.session import scratch_path
+
 #: Prefix of every helper column an operator adds to a caller's rows.
 OWN = "__ethoflow_"
 
@@ -18,29 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for written intermediate tables.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests on one machine) a local temporary folder is used instead.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return f"file://{os.path.join(tempfile.gettempdir(), 'ethoflow-scratch')}"
-
-
 class Scratch:
     """Intermediate tables of one call, written to the shared folder.
 
     A written table cuts the lineage: a lost executor costs the running stage
-    only.  ``drop`` deletes tables that nothing reads any more.
+    only.  ``drop`` deletes a table that nothing reads any more, ``release``
+    those of all calls.
     """
 
+    #: Folders of this process's calls.
+    made: list[str] = []
+
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
-        self.root = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.root = scratch_path(spark, label)
         self._n = 0
+        self.made.append(self.root)
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -56,14 +47,33 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         at = getattr(df, "_ethoflow_path", None)
         if at:
-            jvm = self.spark._jvm
-            where = jvm.org.apache.hadoop.fs.Path(at)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(self.spark, at)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(at)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediate tables and models of all calls so far; for when their results have been written."""
+    while Scratch.made:
+        _delete(spark, Scratch.made.pop())
 
 
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:
-    """Bounds the bytes of an Arrow batch, so that long texts fit in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    """Bounds the bytes of an Arrow batch, so that long texts fit in a worker; a lower bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().removesuffix("b")
+    if not (now.isdigit() and int(now) <= size):
+        spark.conf.set(key, str(size))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the rows do not have."""
+    while name in df.columns:
+        name += "_"
+    return name
 
 
 def crc_of_id(col: str = "doc_id") -> Column:

@@ -14,7 +14,7 @@ Edge cases: null and empty texts have no words, so no hits; an item of one to
 nine words is one window; items without words are ignored; a null ``item_id``
 takes part in hits but not in the item list; repeated items count once; an
 empty benchmark gives rows without hits; repeated documents come back as often
-as they came; further columns are ignored.
+as they came; further columns, of any name, do no harm.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ethoflow.llm._common import OWN, Scratch, small_batches
+from ethoflow.llm._common import OWN, Scratch, free_name, small_batches
 
 WINDOW = 10
 #: Bytes of item text in one automaton; about 30 times as much memory in a worker.
@@ -106,11 +106,10 @@ def _scanner(key: str, items: list) -> Scanner:
     return _scanners[key]
 
 
-def _scan(rows: DataFrame, items: list[tuple], text_col: str) -> DataFrame:
-    """The rows with n_words, items and spans under helper names; hits of an earlier scan are kept."""
+def _scan(rows: DataFrame, items: list[tuple], text_col: str, own: list[str]) -> DataFrame:
+    """The rows with n_words, items and spans under their own names; hits of an earlier scan are kept."""
     key = hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).hexdigest()
     sent = rows.sparkSession.sparkContext.broadcast(items)
-    own = [OWN + n for n in ("words", "items", "spans")]
     carried = [c for c in rows.columns if c not in own]
     at, before = carried.index(text_col), own[2] in rows.columns
     fields = ("first_word", "last_word", "start", "end")
@@ -153,15 +152,17 @@ def shares(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tupl
     return [[tuple(r) for r in rows.where(part == i).collect()] for i in range(2 * n)]
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str) -> DataFrame:
+def _scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str) -> tuple[DataFrame, list[str]]:
+    """(the rows with three more columns, these columns' names)."""
     small_batches(docs.sparkSession)
+    own = [free_name(docs, OWN + n) for n in ("words", "items", "spans")]
     parts = shares(benchmark, item_col, "text")
     scratch = Scratch(docs.sparkSession, "decontaminate")
     for i, items in enumerate(parts):
-        docs = _scan(docs, items, text_col)
+        docs = _scan(docs, items, text_col, own)
         if i + 1 < len(parts):
             docs = scratch.keep(docs, "scanned")  # else all automata would be in memory at once
-    return docs
+    return docs, own
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -171,12 +172,13 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     original text; items: sorted ids of the items with an occurring window.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = {n: F.col(OWN + n) for n in ("words", "items", "spans")}
-    hit = F.expr(f"aggregate({OWN}spans, 0L, (n, s) -> n + s.last_word - s.first_word + 1)")
-    return _scanned(rows, benchmark, "text", item_col).select("doc_id", own["words"].alias("n_words"), hit.alias("n_hit"), own["items"].alias("items"), own["spans"].alias("spans"))
+    scanned, (words, items, spans) = _scanned(rows, benchmark, "text", item_col)
+    hit = F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["last_word"] - s["first_word"] + 1)
+    return scanned.select("doc_id", F.col(words).alias("n_words"), hit.alias("n_hit"), F.col(items).alias("items"), F.col(spans).alias("spans"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The input rows in which no window of the benchmark occurs."""
     names = docs.columns
-    return _scanned(docs, benchmark, text_col, item_col).where(F.size(OWN + "spans") == 0).select(*names)
+    scanned, (_, _, spans) = _scanned(docs, benchmark, text_col, item_col)
+    return scanned.where(F.size(spans) == 0).select(*names)

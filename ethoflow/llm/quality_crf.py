@@ -5,16 +5,24 @@ two-label chain (good, bad) gives each line its marginal probability by forward
 and backward sums, and the mean of the marginals, weighted by line length, is
 the document's quality, put on a probability scale by a logistic curve.
 
-Training uses document labels: in training each line carries its document's
-label.  The model has about a hundred weights, fitted on the driver from a
-bounded sample of labelled rows (``MAX_TRAIN_DOCS`` rows with the smallest hash
-of the id; of these, texts of over ``MAX_TRAIN_LINES`` lines are left out).
-Scoring covers every row and the whole text.
+Only documents have labels, so the lines' labels are hidden.  Training starts
+with each line under its document's label and then takes turns: the chain is
+fitted to the lines' labels, and lines that the fitted chain firmly holds to be
+of the other kind change over, up to half of a document's length.  So a good
+document may hold bad lines, a bad one good lines, and the chain learns how
+labels follow each other.
+
+The model has about a hundred weights, fitted on the driver from a bounded sample
+of labelled rows: those with the smallest hash of the id, ``MAX_TRAIN_DOCS`` at
+most, and no more once they hold ``MAX_TRAIN_LINES`` lines.  Long texts take part
+whole, as several chains.  Scoring covers every row and the whole text.
 
 Edge cases: null and empty texts, and texts of empty lines, have no line and
 score the share of label 1 in the sample; a null id is never a training row; of repeated
-labels the mean counts (0.5 and more is 1); without labelled rows, or with one
-label only, every score is that share (0.5 without any).
+labels the mean counts (0.5 and more is 1), of rows with the same id the one with
+the smallest hash of the text; without labelled rows, or with one label only,
+every score is that share (0.5 without any); a column named like the score is
+replaced, other columns pass through.
 """
 
 from __future__ import annotations
@@ -31,8 +39,12 @@ from pyspark.sql import types as T
 from ethoflow.llm._common import OWN, small_batches
 
 MAX_TRAIN_DOCS = 4000
-MAX_TRAIN_LINES = 1000
-STEPS = 120
+MAX_TRAIN_LINES = 150_000
+#: Lines of a chain in training.
+MAX_CHAIN = 500
+STEPS, MORE_STEPS = 120, 40
+#: Times that lines may change over, and how unlikely their label must be.
+TURNS, UNLIKELY = 3, 0.2
 
 # Classes of bytes: 0 other, 1 lower, 2 upper, 3 digit, 4 prose punctuation, 5 symbol, 6 space, 7 non-ASCII, 8 exclamation mark, 9 bar.
 _CLASS = np.zeros(256, dtype=np.uint8)
@@ -178,32 +190,66 @@ def marginals(unary: np.ndarray, starts: np.ndarray, sizes: np.ndarray, moves: n
     return good, pair, float(np.logaddexp(fwd[ends, 0], fwd[ends, 1]).sum())
 
 
+def cut_chains(sizes: np.ndarray, longest: int = MAX_CHAIN) -> np.ndarray:
+    """Lengths of the chains that documents of so many lines are cut into."""
+    return np.concatenate([np.append(np.full((n - 1) // longest, longest), (n - 1) % longest + 1) for n in sizes.tolist()])
+
+
+def _maximised(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, theta: np.ndarray, steps: int, ridge: float) -> np.ndarray:
+    """Weights of the highest likelihood of the lines' labels, by Adam from given ones."""
+    starts = np.cumsum(sizes) - sizes
+    inner = np.ones(len(y), dtype=bool)
+    inner[starts] = False
+    i = np.flatnonzero(inner)
+    seen = np.bincount(2 * y[i - 1] + y[i], minlength=4).astype(np.float64)
+    n = x.shape[1]
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, steps + 1):
+        good, pair, _ = marginals(x @ theta[:n] + theta[n], starts, sizes, theta[n + 1 :].reshape(2, 2))
+        grad = np.concatenate([x.T @ (good - y), [(good - y).sum()], pair.ravel() - seen]) / len(y) + ridge * theta
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+        theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return theta
+
+
+def changed_over(good: np.ndarray, document: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Lines' labels: their document's, but for unlikely ones, the most unlikely first, up to half of its length."""
+    own = np.where(label == 1, good, 1 - good)
+    by = np.lexsort((own, document))
+    w = np.where(own[by] < UNLIKELY, weight[by], 0.0)
+    total = np.cumsum(w)
+    first = np.flatnonzero(np.concatenate(([True], document[by][1:] != document[by][:-1])))
+    before = np.repeat(total[first] - w[first], np.diff(np.append(first, len(by))))
+    half = np.bincount(document, weights=weight)[document[by]] / 2
+    y = label.copy()
+    turned = by[(own[by] < UNLIKELY) & (total - before <= half)]
+    y[turned] = 1 - y[turned]
+    return y
+
+
 def fit(found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: int = STEPS, ridge: float = 1e-3) -> Model:
-    """Maximum likelihood of the lines' labels by Adam, then the logistic curve on the same rows."""
+    """The chain and the lines' hidden labels in turns, then the logistic curve on the same rows."""
     prior = float(labels.mean()) if len(labels) else 0.5
     none = Model(np.zeros(1), np.ones(1), np.zeros(1), 0.0, np.zeros((2, 2)), 0.0, 0.0, prior, True)
     keep = [i for i, f in enumerate(found) if len(f[1])]
     if not keep or len(set(labels[keep].tolist())) < 2:
         return none
-    found, y_doc = [found[i] for i in keep], labels[keep].astype(np.float64)
+    found, y_doc = [found[i] for i in keep], labels[keep].astype(np.int64)
     sizes = np.array([len(f[1]) for f in found])
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    x = with_neighbours(np.concatenate([f[0] for f in found]), starts)
+    x = with_neighbours(np.concatenate([f[0] for f in found]), np.cumsum(sizes) - sizes)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     x = (x - mean) / scale
-    y = np.repeat(y_doc, sizes)
-    inner = np.ones(len(y), dtype=bool)
-    inner[starts] = False
-    seen = np.zeros((2, 2))
-    for lab in (0, 1):
-        seen[lab, lab] = inner[y == lab].sum()
-    n = x.shape[1]
-    theta, m, v = np.zeros(n + 5), np.zeros(n + 5), np.zeros(n + 5)
-    for step in range(1, steps + 1):
-        good, pair, _ = marginals(x @ theta[:n] + theta[n], starts, sizes, theta[n + 1 :].reshape(2, 2))
-        grad = np.concatenate([x.T @ (good - y), [(good - y).sum()], (pair - seen).ravel()]) / len(y) + ridge * theta
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        theta -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    document, weight = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([f[1] for f in found])
+    label = y_doc[document]
+    y, chains, n = label, cut_chains(sizes), x.shape[1]
+    theta = _maximised(x, y, chains, np.zeros(n + 5), steps, ridge)
+    for _ in range(TURNS):
+        good, _, _ = marginals(x @ theta[:n] + theta[n], np.cumsum(chains) - chains, chains, theta[n + 1 :].reshape(2, 2))
+        new = changed_over(good, document, label, weight)
+        if (new == y).all():
+            break
+        y = new
+        theta = _maximised(x, y, chains, theta, MORE_STEPS, ridge)
     model = Model(mean, scale, theta[:n], float(theta[n]), theta[n + 1 :].reshape(2, 2), 1.0, 0.0, prior)
     raw = model.raw(found)
     a, b = 1.0, 0.0
@@ -218,22 +264,35 @@ def fit(found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: i
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_TRAIN_DOCS) -> Model:
+def train(
+    docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    max_docs: int = MAX_TRAIN_DOCS, max_lines: int = MAX_TRAIN_LINES,
+) -> Model:
     """The model of a bounded sample of the rows for which ``usable`` (a condition on the id) holds."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(usable).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
-    sample = marks.orderBy(F.xxhash64("id"), "id").limit(max_docs)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    sample = marks.withColumn("order", F.xxhash64("id")).orderBy("order", "id").limit(max_docs)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("version", F.xxhash64("text")).join(F.broadcast(sample), "id")
+    lines = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
+    sized = rows.groupBy("id", "order").agg(F.min(F.struct("version", lines.alias("lines"))).alias("v")).collect()  # max_docs rows at most
+    chosen, total = [], 0
+    for r in sorted(sized, key=lambda r: (r.order, r.id)):
+        if total >= max_lines:
+            break
+        chosen.append((r.id, r.v.version))
+        total += r.v.lines
+    chosen = spark.createDataFrame(chosen, "id long, version long")
+    rows = rows.join(F.broadcast(chosen), ["id", "version"]).dropDuplicates(["id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [line_features(t) for t in batch.column(1).to_pylist()]
-            good = [i for i, f in enumerate(found) if len(f[1]) <= MAX_TRAIN_LINES]
-            columns = [batch.column(0).take(pa.array(good, pa.int64())), batch.column(2).take(pa.array(good, pa.int64())), pa.array([found[i][0].tobytes() for i in good], pa.binary()), pa.array([found[i][1].tobytes() for i in good], pa.binary())]
+            columns = [batch.column(0), batch.column(2), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "own", "sizes"])
 
     got = rows.select("id", "text", "label").mapInArrow(run, "id long, label int, own binary, sizes binary").collect()
-    got.sort(key=lambda r: (r.id, r.own))
+    got.sort(key=lambda r: r.id)
     found = [(np.frombuffer(r.own, dtype=np.float32).reshape(-1, OWN_FEATURES), np.frombuffer(r.sizes, dtype=np.float64)) for r in got]
     return fit(found, np.array([r.label for r in got], dtype=np.int64))
 
@@ -241,6 +300,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = OWN + "quality") -> DataFrame:
     """The rows with the score, from 0 to 1, of the whole text."""
     small_batches(docs.sparkSession)
+    docs = docs.drop(out)
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,13 +9,15 @@ from AND, OR and XOR alone.  The best rows are then selected from the most
 significant slice downward, and rows that tie at the last place are resolved by
 their ids.
 
-Queries and rows meet in blocks: each block of queries visits each block of
-rows, and only k rows for each query leave a visit.
+Queries and rows meet in lanes: a lane holds a few blocks of rows for as long as
+the blocks of queries pass through it, and only k rows for each query leave it.
 
 Edge cases: vectors that are null, or hold null or non-finite components, take
-no part; a vector of another length than the others raises ``ValueError``; a
-null id takes no part; repeated ids are separate candidates, none of which
-meets a query of the same id; fewer than k candidates are all returned.
+no part, nor do those with a component of ``TOO_LARGE`` units or more; vectors
+of different lengths never meet; a null id takes no part; repeated ids are
+separate candidates, none of which meets a query of the same id; fewer than k
+candidates are all returned; scores are exact at any size and are compared
+before those beyond a long are shown as its ends.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ SCALE = 1024
 #: Rows in a block of the index, and queries in a block of queries.
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 64
+#: Quantised components stay below, so that sums of their products fit in 38 digits.
+TOO_LARGE = 1 << 56
 
 
 def slices_of(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,13 +135,13 @@ def _rows(bitmap: np.ndarray) -> np.ndarray:
 
 def search(bitmaps: np.ndarray, low: np.ndarray, ids: np.ndarray, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
     """(vec_id, score) of the k best rows of one block."""
-    top = ((1 << bitmaps.shape[1]) - 1) * int(np.abs(query).sum())
+    top = ((1 << bitmaps.shape[1]) - 1) * sum(map(abs, query.tolist()))
     width = top.bit_length() + 2
     scores = add_slices(bitmaps, query, width)
     rows = np.zeros(bitmaps.shape[2] * 64, dtype=np.uint8)
     rows[: len(ids)] = ids != query_id
     best = select_top(scores, np.packbits(rows, bitorder="little").view("<u8"), k, ids)
-    shift = int(query @ low)
+    shift = sum(q * x for q, x in zip(query.tolist(), low.tolist()))
     found = []
     for r in best.tolist():
         digits = (scores[:, r >> 6] >> np.uint64(r & 63)) & np.uint64(1)
@@ -149,36 +153,32 @@ def search(bitmaps: np.ndarray, low: np.ndarray, ids: np.ndarray, query_id: int,
 def quantised(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """Rows (id, vec): components floor(SCALE * x) as long; unfit vectors are left out."""
     vec = F.col(vec_col)
-    fit = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (F.size(vec) > 0)
+    fit = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < float(TOO_LARGE))) & (F.size(vec) > 0)
     rows = df.where(F.col(id_col).isNotNull() & vec.isNotNull()).where(fit)
     return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vec, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("vec"))
 
 
 def _blocks(size: int, index: bool):
-    """Packs the rows of each task into blocks."""
+    """Packs the rows of each task into blocks of vectors of one length."""
 
-    def pack(part: pd.DataFrame) -> dict:
-        matrix = np.array(part["vec"].tolist(), dtype=np.int64)
-        if matrix.ndim != 2:
-            raise ValueError("vectors of different lengths")
-        ids = part["id"].to_numpy(dtype=np.int64)
+    def pack(ids: list, vectors: list) -> dict:
+        matrix = np.array(vectors, dtype=np.int64)
         low, body = np.zeros(0, dtype=np.int64), matrix
         if index:
             body, low = slices_of(matrix)
-        return {"dims": matrix.shape[1], "digits": body.shape[1], "ids": ids.tobytes(), "low": low.tobytes(), "body": body.tobytes()}
+        return {"dims": matrix.shape[1], "digits": body.shape[1], "ids": np.array(ids, dtype=np.int64).tobytes(), "low": low.tobytes(), "body": body.tobytes()}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        n = 0
+        held: dict[int, tuple[list, list]] = {}  # by length
         for frame in frames:
-            for at in range(0, len(frame), size):
-                held.append(frame[at : at + size])
-                n += len(held[-1])
-                if n >= size:
-                    yield pd.DataFrame([pack(pd.concat(held))])
-                    held, n = [], 0
-        if n:
-            yield pd.DataFrame([pack(pd.concat(held))])
+            for i, vec in zip(frame["id"].tolist(), frame["vec"]):
+                ids, vectors = held.setdefault(len(vec), ([], []))
+                ids.append(i)
+                vectors.append(vec)
+                if len(ids) >= size:
+                    yield pd.DataFrame([pack(*held.pop(len(vec)))])
+        for rest in held.values():
+            yield pd.DataFrame([pack(*rest)])
 
     return run
 
@@ -191,25 +191,37 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
     small_batches(spark)
-    index = scratch.keep(quantised(vectors, id_col, vec_col).mapInPandas(_blocks(BLOCK_ROWS, True), _PACKED).withColumn("lane", F.xxhash64("ids")), "index")
+    index = scratch.keep(quantised(vectors, id_col, vec_col).mapInPandas(_blocks(BLOCK_ROWS, True), _PACKED), "index")
     queries = quantised(vectors.where(is_query), id_col, vec_col).coalesce(max(1, spark.sparkContext.defaultParallelism // 2))
     queries = scratch.keep(queries.mapInPandas(_blocks(BLOCK_QUERIES, False), _PACKED), "queries")
     # Every block of queries goes once to every lane; a lane holds a few blocks of rows.
     lanes = max(1, index.count())
-    rows = index.select(F.pmod("lane", F.lit(lanes)).alias("lane"), "dims", "digits", "ids", "low", "body")
-    asked = queries.select(F.col("dims").alias("q_dims"), F.col("ids").alias("q_ids"), F.col("body").alias("q_body"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))).alias("lane"))
+    names = ["dims", "digits", "ids", "low", "body"]
+    rows = index.select(F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"), F.lit(0).alias("asks"), *names)
+    every = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
+    asked = queries.select(every, F.lit(1).alias("asks"), *names)
 
     def visit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lane, blocks = None, []
         for frame in frames:
             for v in frame.itertuples(index=False):
-                if v.dims != v.q_dims:
-                    raise ValueError("vectors of different lengths")
-                bitmaps = np.frombuffer(v.body, dtype="<u8").reshape(v.dims, v.digits, -1)
-                ids, low = np.frombuffer(v.ids, dtype=np.int64), np.frombuffer(v.low, dtype=np.int64)
-                matrix = np.frombuffer(v.q_body, dtype=np.int64).reshape(-1, v.dims)
-                out = [(int(q), *hit) for q, query in zip(np.frombuffer(v.q_ids, dtype=np.int64), matrix) for hit in search(bitmaps, low, ids, int(q), query, k)]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = rows.join(asked, "lane").select("dims", "digits", "ids", "low", "body", "q_dims", "q_ids", "q_body").mapInPandas(visit, "query_id long, vec_id long, score long")
+                if v.lane != lane:
+                    lane, blocks = v.lane, []
+                ids = np.frombuffer(v.ids, dtype=np.int64)
+                if not v.asks:
+                    blocks.append((v.dims, np.frombuffer(v.body, dtype="<u8").reshape(v.dims, v.digits, -1), np.frombuffer(v.low, dtype=np.int64), ids))
+                    continue
+                matrix = np.frombuffer(v.body, dtype=np.int64).reshape(-1, v.dims)
+                out = [
+                    (q, i, str(score)) for dims, bitmaps, low, own in blocks if dims == v.dims
+                    for q, query in zip(ids.tolist(), matrix) for i, score in search(bitmaps, low, own, q, query, k)
+                ]
+                if out:
+                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+    met = rows.unionAll(asked).repartition(lanes, "lane").sortWithinPartitions("lane", "asks")
+    found = met.mapInPandas(visit, "query_id long, vec_id long, score string").withColumn("score", F.col("score").cast("decimal(38,0)"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ends = [F.lit(x).cast("decimal(38,0)") for x in (str(-(1 << 63)), str((1 << 63) - 1))]
+    return ranked.select("query_id", "rank", "vec_id", F.least(F.greatest("score", ends[0]), ends[1]).cast("long").alias("score"))

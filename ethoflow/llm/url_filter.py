@@ -7,9 +7,11 @@ filter (one 256-bit block per key, eight bits set in it) lets few of them pass;
 what passes meets the list in a hash join, so false positives go no further.
 Of the entries that fit, the longest wins; a URL without one is allowed.
 
-Only the filter is sent to every task.  Its size is ten bits an entry, checked
-against ``MAX_FILTER_BYTES``; a larger list raises ``ValueError`` and wants a
-larger bound.  The join's plan is left to Spark.
+Only the filter is sent to every task.  Tasks set the bits, an aggregate joins
+them by block, and the driver only lines up the blocks.  The filter has ten bits
+an entry up to ``MAX_FILTER_BYTES``; of a longer list more entries share a block,
+so more false positives reach the join, which stays exact.  The join's plan is
+left to Spark.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path, and
 no rule; an empty path fits no rule (every rule's path starts with ``/``);
@@ -18,8 +20,11 @@ repeated pages come back as often as they came; an empty list allows all.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,30 +46,45 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+def _places(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block of each hash, and one bit for each of its eight words."""
+    h = hashes.view(np.uint64)
+    block = ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+    low = h.astype(np.uint32)
+    with np.errstate(over="ignore"):
+        return block, np.uint32(1) << ((low[:, None] * np.array(SALTS, dtype=np.uint32)) >> np.uint32(27))
+
+
 class BlockedBloom:
-    """A split-block filter over 64-bit hashes."""
-
-    def __init__(self, hashes: list[int]) -> None:
-        self.blocks = max(1, -(-len(hashes) * 10 // 256))
-        if self.blocks * 32 > MAX_FILTER_BYTES:
-            raise ValueError(f"the filter would take {self.blocks * 32} bytes; the bound is {MAX_FILTER_BYTES}")
-        self.words = np.zeros((self.blocks, 8), dtype=np.uint32)
-        block, bits = self._places(np.array(hashes, dtype=np.int64))
-        np.bitwise_or.at(self.words, (block[:, None], np.arange(8)), bits)
-
-    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The block of each hash, and one bit for each of its eight words."""
-        h = hashes.view(np.uint64)
-        block = ((h >> np.uint64(32)) * np.uint64(self.blocks) >> np.uint64(32)).astype(np.int64)
-        low = h.astype(np.uint32)
-        with np.errstate(over="ignore"):
-            return block, np.uint32(1) << ((low[:, None] * np.array(SALTS, dtype=np.uint32)) >> np.uint32(27))
+    """A split-block filter over 64-bit hashes: words [block, 8]."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words = words
 
     def may_hold(self, hashes: np.ndarray) -> np.ndarray:
-        block, bits = self._places(hashes)
+        block, bits = _places(hashes, len(self.words))
         return ((self.words[block] & bits) == bits).all(axis=1)
 
 
+def built_filter(hashes: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> BlockedBloom:
+    """The filter of the hashes in the one column: bits are set in tasks and joined by block."""
+    blocks = min(max(1, -(-hashes.count() * 10 // 256)), max(1, max_bytes // 32))
+    names = [f"w{i}" for i in range(8)]
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            block, words = _places(batch.column(0).to_numpy(), blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(block), *(pa.array(words[:, i].astype(np.int64)) for i in range(8))], names=["block", *names])
+
+    rows = hashes.mapInArrow(bits, "block long, " + ", ".join(f"{n} long" for n in names))
+    joined = rows.groupBy("block").agg(*(F.bit_or(n).alias(n) for n in names)).toArrow()  # 32 bytes a block
+    words = np.zeros((blocks, 8), dtype=np.uint32)
+    at = joined.column("block").to_numpy()
+    for i, n in enumerate(names):
+        words[at, i] = joined.column(n).to_numpy()
+    return BlockedBloom(words)
+
+
 def keyed(host: Column, path: Column) -> Column:
     return F.concat(host, path)
 
@@ -77,7 +97,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     """
     listed = rules.where("host is not null and path is not null").select(F.lower("host").alias("host"), "path", "verdict")
     listed = listed.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).select(keyed(F.col("host"), F.col("path")).alias("rule"), F.octet_length("path").alias("n"), F.char_length("path").alias("chars"), "verdict")
-    bloom = BlockedBloom([r[0] for r in listed.select(F.xxhash64("rule")).collect()])
+    bloom = built_filter(listed.select(F.xxhash64("rule").alias("h")))
     lengths = sorted(r[0] for r in listed.select("chars").distinct().collect())
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"))
@@ -92,7 +112,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         return F.transform(hosts, lambda h: F.when(F.char_length("path") >= n, F.concat(h, F.substring("path", 1, n))))
 
     fits = [entries(n) for n in lengths]
-    urls = rows.select("host", "path").distinct().withColumn("entry", F.explode(F.array_compact(F.flatten(F.array(*fits)))))
+    # URLs without a host, which may be very many, meet no rule and stay out of the join.
+    named = rows.where("host <> ''")
+    urls = named.select("host", "path").distinct().withColumn("entry", F.explode(F.array_compact(F.flatten(F.array(*fits)))))
     sent = pages.sparkSession.sparkContext.broadcast(bloom)
 
     @F.pandas_udf("boolean")
@@ -102,4 +124,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     passed = urls.where(may_hold(F.xxhash64("entry")))
     hits = passed.join(listed, passed.entry == listed.rule)
     best = hits.groupBy("host", "path").agg(F.max(F.struct(F.char_length("rule").alias("size"), "rule", "verdict")).alias("best"))
-    return rows.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    judged = named.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    return judged.unionAll(rows.where("host = ''").select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict")))
