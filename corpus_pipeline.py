@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ethoflow.llm import bpe, decontaminate, line_dedup, quality_crf, simhash
-from ethoflow.llm._common import OWN, crc_of_id, table
+from ethoflow.llm._common import OWN, crc_of_id, free_name, table
 from ethoflow.llm.queries import THRESHOLD, rank_file
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold go."""
     model = quality_crf.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_of_id() % 4 != 2)
-    return quality_crf.score(docs, model).where(F.col(OWN + "quality") >= THRESHOLD).select(*docs.columns)
+    score = free_name(docs, OWN + "quality")
+    return quality_crf.score(docs, model, out=score).where(F.col(score) >= THRESHOLD).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("simhash", near_duplicates), ("decontaminate", decontaminated), ("bpe", tokens)]
 
-#: The classifier is trained, which SQL cannot express; tests compare run() with brute force.
+#: The classifier is trained, which SQL cannot express; tests compare each stage and run() with brute force.
 ORACLE_SQL = None
 
 

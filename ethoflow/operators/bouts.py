@@ -53,6 +53,15 @@ def across_animals(animals: DataFrame, labels: DataFrame | None = None, label: s
     return out if labels is None else labels.join(out, label, "left").na.fill(0)
 
 
+def animal_lists(animals: DataFrame, labels: DataFrame, label: str = "label", keys: Sequence[str] = ANIMAL) -> DataFrame:
+    """Per label (all of the listed ones) its animals' means, medians and numbers of bouts, in the order of the means."""
+    row = F.struct("mean_ms", *keys, "median_ms", "n_bouts")
+    lists = animals.groupBy(label).agg(F.count(F.lit(1)).alias("n_animals"), F.array_sort(F.collect_list(row)).alias("rows"))
+    out = labels.join(lists, label, "left")
+    part = lambda c, kind: F.coalesce(F.transform("rows", lambda r: r[c]), F.array().cast(f"array<{kind}>"))
+    return out.select(label, F.coalesce("n_animals", F.lit(0)).alias("n_animals"), part("mean_ms", "double").alias("means"), part("median_ms", "double").alias("medians"), part("n_bouts", "bigint").alias("bouts"))
+
+
 def one_animal(bouts: DataFrame, label: str = "label") -> DataFrame:
     """Bouts as the sample: for a single animal."""
     d = "duration_ms"

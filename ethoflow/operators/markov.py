@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,35 +29,33 @@ def probabilities(counts: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     return off.crossJoin(F.broadcast(total)).withColumns({"row_total": row, "probability": F.try_divide(F.col("n"), row), "apriori": F.try_divide(row, F.col("all_n"))}).drop("all_n")
 
 
-def log_binomial(n: int, k: int) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-
-
 def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(X <= k); exact sum in logarithms."""
+    """P(X <= k), by the incomplete beta function: no sum over n."""
+    from ethoflow.operators.stats import beta_tail
+
     if k < 0:
         return 0.0
     if k >= n or p <= 0:
         return 1.0
     if p >= 1:
         return 0.0
-    logs = [log_binomial(n, i) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
+    return min(1.0, max(0.0, beta_tail(n - k, k + 1, 1 - p)))
 
 
 def binomial_quantile(q: float, n: int, p: float) -> int:
-    """The least k with P(X <= k) >= q."""
+    """The least k with P(X <= k) >= q, by bisection."""
     if n == 0 or p <= 0:
         return 0
     if p >= 1:
         return n
-    total = 0.0
-    for k in range(n + 1):
-        total += math.exp(log_binomial(n, k) + k * math.log(p) + (n - k) * math.log1p(-p))
-        if total >= q - 1e-12:
-            return k
-    return n
+    low, high = 0, n
+    while low < high:
+        middle = (low + high) // 2
+        if binomial_cdf(middle, n, p) >= q - 1e-12:
+            high = middle
+        else:
+            low = middle + 1
+    return low
 
 
 def preferred(counts: DataFrame, alpha: float = 0.05, two_sided: bool = False) -> DataFrame:
@@ -75,15 +74,20 @@ def preferred(counts: DataFrame, alpha: float = 0.05, two_sided: bool = False) -
     rows = rows.join(F.broadcast(total), "from_label").crossJoin(F.broadcast(off.agg(F.sum("n").alias("all_n"))))
     rows = rows.withColumns({"probability": F.coalesce(F.try_divide("n", "row_total"), F.lit(0.0)), "level": F.coalesce(F.try_divide("row_total", "all_n"), F.lit(0.0))}).drop("all_n")
 
-    @F.udf("struct<low:double,high:double,p_value:double>")
-    def exact(n: int, total: int, share: float, level: float):  # at most one row for each pair of labels
-        low, high = (binomial_quantile(q, total, share) / total if total else 0.0 for q in (0.025, 0.975))
-        p = binomial_cdf(n, total, level) if total else None
-        if two_sided and total:
-            p = min(1.0, 2 * min(p, 1 - binomial_cdf(n - 1, total, level)))
-        return low, high, p
-
-    rows = rows.withColumn("e", exact("n", "row_total", "probability", "level")).select(*rows.columns, "e.low", "e.high", "e.p_value")
+    @F.pandas_udf("low double, high double, p_value double")
+    def exact(n: pd.Series, total: pd.Series, share: pd.Series, level: pd.Series) -> pd.DataFrame:  # a row for each pair of labels
+        out = []
+        for k, size, own, apriori in zip(n.tolist(), total.tolist(), share.tolist(), level.tolist()):
+            if not size:
+                out.append((0.0, 0.0, None))
+                continue
+            p = binomial_cdf(k, size, apriori)
+            if two_sided:
+                p = min(1.0, 2 * min(p, 1 - binomial_cdf(k - 1, size, apriori)))
+            out.append((*(binomial_quantile(q, size, own) / size for q in (0.025, 0.975)), p))
+        return pd.DataFrame(out, columns=["low", "high", "p_value"]).astype("float64")
+
+    rows = rows.withColumn("e", exact("n", "row_total", "probability", "level")).select(*rows.columns, "e.low", "e.high", F.when(F.col("row_total") > 0, F.col("e.p_value")).alias("p_value"))
     from ethoflow.operators.stats import false_discovery
 
     rows = false_discovery(rows, "p_value", "p_adjusted", ())
@@ -113,5 +117,10 @@ def motif_significance(counts: DataFrame, n: int, labels: int) -> DataFrame:
     return counts.withColumns({name: F.col("n") > limit for name, limit in limits.items()})
 
 
+def significant_edges(cells: DataFrame) -> DataFrame:
+    """The cells of ``preferred`` whose verdict is above their origin's level."""
+    return cells.where(F.col("verdict").contains("above"))
+
+
 def strong_edges(probs: DataFrame, least: float = 0.14) -> DataFrame:
     return probs.where(F.col("probability") >= least)

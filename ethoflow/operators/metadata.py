@@ -131,3 +131,10 @@ def agglomerated(df: DataFrame, groups: Sequence[tuple[str, Sequence[int]]], lab
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
     """Foreign keys without a parent."""
     return child.where(F.col(key).isNotNull()).join(parent, key, "left_anti")
+
+
+def paired(layouts: DataFrame, videos: DataFrame, key: str) -> DataFrame:
+    """Rows (key, status): ``paired``, or which side lacks the other."""
+    a, b = layouts.select(key, F.lit(True).alias("__a")), videos.select(key, F.lit(True).alias("__b"))
+    status = F.when(F.col("__a").isNull(), "no layout").when(F.col("__b").isNull(), "no video").otherwise("paired")
+    return a.join(b, key, "full").select(key, status.alias("status"))

@@ -51,6 +51,15 @@ def turning(theta: str, w: WindowSpec) -> Column:
     return F.when(into.isNotNull() & out.isNotNull(), (into + out) / 2).otherwise(F.coalesce(into, out))
 
 
+def unwrap(df: DataFrame, theta: str, keys: Sequence[str], out: str = "unwrapped", order: str = "frame_number") -> DataFrame:
+    """Adds the angle without jumps of over half a turn between neighbours."""
+    from ethoflow.functions.geometry import wrapped
+
+    w = by(keys, order)
+    df = df.withColumn("__step", F.coalesce(wrapped(F.col(theta) - F.lag(theta).over(w)), F.lit(0.0)))
+    return df.withColumn(out, F.first(theta).over(_so_far(w)) + F.sum("__step").over(_so_far(w))).drop("__step")
+
+
 def filled_forward(x: Column, w: WindowSpec) -> Column:
     return F.last(x, ignorenulls=True).over(_so_far(w))
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -95,34 +95,33 @@ def fold_changes(df: DataFrame, columns: Sequence[str], group: str, control: str
     return out.withColumns({c: log2_change(F.col(c), F.col(f"__c_{c}")) for c in columns}).drop(*(f"__c_{c}" for c in columns))
 
 
-def held_out_class(x: np.ndarray, groups: np.ndarray, names: Sequence[str]) -> list[str]:
-    """Each row's group by the nearest group median without that row: by correlation, or by distance if one side is constant."""
-    out = []
-    for i in range(len(x)):
-        best, score = names[0], -np.inf
-        for g in names:
-            rest = (groups == g) & (np.arange(len(x)) != i)
-            if not rest.any():
-                continue
-            m = np.median(x[rest], axis=0)
-            s = -np.linalg.norm(x[i] - m) if np.std(x[i]) == 0 or np.std(m) == 0 else np.corrcoef(x[i], m)[0, 1]
-            if s > score:
-                best, score = g, s
-        out.append(best)
-    return out
-
-
 def reverse_inference(df: DataFrame, columns: Sequence[str], group: str, order: Sequence[str], id_col: str) -> DataFrame:
-    """Rows (id, truth, predicted) over animals of the listed groups; the first group is the control. One small table, one task."""
-    some = fold_changes(df.where(F.col(group).isin(*order)), columns, group, order[0])
-    kind = dict(some.dtypes)[id_col]
+    """Rows (id, truth, predicted) over animals of the listed groups; the first group is the control.
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(id_col)
-        got = held_out_class(frame[list(columns)].to_numpy(dtype=float), frame[group].to_numpy(), list(order))
-        return pd.DataFrame({id_col: frame[id_col], "truth": frame[group], "predicted": got})
-
-    return some.select(id_col, group, *columns).groupBy(F.lit(0).alias("__all")).applyInPandas(one, f"{id_col} {kind}, truth string, predicted string")
+    Each animal is told by the group medians without it: by correlation, or by distance if one side is constant. A median
+    without one value follows from that value's rank, so the medians of all animals come from one sorted array a group
+    and column.
+    """
+    some = fold_changes(df.where(F.col(group).isin(*order)), columns, group, order[0])
+    long = some.select(id_col, F.col(group).alias("truth"), F.posexplode(F.array(*columns)).alias("c", "x"))
+    w = Window.partitionBy("truth", "c").orderBy("x", id_col)
+    ranked = long.withColumn("r", F.row_number().over(w) - 1)
+    sets = long.groupBy(F.col("truth").alias("g"), "c").agg(F.sort_array(F.collect_list("x")).alias("xs"))  # a row a group and column
+    rows = ranked.join(F.broadcast(sets), "c")
+    own, size = F.col("g") == F.col("truth"), F.size("xs")
+    m = size - F.when(own, 1).otherwise(0)  # values that the median is of
+
+    def kept(i: Column) -> Column:
+        return F.get("xs", (i + F.when(own & (i >= F.col("r")), 1).otherwise(0)).cast("int"))
+
+    median = F.when(m > 0, (kept(F.floor((m - 1) / 2)) + kept(F.floor(m / 2))) / 2)
+    rows = rows.withColumn("m", median).where("m is not null")
+    even = (F.max("x") == F.min("x")) | (F.max("m") == F.min("m"))
+    score = F.when(even, -F.sqrt(F.sum(F.pow(F.col("x") - F.col("m"), 2)))).otherwise(F.corr("x", "m"))
+    scored = rows.groupBy(id_col, "truth", "g").agg(score.alias("score"))
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("g"))
+    best = scored.groupBy(id_col, "truth").agg(F.max_by("g", F.struct(F.round("score", 12), -place)).alias("predicted"))
+    return best.select(id_col, "truth", "predicted")
 
 
 def confusion(predictions: DataFrame) -> DataFrame:
@@ -144,6 +143,19 @@ def ranks(x: np.ndarray) -> np.ndarray:
     return (np.bincount(back, out) / n)[back]
 
 
+def rank_sums(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
+    """One row (u, n_a, n_b): the rank sum statistic of the first group, ties sharing their mean rank.
+
+    Equal values are counted first, so the running count is over distinct values.
+    """
+    some = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull() & ~F.isnan(value))
+    n = some.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(group) == a).alias("n_a"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = n.withColumn("rank", before + (F.col("n") + 1) / 2)
+    sums = ranked.agg(F.sum(F.col("rank") * F.col("n_a")).alias("r"), F.sum("n_a").alias("n_a"), F.sum("n").alias("n"))
+    return sums.select((F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2).alias("u"), "n_a", (F.col("n") - F.col("n_a")).alias("n_b"))
+
+
 def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 

@@ -83,9 +83,55 @@ def grouped_transitions(spark, d):
     return rounded(markov.probabilities(markov.transitions(frames(spark, d), groups=("grp",)), ("grp",)))
 
 
-@query()
+def _tail(n: str, k: str, p: str) -> str:
+    """One term of the binomial law."""
+    return f"exp(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1) + {k} * ln({p}) + ({n} - {k}) * ln(1 - {p}))"
+
+
+CELLS = f"""{PAIRS}, off as (select * from counts where from_label <> to_label), states as (select unnest([from_label, to_label]) as s from off group by 1),
+cells as (select a.s as from_label, b.s as to_label, coalesce(n, 0) as n from states a cross join states b left join off on from_label = a.s and to_label = b.s),
+levels as (
+  select *, sum(n) over (partition by from_label) as row_total, n / sum(n) over (partition by from_label) as probability,
+    sum(n) over (partition by from_label) / sum(n) over () as level from cells
+), laws as (
+  select from_label, to_label, row_total, n, sum(own) over w as own, sum(apriori) over w as apriori, i from (
+    select *, case when probability > 0 then {_tail('row_total', 'i', 'probability')} else (i = 0)::int end as own, {_tail('row_total', 'i', 'level')} as apriori
+    from (select *, unnest(range(0, (row_total + 1)::bigint)) as i from levels))
+  window w as (partition by from_label, to_label order by i)
+), tested as (
+  select from_label, to_label, min(i) filter (own >= 0.025 - 1e-12) / any_value(row_total) as low, min(i) filter (own >= 0.975 - 1e-12) / any_value(row_total) as high,
+    max(apriori) filter (i = n) as p_value from laws group by all
+), adjusted as (
+  select *, least(1, min(p_value * m / r) over (order by r rows between current row and unbounded following)) as p_adjusted
+  from (select *, row_number() over (order by p_value) as r, count(*) over () as m from tested)
+), marked as (
+  select from_label, to_label, n, probability, level, low, high, p_value, p_adjusted, case when from_label = to_label then 'N/A' else
+    case when high < level then 'below' when low > level then 'above' else 'within' end || case when p_adjusted < 0.05 then ' (significant)' else '' end end as verdict
+  from levels join adjusted using (from_label, to_label)
+)"""
+_CELL = "from_label::int as from_label, to_label::int as to_label, n, round(low, 6) as low, round(high, 6) as high, round(p_value, 6) as p_value, round(p_adjusted, 6) as p_adjusted, verdict"
+
+
+def _preferred(spark, d):
+    cells = markov.preferred(markov.transitions(frames(spark, d)))
+    return cells.select("from_label", "to_label", "n", "low", "high", "p_value", "p_adjusted", "verdict")
+
+
+@query(f"{CELLS} select {_CELL} from marked")
 def preferred_transitions(spark, d):
-    return rounded(markov.preferred(markov.transitions(frames(spark, d))))
+    return rounded(_preferred(spark, d))
+
+
+@query(f"{CELLS} select {_CELL} from marked where contains(verdict, 'above')")
+def significant_edges(spark, d):
+    return rounded(markov.significant_edges(_preferred(spark, d)))
+
+
+@query(f"""{PAIRS} select from_label::int as from_label, to_label::int as to_label, round(n / t, 6) as probability
+from (select *, sum(n) over (partition by from_label) as t from counts where from_label <> to_label) where n / t >= 0.25""")
+def strong_edges(spark, d):
+    probabilities = markov.probabilities(markov.transitions(frames(spark, d)))
+    return rounded(markov.strong_edges(probabilities, 0.25).select("from_label", "to_label", "probability"))
 
 
 SHORT = f"""with {FRAMES}, short as (
@@ -98,13 +144,20 @@ def dedupe_labels(spark, d):
     return sequence.changed_only(frames(spark, d), ("trial_id",)).select("trial_id", "frame_number", "label")
 
 
-@query(f"""{SHORT}, grams as (select label as a, lead(label, 1) over w as b, lead(label, 2) over w as c from short window w as (partition by trial_id order by frame_number))
-select a || '-' || b || '-' || c as motif, count(*) as n from grams where c is not null and a <> b and b <> c and a <> c group by 1""")
+GRAMS = f"""{SHORT}, grams as (select label as a, lead(label, 1) over w as b, lead(label, 2) over w as c from short window w as (partition by trial_id order by frame_number)),
+counted as (select a || '-' || b || '-' || c as motif, count(*) as n from grams where c is not null and a <> b and b <> c and a <> c group by 1)"""
+
+
+@query(f"{GRAMS} select * from counted")
 def ngram_motifs(spark, d):
     return markov.motifs(frames(spark, d), 3).select(F.array_join(F.transform("motif", lambda x: x.cast("string")), "-").alias("motif"), "n")
 
 
-@query()
+@query(f"""{GRAMS}, t as (select sum(n) as t from counted), law as (
+  select i, sum(x) over (order by i) as c from (select i, {_tail('t', 'i', '(1 / 60)')} as x from (select t, unnest(range(0, (t + 1)::bigint)) as i from t))
+), limits as (
+  select min(i) filter (c >= 0.95 - 1e-12) as a, min(i) filter (c >= 0.99 - 1e-12) as b, min(i) filter (c >= 0.999 - 1e-12) as z from law
+) select motif, n, n > a as above_95, n > b as above_99, n > z as above_999 from counted, limits""")
 def motif_significance(spark, d):
     return markov.motif_significance(markov.motifs(frames(spark, d), 3), 3, K).withColumn("motif", F.array_join(F.transform("motif", lambda x: x.cast("string")), "-"))
 
@@ -285,7 +338,18 @@ def fold_change(spark, d):
     return rounded(proportions.long(changed.drop("grp")).withColumnRenamed("proportion", "change"))
 
 
-@query()
+INFERRED = f"""{SHARES}, m0 as (select cluster, avg(proportion) as m from shares where grp = 0 group by 1), x as (
+  select trial_id, grp, cluster, log2((proportion + 1e-4) / (m + 1e-4)) as x from shares join m0 using (cluster)
+), medians as (
+  select i.trial_id, i.grp, o.grp as g, i.cluster, any_value(i.x) as x, median(o.x) as m from x i join x o on i.cluster = o.cluster and i.trial_id <> o.trial_id group by i.trial_id, i.grp, o.grp, i.cluster
+), scores as (
+  select trial_id, grp, g, round(case when max(x) = min(x) or max(m) = min(m) then -sqrt(sum(pow(x - m, 2))) else corr(x, m) end, 12) as score from medians group by 1, 2, 3
+), told as (
+  select trial_id, grp, arg_max(g, (score, -g)) as predicted from scores group by 1, 2
+)"""
+
+
+@query(f"{INFERRED} select grp::varchar as truth, predicted::varchar as predicted, count(*) as n, round(count(*) / sum(count(*)) over (partition by grp), 6) as share from told group by grp, predicted")
 def reverse_inference(spark, d):
     wide = proportions.wide(frames(spark, d), range(K)).withColumn("grp", (F.col("trial_id") % 4).cast("string"))
     return rounded(stats.confusion(stats.reverse_inference(wide, [f"cluster_{k}" for k in range(K)], "grp", ["0", "1", "2", "3"], "trial_id")))
@@ -294,12 +358,12 @@ def reverse_inference(spark, d):
 @query()
 def compare_groups(spark, d):
     rows = _long(spark, d).withColumn("grp", F.col("grp").cast("string"))
-    return rounded(stats.compare_groups(rows, "proportion", "grp", ("cluster",), n=1000))
+    return rounded(stats.compare_groups(rows, "proportion", "grp", ("cluster",)))
 
 
 @query()
 def bootstrap_durations(spark, d):
-    return rounded(stats.bootstrap_interval(bouts.per_animal(bouts.segments(frames(spark, d), FPS)), "median_ms", ("label",), n=1000))
+    return rounded(stats.bootstrap_interval(bouts.per_animal(bouts.segments(frames(spark, d), FPS)), "median_ms", ("label",)))
 
 
 @query("""with p as (select l_returnflag, l_linenumber, (abs(sum(l_orderkey * 31 + l_partkey)) % 997 + 1)::double / 2000 as p from lineitem group by all),
@@ -365,22 +429,39 @@ def significance_stars(spark, d):
 
 @query()
 def kmeans_fit(spark, d):
-    v = load(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)))
-    labelled, _, _ = cluster.kmeans(v, [f"f{i}" for i in range(8)], 4, seed=1, max_iter=20)
+    names = [f"f{i}" for i in range(64)]
+    labelled, _, _ = cluster.kmeans(_vectors(spark, d).select("vec_id", *names), names, 4, seed=1)
     return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _vectors(spark, d):
+    v = load(spark, d, "embeddings")
+    return v.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)))
+
+
+@query("""with v as (select vec_id, label, embedding::double[] as e from embeddings), d as (
+  select a.vec_id, a.label, b.label as other, sum(list_distance(a.e, b.e)) as s, count(*) as n from v a join v b on true group by all
+), s as (
+  select vec_id, label, max(s / nullif(n - 1, 0)) filter (other = label) as own, min(s / n) filter (other <> label) as near, max(n) filter (other = label) as size from d group by all
+) select r::int as repeat, label, round(avg(case when size > 1 then (near - own) / greatest(near, own) else 0 end), 5) as silhouette from s, range(10) r(r) group by all""")
 def silhouette(spark, d):
-    v = load(spark, d, "embeddings").select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(8)))
-    return rounded(cluster.silhouette(v, [f"f{i}" for i in range(8)], 50, 3))
+    return rounded(cluster.silhouette(_vectors(spark, d), [f"f{i}" for i in range(64)]), 5)
 
 
-@query()
+# Attempts of three centroids each: the cheapest of the six matchings counts.
+_MATCHINGS = ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0))
+
+
+@query(f"""with v as (select vec_id % 4 as position, label % 3 as k, unnest(embedding) as x, generate_subscripts(embedding, 1) as i from embeddings),
+c as (select position, k, list(m order by i) as e from (select position, k, i, avg(x::double) as m from v group by all) group by all),
+f as (select position, list(e order by k) as e from c group by 1),
+d as (select a.position, b.position as other, least({', '.join('+'.join(f'list_distance(a.e[{i + 1}], b.e[{j + 1}])' for i, j in enumerate(m)) for m in _MATCHINGS)}) as d from f a, f b),
+r as (select other from (select other, sum(d) as t from d group by 1) order by round(t, 9), other limit 1)
+select 3 as k, position::int as position, round(d, 6) as instability from d where other = (select other from r)""")
 def instability(spark, d):
-    v = load(spark, d, "embeddings").select(F.col("label"), *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(4)), "vec_id")
-    parts = v.groupBy((F.col("vec_id") % 3).cast("int").alias("position"), "label").agg(F.array(*(F.avg(f"f{i}") for i in range(4))).alias("c"))
-    fits = parts.groupBy("position").agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "c"))), lambda s: s["c"]).alias("centroids"))
+    v = _vectors(spark, d)
+    means = v.groupBy((F.col("vec_id") % 4).cast("int").alias("position"), (F.col("label") % 3).alias("c")).agg(F.array(*(F.avg(f"f{i}") for i in range(64))).alias("e"))
+    fits = means.groupBy("position").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "e"))), lambda s: s["e"]).alias("centroids"))
     fits = fits.withColumns({"k": F.size("centroids"), "del_size": F.lit(0)})
     return rounded(cluster.instability(fits).select("k", "position", "instability"))
 
@@ -391,6 +472,9 @@ def group_battery(spark, d):
     return rounded(battery.run_battery(rows, "proportion", "grp", ("cluster",)))
 
 
-@query()
+# 6.634896601021213 is the 0.99 quantile of chi-square with one degree of freedom: 0.05 over five labels.
+@query(f"""with {FRAMES}, c as (select *, sum(n) over (partition by grp) as t from (select grp, label, count(*) as n from frames group by all)),
+q as (select *, 6.634896601021213::double as q from c), r as (select *, sqrt(q * (q + 4 * n * (t - n) / t)) as root from q)
+select grp, label::int as label, n, round(n / t, 6) as share, round(greatest(0, (q + 2 * n - root) / (2 * (t + q))), 6) as ci_low, round(least(1, (q + 2 * n + root) / (2 * (t + q))), 6) as ci_high from r""")
 def multinomial_intervals(spark, d):
     return rounded(battery.multinomial_intervals(frames(spark, d), "label", ("grp",)))

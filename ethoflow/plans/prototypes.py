@@ -231,7 +231,7 @@ def run_name_filter(spark, d):
     return prototypes.matching_names(load(spark, d, "nation").select("n_nationkey", "n_name"), "_1, 4", "n_name")
 
 
-@query("""with v as (select vec_id, label, list_transform(embedding[1:13], x -> x::double) as p from embeddings), part(name, i, j) as (
+@query("""with v as (select vec_id, label, embedding[1:13]::double[] as p from embeddings), part(name, i, j) as (
   values ('frons', 0, 0), ('left_eye', 1, 2), ('right_eye', 3, 4), ('tail_base', 5, 0), ('tail_1', 6, 7), ('tail_2', 8, 9), ('tail_3', 10, 11), ('tail_end', 12, 13))
 select vec_id, name as part, round(case when i = 0 then 0 else p[i] end, 6) as x, round(case when j = 0 then 0 else p[j] end, 6) as y from v, part""")
 def landmark_points(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Names and types of the database's columns.
@@ -32,9 +34,10 @@ TABLES = {
 BODY_MARKERS = ("left_eye", "right_eye", "frons", "tail_base", "tail_1", "tail_2", "tail_3", "tail_end")
 
 
-def create(spark: SparkSession, root: str) -> None:
+def create(spark: SparkSession, root: str, names: Iterable[str] = tuple(TABLES)) -> None:
     """Empty tables under a folder where they are missing; body parts are seeded."""
-    for name, schema in TABLES.items():
+    for name in names:
+        schema = TABLES[name]
         rows = [(i, p) for i, p in enumerate(BODY_MARKERS, 1)] if name == "body_part" else []
         spark.createDataFrame(rows, schema).write.mode("ignore").parquet(f"{root}/{name}")
 
