@@ -142,7 +142,7 @@ def grid_order(circles: DataFrame, keys: Sequence[str], columns: int = 6, out: s
     """Numbers each plate's circles row by row from 1: by y into rows of so many, then by x."""
     down = Window.partitionBy(*keys).orderBy("cy", "cx")
     df = circles.withColumn("__row", F.floor((F.row_number().over(down) - 1) / columns))
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy("__row", "cx"))).drop("__row")
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy("__row", "cx", "cy"))).drop("__row")
 
 
 def decades(df: DataFrame, value: str, out: str = "decade") -> DataFrame:

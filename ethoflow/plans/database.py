@@ -113,8 +113,9 @@ def default_bounds(spark, d):
     return n.join(kept, "trial_id", "left").select("trial_id", "n", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
-STATS = [(float(i % 5 - 2), float(i % 3 + 1)) for i in range(len(build.FEATURES))]
-CENTROIDS = [[float((i * (k + 2)) % 5 - 2) for i in range(len(build.CLUSTERED))] for k in range(4)]
+# No two centroids are equally near to a row.
+STATS = [(i % 5 - 1.87, i % 3 + 1.07) for i in range(len(build.FEATURES))]
+CENTROIDS = [[(i * (k + 2)) % 5 - 2 + k / 7 + i / 130 for i in range(len(build.CLUSTERED))] for k in range(4)]
 
 
 def _far(k: int) -> str:

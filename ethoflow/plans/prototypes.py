@@ -168,7 +168,7 @@ def closest_radii(spark, d):
 
 
 @query(f"""with {CIRCLES}, r as (select *, (row_number() over (partition by plate order by cy, cx) - 1) // 6 as line from kept)
-select plate, p_partkey, row_number() over (partition by plate order by line, cx) as well_number from r""")
+select plate, p_partkey, row_number() over (partition by plate order by line, cx, cy) as well_number from r""")
 def grid_order(spark, d):
     kept = prototypes.closest_radii(_circles(spark, d), ("plate",))
     return prototypes.grid_order(kept, ("plate",)).select("plate", "p_partkey", F.col("well_number").cast("long").alias("well_number"))

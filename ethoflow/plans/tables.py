@@ -129,7 +129,7 @@ def nan_to_null(spark, d):
     return rounded(c.select("c_custkey", numeric.real(F.col("i")).cast("long").alias("id"), numeric.real(F.col("x")).alias("v")))
 
 
-@query("select s_suppkey, greatest(1, case when (s_suppkey * 5) % 10 = 5 and floor(s_suppkey * 5 / 10) % 2 = 0 then floor(s_suppkey * 5 / 10) else round(s_suppkey * 5 / 10.0) end)::int as frames from supplier")
+@query("select s_suppkey, greatest(1, round_even(s_suppkey * 5 * 1e-3::double * 100.0::double, 0))::int as frames from supplier")
 def frame_thresholds(spark, d):
     """Milliseconds at 100 frames a second; halves go to even."""
     fps = F.lit(100.0)
