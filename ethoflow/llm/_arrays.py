@@ -21,7 +21,8 @@ SAMPLE = 1 << 16
 MAX_OPEN = 4096
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The numbers with their bits well spread (the finaliser constants of splitmix64); one to one."""
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -31,7 +32,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def key_on(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The hashes of rows that are one word longer than those of the keys; 0 is the hash of the empty row."""
     with np.errstate(over="ignore"):
-        return _mix(keys * _K + words)
+        return mixed(keys * _K + words)
 
 
 def key_of(words: np.ndarray) -> np.ndarray:
