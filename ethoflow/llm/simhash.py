@@ -2,11 +2,11 @@
 
 Fingerprints are reduced to distinct values, every value probes small Hamming
 balls around its segments, and table matches are verified by their complete
-distance inside the join.  Of its verified matches a value keeps the smallest
-one only, by an aggregate in the join's own tasks; these links are closed into
-components, and the next round looks for matches in other components, until there
-are none.  So each round gives one link a value at most, however large a cluster
-is, and no connection is lost.
+distance inside the join.  Of its verified matches a value keeps the smallest and
+the largest only, by an aggregate in the join's own tasks; these links are closed
+into components, and the next round looks for matches in other components, until
+there are none.  So each round gives two links a value at most, however large a
+cluster is, and no connection is lost.
 
 Exactness.  64 bits fall into three segments (22, 21 and 21 bits).  Two values
 that differ in at most four bits differ in at most one bit of one of the first
@@ -83,7 +83,7 @@ def _segment(fp: Column, first: int, bits: int) -> Column:
 
 
 def other_matches(values: DataFrame) -> DataFrame:
-    """Rows (a, b): for each distinct value a in column fp the smallest one at DISTANCE or less in another group (column comp)."""
+    """Rows (a, b): for each distinct value a in column fp the smallest and the largest at DISTANCE or less in another group (column comp)."""
     probes, keys = [], []
     for i, (first, bits, radius) in enumerate(SEGMENTS):
         seg = _segment(F.col("fp"), first, bits)
@@ -94,7 +94,8 @@ def other_matches(values: DataFrame) -> DataFrame:
     left = values.select(F.col("fp").alias("a"), F.col("comp").alias("own"), F.explode(F.array(*probes)).alias("key"))
     right = values.select(F.col("fp").alias("b"), F.col("comp").alias("other"), F.explode(F.array(*keys)).alias("key"))
     near = (F.col("l.key") == F.col("r.key")) & (F.col("own") != F.col("other")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE)
-    return left.alias("l").join(right.alias("r"), near).groupBy("a").agg(F.min("b").alias("b"))
+    ends = left.alias("l").join(right.alias("r"), near).groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    return ends.select("a", F.explode(F.array_distinct(F.array("low", "high"))).alias("b"))
 
 
 def value_groups(values: DataFrame, scratch: Scratch) -> DataFrame:
