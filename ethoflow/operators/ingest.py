@@ -4,17 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ethoflow.functions.text import compact, is_gradient, joined_label, parsed_date, wells
 from ethoflow.operators.metadata import candidate_keys, matched_videos
 
-#: Parts of a sheet's headings (in lower case) and the field each stands for; the first that fits counts.
+#: Parts of a sheet's headings (in lower case) and the field each stands for; the first column that fits counts.
 HEADINGS = (
-    ("neurod2", "target_gene"), ("cas9", "cas9"), ("sgrna", "sgrna"), ("sequence folder", "seq_folder"), ("date of experiment", "exp_date"),
-    ("stage of tadpole", "stage"), ("control arenas", "control_arenas"), ("test arenas", "test_arenas"), ("drug and dose", "drug_dose"), ("notes", "notes"),
-)
+    ("key", "key"),
+    ("initials", "initials"),
+    ("date of fertilisation", "fert_date"),
+    ("female tank", "female_tank"),
+    ("female identifier", "female_identifier"),
+    ("background strain", "background_strain"),
+    ("neurod2", "target_gene"),
+    ("cas9", "cas9"),
+    ("sgrna", "sgrna"),
+    ("sequence folder", "seq_folder"),
+    ("date of experiment", "exp_date"),
+    ("stage of tadpole", "stage"),
+    ("control arenas", "control_arenas"),
+    ("test arenas", "test_arenas"),
+    ("drug and dose", "drug_dose"),
+    ("notes", "notes"),
+)
+#: The fields that hold dates are kept as written; ``parsed_date`` reads them.
+RAW = {"fert_date": "fert_date_raw", "exp_date": "exp_date_raw"}
+
+
+def sheet_records(spark: SparkSession, path: str) -> DataFrame:
+    """Plate records of a metadata sheet saved as CSV: one row a plate, absent fields empty, and its videos as an array.
+
+    The second line holds the headings. Lines without a key are left out; columns whose heading begins with ``video``
+    name recordings.
+    """
+    raw = spark.read.csv(path, header=False, multiLine=True, escape='"')
+    head = raw.limit(2).collect()  # two lines of one small file
+    if len(head) < 2:
+        raise ValueError("the sheet has no headings")
+    labels = [str(x or "").strip().lower() for x in head[1]]
+    at: dict[str, str] = {}
+    for column, label in zip(raw.columns, labels):
+        for part, name in HEADINGS:
+            if label and part in label and name not in at:
+                at[name] = column
+    if "key" not in at:
+        raise ValueError("the sheet has no key column")
+    numbered = raw.withColumn("__line", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.monotonically_increasing_id())))
+    rows = numbered.where((F.col("__line") > 2) & (F.trim(F.coalesce(at["key"], F.lit(""))) != ""))
+    fields = [(F.trim(F.coalesce(at[n], F.lit(""))) if n in at else F.lit("")).alias(RAW.get(n, n)) for n in dict(HEADINGS).values()]
+    videos = [F.trim(c) for c, label in zip(raw.columns, labels) if label.startswith("video")]
+    named = F.filter(F.array(*videos), lambda v: v.isNotNull() & (v != "")) if videos else F.array().cast("array<string>")
+    return rows.select(*fields, named.alias("videos"))
 
 
 def with_derived(plates: DataFrame) -> DataFrame:
@@ -104,8 +146,6 @@ def series_by_attributes(series: DataFrame, attributes: DataFrame, wanted: DataF
 
 def video_rows(metadata: DataFrame, series_id: Column, first_id: int = 1) -> DataFrame:
     """Rows of the video table from video metadata: numbered by time, with the pixels of a millimetre across the well."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("series").orderBy("date_time", "name")
     rows = metadata.withColumn("series", series_id).withColumn("n", F.row_number().over(w) - 1)
     size = F.count(F.lit(1)).over(Window.partitionBy("series"))

@@ -242,3 +242,21 @@ def csv_scan(spark, d):
         rows.where(F.col("well_number") == n).write.csv(f"{at}/{n}", header=True)
     schema = "trial_id long, well_number int, well_type_id long, quantity double, l_tax double"
     return rounded(saved.labelled_csv(spark, [f"{at}/1", f"{at}/2"], schema).drop("l_tax"))
+
+
+@query("""select 'P' || s_suppkey as key, case when s_suppkey % 2 = 0 then 'CB' else '' end as initials, 'g' || s_suppkey % 3 as sgrna, '1 to ' || s_suppkey % 24 as test_arenas, '' as notes,
+  case when s_suppkey % 3 = 0 then 'a' || s_suppkey || '.mp4' when s_suppkey % 3 = 1 then 'a' || s_suppkey || '.mp4,b, ' || s_suppkey else '' end as videos from supplier where s_suppkey % 5 <> 0""")
+def plate_sheet(spark, d):
+    """A sheet with two lines of headings, of which the second counts; lines without a key and absent columns."""
+    at, k = scratch_path(spark, "sheet"), F.col("s_suppkey").cast("string")
+    n = F.col("s_suppkey")
+    rows = load(spark, d, "supplier").select(
+        F.when(n % 5 != 0, F.concat(F.lit(" P"), k)).alias("a"), F.when(n % 2 == 0, "CB").alias("b"), F.concat(F.lit("g"), (n % 3).cast("string")).alias("c"),
+        F.concat(F.lit("1 to "), (n % 24).cast("string")).alias("e"), F.when(n % 3 != 2, F.concat(F.lit("a"), k, F.lit(".mp4"))).alias("f"),
+        F.when(n % 3 == 1, F.concat(F.lit("b, "), k)).alias("g"), F.lit(0).alias("line"),
+    )
+    heads = [("Plate", "", "", "Wells", "Recordings", "", -2), ("Key (unique)", "Initials", "sgRNA rank, dilution", "Test arenas", "Video 1", "video 2", -1)]
+    heads = spark.createDataFrame(heads, "a string, b string, c string, e string, f string, g string, line int")
+    heads.unionByName(rows).repartition(1).sortWithinPartitions("line").drop("line").write.csv(at, emptyValue="")
+    got = ingest.sheet_records(spark, at)
+    return got.select("key", "initials", "sgrna", "test_arenas", "notes", F.array_join("videos", ",").alias("videos"))
