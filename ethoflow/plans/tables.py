@@ -261,7 +261,7 @@ def inertia_back_fill(spark, d):
     return rounded(cluster.inertia_of_fits(rows, FEATURES, fits, "i", ("fit",)), 1)
 
 
-@query("""with c as (select p_type as category, abs(p_retailprice - 1500) as thrust, abs(p_size - 25.0) as slip, p_size as yaw, p_partkey::double as dur from part)
+@query("""with c as (select p_type as category, abs(p_retailprice - 1500) as thrust, abs(p_size - 25.0::double) as slip, p_size as yaw, p_partkey::double as dur from part)
 select round(max(thrust) filter (category not like 'STANDARD%'), 6) as max_thrust, round(max(slip) filter (category not like 'STANDARD%'), 6) as max_slip, max(yaw)::double as max_yaw, max(dur) as max_duration_ms from c""")
 def prototype_scales(spark, d):
     p = load(spark, d, "part")
