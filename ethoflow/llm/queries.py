@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethoflow.llm import bpe, decontaminate, feistel, line_dedup, ngram_lm, quality_crf, simhash, substring_dedup, topk_bsi, url_filter
+from ethoflow.llm import bpe, decontaminate, feistel, license_scan, line_dedup, ngram_lm, quality_crf, simhash, substring_dedup, topk_bsi, url_filter
 from ethoflow.llm._common import OWN, crc_of_id, table
 
 THRESHOLD = 0.7
@@ -78,8 +78,15 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.labelled(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_decontaminate, op3_bpe, op4_simhash, op5_passages, op6_quality, op7_ngram_lm, op8_line_dedup, op9_url_filter, op10_shards)}
+    every = (
+        op1_topk, op2_decontaminate, op3_bpe, op4_simhash, op5_passages, op6_quality, op7_ngram_lm, op8_line_dedup, op9_url_filter, op10_shards, op12_licenses,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -89,4 +89,46 @@ select p.page_id, p.host, p.path, b.best[2] as rule, coalesce(b.best[3], 'allow'
 from p left join b on p.host = b.host and p.path = b.path
 """
 
-ORACLE = {"op1_topk": OP1, "op2_decontaminate": OP2, "op8_line_dedup": OP8, "op9_url_filter": OP9}
+
+
+def _op12() -> str:
+    from ethoflow.llm.license_scan import PHRASES, TEMPLATES
+
+    rows = ",\n    ".join(f"""({i}, '{t.label}', '{t.text.replace("'", "''")}', {t.gram}, {t.step}, {t.least})""" for i, t in enumerate(TEMPLATES))
+    words = "'[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'"
+    return f"""
+with t as (
+  select *, regexp_extract_all(translate(text, {_AZ}), {words}) as ws from (values
+    {rows}
+  ) t(t, label, text, k, step, least)
+), tg as (
+  select t, k, q, array_to_string(ws[q + 1:q + k], ' ') as g from (select *, unnest(range(0, (len(ws) - k + 1)::bigint)) as q from t)
+), d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), {words}) as ws from documents
+), dg as (
+  select doc_id, k, p, array_to_string(ws[p + 1:p + k], ' ') as g
+  from (select d.*, k.k, unnest(range(0, (len(ws) - k.k + 1)::bigint)) as p from d, (select distinct k from t) k)
+), h as (
+  select doc_id, t, p, q, p - q as diagonal, dg.k from dg join tg on dg.k = tg.k and dg.g = tg.g
+), r as (
+  select *, sum(apart) over (partition by doc_id, t order by diagonal) as run from (
+    select doc_id, h.t, diagonal, coalesce((diagonal - lag(diagonal) over (partition by doc_id, h.t order by diagonal) > step)::int, 0) as apart
+    from (select distinct doc_id, t, diagonal from h) h join t on h.t = t.t
+  )
+), c as (
+  select h.doc_id, h.t, r.run, h.p, h.k, unnest(range(h.q, h.q + h.k)) as w from h join r on h.doc_id = r.doc_id and h.t = r.t and h.diagonal = r.diagonal
+), s as (
+  select doc_id, c.t, min(p) as first, count(distinct w) / len(any_value(t.ws))::double as similarity, any_value(label) as label
+  from c join t on c.t = t.t group by doc_id, c.t, run having count(distinct w) / len(any_value(t.ws))::double >= any_value(least)
+), b as (
+  select doc_id, count(*) filter (t < {len(PHRASES)}) as n_base, min(first) filter (t < {len(PHRASES)}) as first_word, max(first) filter (t < {len(PHRASES)}) as last_word,
+    coalesce(string_agg(distinct label, ',' order by label) filter (t < {len(PHRASES)}), '') as base_labels, string_agg(distinct label, ',' order by label) as labels, max(similarity) as score
+  from s group by doc_id
+)
+select d.doc_id, len(d.ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+from d left join b on d.doc_id is not distinct from b.doc_id
+"""
+
+
+ORACLE = {"op1_topk": OP1, "op2_decontaminate": OP2, "op8_line_dedup": OP8, "op9_url_filter": OP9, "op12_licenses": _op12()}
