@@ -90,6 +90,62 @@ from p left join b on p.host = b.host and p.path = b.path
 """
 
 
+OP13 = """
+with recursive i as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    xor(list_reduce(list_prepend(4294967295::ubigint, [ascii(x)::ubigint for x in string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), '')]),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::ubigint[], lambda x, y: xor(x >> 1, 3988292384::ubigint * (x & 1)))), 4294967295::ubigint) % 20 as kind
+  from conversations
+), d as (
+  select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from (select *, unnest(case when kind = 3 then [0, 1] else [0] end) as copy from i where kind <> 0)
+), m as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as n from d
+), o as (
+  select *, row_number() over (partition by conv_id, role, text order by n) as seen,
+    regexp_replace(text, '[\\x20\\x09-\\x0D]+\\z', '') as solid, left(role, 1) as letter
+  from m
+), f as (
+  select *, case when solid = '' then 'b' when seen > 1 then 'd' when right(solid, 1) not in ('.', '!', '?') then 't' else '' end as fault,
+    coalesce(lag(letter) over (partition by conv_id order by n) || letter not in ('su', 'ua', 'au'), false) as illegal
+  from o
+), g(before, letter, state) as (
+  values ('0', 's', 's'), ('0', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')
+), p(before, state, cost, audit) as (
+  select state, state, 0, '' from (values ('0'), ('s'), ('u'), ('a')) v(state)
+  union all
+  select p.before, g.state, p.cost + 3, p.audit || 'I' from p join g on g.before = p.state where g.letter <> 's' and p.cost < 6
+), r(conv_id, n, state, best, rows) as (
+  select conv_id, 0::bigint, '0', {'cost': 0::bigint, 'audit': ''}, count(*) from f group by conv_id
+  union all
+  select r.conv_id, any_value(f.n), e.state, min({'cost': r.best.cost + p.cost + e.cost + case when e.edit <> 'D' and f.fault = 't' then 3 else 0 end, 'audit': r.best.audit || p.audit || e.edit}), any_value(r.rows)
+  from r join f on r.conv_id is not distinct from f.conv_id and f.n = r.n + 1 join p on p.before = r.state join (
+    select before, letter, state, 0 as cost, 'K' as edit from g
+    union all select before, null, state, 3, 'R' from g where letter <> 's'
+    union all select state, null, state, 4, 'D' from (values ('0'), ('s'), ('u'), ('a')) v(state)
+  ) e on e.before = p.state and (e.letter is null or e.letter = f.letter) and (e.edit = 'D' or f.fault not in ('b', 'd'))
+  group by r.conv_id, e.state
+), z as (
+  select r.conv_id, min({'cost': r.best.cost + p.cost, 'audit': r.best.audit || p.audit}) as best
+  from r join p on p.before = r.state and p.state in ('0', 'a') where r.n = r.rows group by r.conv_id
+), a as (
+  select conv_id, audit[k] as edit, k, count(*) filter (audit[k] <> 'I') over w as n, count(*) filter (audit[k] <> 'D') over w as m, (length(audit) - length(replace(audit, 'D', ''))) as gone, length(audit) as size
+  from (select conv_id, best.audit as audit, unnest(range(1, length(best.audit) + 1)) as k from z) window w as (partition by conv_id order by k)
+), t as (
+  select a.conv_id, string_agg(case when edit = 'K' then f.role when (size - gone) % 2 = m % 2 then case when m = 1 and (size - gone) % 2 = 1 then 'system' else 'assistant' end else 'user' end
+    || ':' || case when edit = 'I' then '' else f.text end, chr(10) order by k) as text
+  from a left join f on a.conv_id is not distinct from f.conv_id and f.n = a.n and edit <> 'I' where edit <> 'D' group by a.conv_id
+), c as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate,
+    count(*) filter (fault = 't') as truncated, count(*) filter (illegal) as illegal
+  from f group by conv_id
+)
+select k.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+  coalesce(illegal, 0)::bigint as illegal, coalesce(z.best.cost, 0)::bigint as cost, coalesce(z.best.audit, '') as audit, sha256(coalesce(t.text, '')) as repaired_sha256
+from (select distinct conv_id from conversations) k left join c on k.conv_id is not distinct from c.conv_id left join z on k.conv_id is not distinct from z.conv_id left join t on k.conv_id is not distinct from t.conv_id
+"""
+
 
 def _op12() -> str:
     from ethoflow.llm.license_scan import PHRASES, TEMPLATES
@@ -131,4 +187,4 @@ from d left join b on d.doc_id is not distinct from b.doc_id
 """
 
 
-ORACLE = {"op1_topk": OP1, "op2_decontaminate": OP2, "op8_line_dedup": OP8, "op9_url_filter": OP9, "op12_licenses": _op12()}
+ORACLE = {"op1_topk": OP1, "op2_decontaminate": OP2, "op8_line_dedup": OP8, "op9_url_filter": OP9, "op12_licenses": _op12(), "op13_conversations": OP13}
