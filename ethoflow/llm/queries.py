@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ethoflow.llm import bpe, conversation_repair, decontaminate, feistel, license_scan, line_dedup, ngram_lm, quality_crf, simhash, substring_dedup, topk_bsi, url_filter
+from ethoflow.llm import bpe, conversation_repair, decontaminate, feistel, hard_negatives, license_scan, line_dedup, ngram_lm, quality_crf, simhash, substring_dedup, topk_bsi, url_filter
 from ethoflow.llm._common import OWN, crc_of_id, table
 
 THRESHOLD = 0.7
@@ -78,6 +78,11 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feistel.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.labelled(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
 
@@ -88,8 +93,8 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_topk, op2_decontaminate, op3_bpe, op4_simhash, op5_passages, op6_quality, op7_ngram_lm, op8_line_dedup, op9_url_filter, op10_shards, op12_licenses,
-        op13_conversations,
+        op1_topk, op2_decontaminate, op3_bpe, op4_simhash, op5_passages, op6_quality, op7_ngram_lm, op8_line_dedup, op9_url_filter, op10_shards,
+        op11_hard_negatives, op12_licenses, op13_conversations,
     )
     return {f.__name__: f for f in every}
 

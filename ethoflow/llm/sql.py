@@ -90,6 +90,26 @@ from p left join b on p.host = b.host and p.path = b.path
 """
 
 
+OP11 = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, [floor(256 * x::double) for x in embedding] as e
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(embedding) > 0
+    and len([x for x in embedding if x is null or not isfinite(x::double)]) = 0
+), s as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same, list_dot_product(a.e, c.e)::bigint as score
+  from v a join v c on a.vec_id % 100 = 0 and c.vec_id <> a.vec_id
+), p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+), n as (
+  select p.*, s.vec_id as negative_id, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+  from p join s on s.anchor_id = p.anchor_id and not same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 10
+"""
+
 OP13 = """
 with recursive i as (
   select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
@@ -187,4 +207,4 @@ from d left join b on d.doc_id is not distinct from b.doc_id
 """
 
 
-ORACLE = {"op1_topk": OP1, "op2_decontaminate": OP2, "op8_line_dedup": OP8, "op9_url_filter": OP9, "op12_licenses": _op12(), "op13_conversations": OP13}
+ORACLE = {"op1_topk": OP1, "op2_decontaminate": OP2, "op8_line_dedup": OP8, "op9_url_filter": OP9, "op11_hard_negatives": OP11, "op12_licenses": _op12(), "op13_conversations": OP13}
