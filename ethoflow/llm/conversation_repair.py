@@ -36,6 +36,7 @@ from itertools import product
 from typing import NamedTuple
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,9 +44,6 @@ from ethoflow.llm._common import Scratch, small_batches
 
 #: Turns in a block, and blocks that a step of the upper levels joins; a power of two.
 BLOCK_BITS = 8
-#: Rows of an Arrow batch, each a block's letters or one cell of a block's table.
-BATCH_ROWS = 20_000
-
 #: What edits cost.
 KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 
@@ -217,14 +215,16 @@ def _cells(keys: pa.Array, blocks: pa.Array, cells: pa.Table) -> Iterator[pa.Rec
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tables of stretches of blocks; each row holds the tables of one stretch."""
+    """Tables of stretches of blocks, a DuckDB query for each batch; each row holds the tables of one stretch."""
     con = _duck()
     for batch in batches:
-        for i in range(batch.num_rows):  # each may be long
-            cells = pa.Table.from_struct_array(batch.column("cells").slice(i, 1).flatten())
-            con.register("steps_", cells)
-            con.execute("create or replace temp table steps as select 0 as id, dense_rank() over (order by block) as n, came, state, cost, audit from steps_")
-            yield from _cells(batch.column("key").slice(i, 1), batch.column("block").slice(i, 1), con.sql(TABLES_SQL).to_arrow_table())
+        if not batch.num_rows:
+            continue
+        cells = batch.column("cells")
+        flat = pa.Table.from_struct_array(cells.flatten())
+        con.register("steps_", flat.append_column("id", pc.list_parent_indices(cells).cast(pa.int64())))
+        con.execute("create or replace temp table steps as select id, dense_rank() over (partition by id order by block) as n, came, state, cost, audit from steps_")
+        yield from _cells(batch.column("key"), batch.column("block"), con.sql(TABLES_SQL).to_arrow_table())
 
 
 def _tables(coded: DataFrame, scratch: Scratch) -> DataFrame:
