@@ -53,6 +53,13 @@ def across_animals(animals: DataFrame, labels: DataFrame | None = None, label: s
     return out if labels is None else labels.join(out, label, "left").na.fill(0)
 
 
+def with_interval(summary: DataFrame, samples: DataFrame, value: str = "median_ms", label: str = "label") -> DataFrame:
+    """The summary with the bootstrap interval of each label's median over the samples; labels without any get zeros."""
+    from ethoflow.operators.stats import bootstrap_interval
+
+    return summary.join(bootstrap_interval(samples, value, (label,)), label, "left").na.fill(0.0, ["ci_low", "ci_high"])
+
+
 def animal_lists(animals: DataFrame, labels: DataFrame, label: str = "label", keys: Sequence[str] = ANIMAL) -> DataFrame:
     """Per label (all of the listed ones) its animals' means, medians and numbers of bouts, in the order of the means."""
     row = F.struct("mean_ms", *keys, "median_ms", "n_bouts")

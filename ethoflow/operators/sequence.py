@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ethoflow.operators import ranges
+
 
 def by(keys: Sequence[str], order: str = "frame_number") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
@@ -130,18 +132,5 @@ def left_out(df: DataFrame, index: str, n: int, percent: float, position: float)
 
 
 def row_index(df: DataFrame, order: Sequence[str], out: str = "row_index") -> DataFrame:
-    """A dense 0-based index in the order of the columns, without a sort in one task.
-
-    Rows are range-partitioned and written sorted; partition sizes (one number
-    each) become offsets.
-    """
-    spark = df.sparkSession
-    placed = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    placed = placed.checkpoint() if spark.sparkContext.getCheckpointDir() else placed.persist()  # range bounds are sampled: fix them once
-    sizes = sorted((r[0], r[1]) for r in placed.groupBy("__part").count().collect())
-    offsets, total = {}, 0
-    for part, size in sizes:
-        offsets[part] = total
-        total += size
-    before = F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv)) if offsets else F.create_map(F.lit(0), F.lit(0))
-    return placed.withColumn(out, before[F.col("__part")] + F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1).drop("__part")
+    """A dense 0-based index in the order of the columns, without a sort in one task; the same after a lost executor."""
+    return ranges.row_index(df, order, out)

@@ -13,23 +13,41 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ethoflow.operators import exact, ranges
 
 
 def false_discovery(df: DataFrame, p: str = "p", out: str = "p_adj", keys: Sequence[str] = ("cluster",)) -> DataFrame:
-    """Benjamini-Hochberg correction within each key's tests."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = df.withColumns({"__rank": F.row_number().over(w.orderBy(F.col(p).asc_nulls_last())), "__m": F.count(p).over(w)})
+    """Benjamini-Hochberg correction within each key's tests; without keys over the whole table, whose order is dealt to ranges."""
+    order = [F.col(p).asc_nulls_last()]
+    if keys:
+        w = Window.partitionBy(*keys)
+        ranked = df.withColumns({"__rank": F.row_number().over(w.orderBy(*order)), "__m": F.count(p).over(w)})
+    else:
+        tests = F.broadcast(df.agg(F.count(p).alias("__m")))  # one row
+        ranked = ranges.row_index(df, order, "__rank").withColumn("__rank", F.col("__rank") + 1).crossJoin(tests)
     raw = ranked.withColumn("__raw", F.col(p) * F.col("__m") / F.col("__rank"))
-    return raw.withColumn(out, F.greatest(F.col(p), F.least(F.lit(1.0), F.min("__raw").over(w.orderBy("__rank").rowsBetween(0, Window.unboundedFollowing))))).drop("__rank", "__m", "__raw")
+    if keys:
+        held = raw.withColumn("__least", F.min("__raw").over(w.orderBy("__rank").rowsBetween(0, Window.unboundedFollowing)))
+    else:
+        held = ranges.least_from_here(raw, ["__rank"], "__raw", "__least")
+    return held.withColumn(out, F.greatest(F.col(p), F.least(F.lit(1.0), "__least"))).drop("__rank", "__m", "__raw", "__least")
 
 
 STATISTICS = {"meanDiff": lambda a, b: a.mean(axis=-1) - b.mean(axis=-1), "medianDiff": lambda a, b: np.median(a, axis=-1) - np.median(b, axis=-1), "sumDiff": lambda a, b: a.sum(axis=-1) - b.sum(axis=-1)}
 
 
-def permutation_p(a: np.ndarray, b: np.ndarray, n: int = 10_000, seed: int = 0, statistic: str = "meanDiff") -> float:
-    """Two-sided p-value of a difference under random relabelling, the observed arrangement counted."""
+def permutation_p(a: np.ndarray, b: np.ndarray, n: int | str = 10_000, seed: int = 0, statistic: str = "meanDiff") -> float:
+    """Two-sided p-value of a difference under relabelling.
+
+    "all", or a number of draws that all relabellings do not exceed: the share of
+    all of them; else that of random ones, the observed arrangement counted.
+    """
     if len(a) == 0 or len(b) == 0:
         return float("nan")
+    if n == "all" or math.comb(len(a) + len(b), len(a)) <= n:
+        return exact.relabelled_share(a, b, statistic)
     f, both, rng = STATISTICS[statistic], np.concatenate([a, b]), np.random.default_rng(seed)
     seen, hits, done = abs(float(f(a, b))), 0, 0
     while done < n:
@@ -40,34 +58,87 @@ def permutation_p(a: np.ndarray, b: np.ndarray, n: int = 10_000, seed: int = 0,
     return (hits + 1) / (n + 1)
 
 
-_PAIR = "group_a string, group_b string, n_a long, n_b long, difference double, p double"
+def paired_rows(df: DataFrame, value: str, group: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows (keys, group_a, group_b, first, value): each animal once for every pair of groups it is in; first: in group_a."""
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value) & F.col(group).isNotNull()).select(*keys, F.col(group).cast("string").alias("__g"), F.col(value).cast("double").alias("value"))
+    sets = rows.groupBy(*keys).agg(F.collect_set("__g").alias("__all"))  # the groups of a key are few
+    met = rows.join(sets, [*keys]) if keys else rows.crossJoin(F.broadcast(sets))
+    pairs = met.withColumn("__o", F.explode(F.filter("__all", lambda o: o != F.col("__g"))))
+    return pairs.select(*keys, F.least("__g", "__o").alias("group_a"), F.greatest("__g", "__o").alias("group_b"), (F.col("__g") < F.col("__o")).alias("first"), "value")
 
 
-def compare_groups(df: DataFrame, value: str, group: str, keys: Sequence[str] = (), n: int = 10_000, seed: int = 0, statistic: str = "meanDiff", alpha: float = 0.05) -> DataFrame:
-    """All pairs of groups within each key: permutation p, its correction and stars."""
+def _judged(tests: DataFrame, keys: Sequence[str], alpha: float) -> DataFrame:
     from ethoflow.functions.numeric import stars
 
+    if keys:
+        corrected = false_discovery(tests, "p", "p_adj", keys)
+    else:  # the pairs of one set of groups are few
+        corrected = false_discovery(tests.withColumn("__one", F.lit(0)), "p", "p_adj", ("__one",)).drop("__one")
+    return corrected.withColumn("sig", stars(F.col("p_adj"))).withColumn("significant", F.col("p_adj") < alpha)
+
+
+def compare_groups(df: DataFrame, value: str, group: str, keys: Sequence[str] = (), n: int | str = 10_000, seed: int = 0, statistic: str = "meanDiff", alpha: float = 0.05) -> DataFrame:
+    """All pairs of groups within each key: permutation p, its correction and stars.  n: draws, or "all" relabellings.
+
+    A pair of groups is one task's work.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = {str(g): x[value].to_numpy(dtype=float) for g, x in frame.groupby(group)}
-        head = {k: frame[k].iloc[0] for k in keys}
-        rows = []
-        names = sorted(parts)
-        for i, a in enumerate(names):
-            for b in names[i + 1 :]:
-                x, y = parts[a], parts[b]
-                rows.append(head | {"group_a": a, "group_b": b, "n_a": len(x), "n_b": len(y), "difference": float(x.mean() - y.mean()), "p": permutation_p(x, y, n, seed, statistic)})
-        return pd.DataFrame(rows, columns=[*keys, "group_a", "group_b", "n_a", "n_b", "difference", "p"])
-
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value) & F.col(group).isNotNull()).select(*keys, F.col(group).cast("string").alias(group), value)
-    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + _PAIR
-    tests = rows.groupBy(*(keys or (F.lit(0).alias("__all"),))).applyInPandas(one, schema)
-    return false_discovery(tests, "p", "p_adj", keys).withColumn("sig", stars(F.col("p_adj"))).withColumn("significant", F.col("p_adj") < alpha)
+        x, y = (frame.loc[frame["first"] == side, "value"].to_numpy() for side in (True, False))
+        head = [frame[c].iloc[0] for c in (*keys, "group_a", "group_b")]
+        return pd.DataFrame([[*head, len(x), len(y), float(x.mean() - y.mean()), permutation_p(x, y, n, seed, statistic)]], columns=[*keys, "group_a", "group_b", "n_a", "n_b", "difference", "p"])
+
+    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + "group_a string, group_b string, n_a long, n_b long, difference double, p double"
+    tests = paired_rows(df, value, group, keys).groupBy(*keys, "group_a", "group_b").applyInPandas(one, schema)
+    return _judged(tests, keys, alpha)
+
+
+def rank_tests(df: DataFrame, value: str, group: str, keys: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
+    """All pairs of groups within each key by the rank sum test: rows (keys, group_a, group_b, n_a, n_b, u, p, p_adj, sig, significant).
+
+    Ranks, sums and ties come from windows and aggregates; only the tail of each
+    pair's row is computed in Python.
+    """
+    pair = (*keys, "group_a", "group_b")
+    w = Window.partitionBy(*pair)
+    ties = F.count(F.lit(1)).over(Window.partitionBy(*pair, "value"))
+    ranked = paired_rows(df, value, group, keys).withColumns({"__r": F.rank().over(w.orderBy("value")) + (ties - 1) / 2, "__t": ties * ties - 1})
+    sums = ranked.groupBy(*pair).agg(F.count_if("first").alias("n_a"), F.count_if(~F.col("first")).alias("n_b"), F.sum(F.when(F.col("first"), F.col("__r"))).alias("__s"), F.sum("__t").cast("double").alias("__ties"))
+    tests = sums.withColumn("u", F.col("__s") - F.col("n_a") * (F.col("n_a") + 1) / 2)
+    return _judged(tests.select(*pair, "n_a", "n_b", "u", rank_sum_tail("u", "n_a", "n_b", "__ties").alias("p")), keys, alpha)
+
+
+def signed_rank_tests(df: DataFrame, difference: str, keys: Sequence[str]) -> DataFrame:
+    """Rows (keys, n, w, p) of the signed rank test of each key's differences; p and w are NaN for under three or no difference."""
+    rows = df.where(F.col(difference).isNotNull() & ~F.isnan(difference)).select(*keys, F.col(difference).cast("double").alias("__d"))
+    size, ties = F.abs("__d"), F.count(F.lit(1)).over(Window.partitionBy(*keys, F.abs("__d")))
+    w = Window.partitionBy(*keys)
+    # Zeros come first in the order of sizes and do not count.
+    zeros = F.count_if(F.col("__d") == 0).over(w)
+    ranked = rows.withColumns({"__r": F.rank().over(w.orderBy(size)) + (ties - 1) / 2 - zeros, "__t": ties * ties - 1})
+    moved = F.col("__d") != 0
+    sums = ranked.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__all"), F.count_if(moved).alias("n"), F.coalesce(F.sum(F.when(F.col("__d") > 0, F.col("__r"))), F.lit(0.0)).alias("__up"),
+        F.coalesce(F.sum(F.when(F.col("__d") < 0, F.col("__r"))), F.lit(0.0)).alias("__down"), F.coalesce(F.sum(F.when(moved, F.col("__t"))), F.lit(0)).cast("double").alias("__ties"),
+    )
+    few = (F.col("__all") < 3) | (F.col("n") == 0)
+    least = sums.withColumn("w", F.when(few, F.lit(float("nan"))).otherwise(F.least("__up", "__down")))
+    return least.select(*keys, "n", "w", signed_rank_tail("w", "n", "__ties", F.col("__all") - F.col("n")).alias("p"))
+
+
+@F.pandas_udf(T.DoubleType())
+def rank_sum_tail(u: pd.Series, n: pd.Series, m: pd.Series, ties: pd.Series) -> pd.Series:
+    return pd.Series([mann_whitney_p(*row) for row in zip(u.tolist(), n.tolist(), m.tolist(), ties.tolist())], dtype=float)
+
+
+@F.pandas_udf(T.DoubleType())
+def signed_rank_tail(w: pd.Series, n: pd.Series, ties: pd.Series, zeros: pd.Series) -> pd.Series:
+    return pd.Series([wilcoxon_p(*row) for row in zip(w.tolist(), n.tolist(), ties.tolist(), zeros.tolist())], dtype=float)
 
 
 def bootstrap_median(values: np.ndarray, n: int = 10_000, seed: int = 0) -> tuple[float, float]:
-    """95 % interval of the median; for under three values their range."""
+    """95 % interval of the median by random draws; for under three values their range.  ``exact.median_interval`` is its limit."""
     if len(values) < 3:
         return (float(np.min(values)), float(np.max(values))) if len(values) else (float("nan"), float("nan"))
     rng = np.random.default_rng(seed)
@@ -76,14 +147,20 @@ def bootstrap_median(values: np.ndarray, n: int = 10_000, seed: int = 0) -> tupl
     return float(low), float(high)
 
 
-def bootstrap_interval(df: DataFrame, value: str, keys: Sequence[str], n: int = 10_000, seed: int = 0) -> DataFrame:
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+@F.pandas_udf(T.StructType([T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())]))
+def _median_interval(values: pd.Series) -> pd.DataFrame:
+    found = [exact.median_interval(np.asarray(v, dtype=float)) for v in values]
+    return pd.DataFrame({"low": [f[0] for f in found], "high": [f[1] for f in found]})
 
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        low, high = bootstrap_median(frame[value].dropna().to_numpy(dtype=float), n, seed)
-        return pd.DataFrame([[*(frame[k].iloc[0] for k in keys), low, high]], columns=[*keys, "ci_low", "ci_high"])
 
-    return df.select(*keys, value).groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ci_low double, ci_high double")
+def bootstrap_interval(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """Rows (keys, ci_low, ci_high): the 95 % bootstrap interval of each key's median, from its law instead of draws.
+
+    A key's values, one an animal, are one array.
+    """
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value))
+    sets = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("__xs"))
+    return sets.withColumn("__ci", _median_interval("__xs")).select(*keys, F.col("__ci.low").alias("ci_low"), F.col("__ci.high").alias("ci_high"))
 
 
 def fold_changes(df: DataFrame, columns: Sequence[str], group: str, control: str) -> DataFrame:
@@ -150,8 +227,7 @@ def rank_sums(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     """
     some = df.where(F.col(group).isin(a, b) & F.col(value).isNotNull() & ~F.isnan(value))
     n = some.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(group) == a).alias("n_a"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = n.withColumn("rank", before + (F.col("n") + 1) / 2)
+    ranked = ranges.running_sums(n, [value], {"__before": "n"}).withColumn("rank", F.col("__before") + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("rank") * F.col("n_a")).alias("r"), F.sum("n_a").alias("n_a"), F.sum("n").alias("n"))
     return sums.select((F.col("r") - F.col("n_a") * (F.col("n_a") + 1) / 2).alias("u"), "n_a", (F.col("n") - F.col("n_a")).alias("n_b"))
 
@@ -160,28 +236,48 @@ def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def mann_whitney_p(u: float, n: int, m: int, ties: float) -> float:
+    """Two-sided p; exact without ties if a side has eight values or fewer, else by the normal law with tie and continuity corrections.
+
+    ties: the sum of t^3 - t over values that stand t times.
+    """
+    if not n or not m:
+        return float("nan")
+    if not ties and min(n, m) <= exact.RANK_SUM_MOST:
+        return exact.rank_sum_p(u, n, m)
+    s2 = n * m / 12 * (n + m + 1 - ties / max((n + m) * (n + m - 1), 1))
+    return 1.0 if s2 <= 0 else min(1.0, 2 * normal_tail((abs(u - n * m / 2) - 0.5) / math.sqrt(s2)))
+
+
 def mann_whitney(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """(U of a, two-sided p by the normal law with tie and continuity corrections)."""
+    """(U of a, two-sided p)."""
     n, m = len(a), len(b)
     if not n or not m:
         return float("nan"), float("nan")
     both = np.concatenate([a, b])
-    u = ranks(both)[:n].sum() - n * (n + 1) / 2
     t = np.unique(both, return_counts=True)[1]
-    s2 = n * m / 12 * (n + m + 1 - (t**3 - t).sum() / max((n + m) * (n + m - 1), 1))
-    return float(u), 1.0 if s2 <= 0 else min(1.0, 2 * normal_tail((abs(u - n * m / 2) - 0.5) / math.sqrt(s2)))
+    u = float(ranks(both)[:n].sum() - n * (n + 1) / 2)
+    return u, mann_whitney_p(u, n, m, float((t**3 - t).sum()))
+
+
+def wilcoxon_p(w: float, n: int, ties: float, zeros: int) -> float:
+    """Two-sided p of a rank sum of n differences; exact for fifty or fewer without ties and zeros, else by the normal law."""
+    if math.isnan(w):
+        return w
+    if not ties and not zeros and n <= exact.SIGNED_MOST:
+        return exact.signed_rank_p(w, n)
+    s2 = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
+    return min(1.0, 2 * normal_tail(abs(w - n * (n + 1) / 4) / math.sqrt(s2))) if s2 > 0 else 1.0
 
 
 def wilcoxon(differences: np.ndarray) -> tuple[float, float]:
-    """(smaller rank sum, two-sided p by the normal law); NaN for under three pairs or no difference."""
+    """(smaller rank sum, two-sided p); NaN for under three pairs or no difference."""
     d = differences[differences != 0]
     if len(differences) < 3 or not len(d):
         return float("nan"), float("nan")
-    r, n = ranks(np.abs(d)), len(d)
-    w = min(r[d > 0].sum(), r[d < 0].sum())
-    t = np.unique(np.abs(d), return_counts=True)[1]
-    s2 = n * (n + 1) * (2 * n + 1) / 24 - (t**3 - t).sum() / 48
-    return float(w), min(1.0, 2 * normal_tail((abs(w - n * (n + 1) / 4)) / math.sqrt(s2)))
+    r, t = ranks(np.abs(d)), np.unique(np.abs(d), return_counts=True)[1]
+    w = float(min(r[d > 0].sum(), r[d < 0].sum()))
+    return w, wilcoxon_p(w, len(d), float((t**3 - t).sum()), len(differences) - len(d))
 
 
 def gamma_tail(a: float, x: float) -> float:

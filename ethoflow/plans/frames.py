@@ -361,11 +361,6 @@ def compare_groups(spark, d):
     return rounded(stats.compare_groups(rows, "proportion", "grp", ("cluster",)))
 
 
-@query()
-def bootstrap_durations(spark, d):
-    return rounded(stats.bootstrap_interval(bouts.per_animal(bouts.segments(frames(spark, d), FPS)), "median_ms", ("label",)))
-
-
 @query("""with p as (select l_returnflag, l_linenumber, (abs(sum(l_orderkey * 31 + l_partkey)) % 997 + 1)::double / 2000 as p from lineitem group by all),
 r as (select *, row_number() over (partition by l_returnflag order by p, l_linenumber) as k, count(*) over (partition by l_returnflag) as m from p)
 select l_returnflag, l_linenumber, round(p, 6) as p, round(least(1, min(p * m / k) over (partition by l_returnflag order by k rows between current row and unbounded following)), 6) as p_adj from r""")
