@@ -32,15 +32,17 @@ def selected(columns: Sequence[int] = CLUSTERED) -> list[str]:
 def base_features(t: Mapping[str, DataFrame], groups: Sequence[int]) -> DataFrame:
     """One row a frame of the groups: ids, velocity and posture; parts without a position are null.
 
-    The posture table is pivoted in one conditional aggregate. Of repeated rows of a part the largest value counts,
-    as frames must not multiply. The rows have no order; frame numbers give it.
+    Posture of other groups' frames goes before the pivot (Spark adds a filter of the ids to the scan where that pays), which
+    is one conditional aggregate. Of repeated rows of a part the largest value counts, as frames must not multiply. The rows
+    have no order; frame numbers give it.
     """
     trials = t["trial"].where(F.col("tadpole_group_id").isin(*groups)).select("trial_id", "well_number", "tadpole_group_id")
     frames = t["time_series"].select("time_series_id", "trial_id", "frame_number").join(trials, "trial_id")
     frames = frames.join(t["velocity"].select("time_series_id", *VELOCITY), "time_series_id")
     parts = t["body_part"].where(F.col("body_marker").isin(*PARTS))
     part = F.col("body_marker")
-    wide = t["posture"].join(F.broadcast(parts), "body_part_id").groupBy("time_series_id").agg(*(
+    own = t["posture"].join(frames.select("time_series_id"), "time_series_id", "left_semi")
+    wide = own.join(F.broadcast(parts), "body_part_id").groupBy("time_series_id").agg(*(
         F.max(F.when(part == c.rsplit("_", 1)[0], F.col(f"{c[-1]}_pos_mm"))).alias(c) for c in POSTURE
     ))
     return frames.join(wide, "time_series_id", "left").select(*IDS, *VELOCITY, *POSTURE)

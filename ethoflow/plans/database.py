@@ -54,19 +54,21 @@ DATABASE = f"""{FRAMES}, velocity as (
 ), body_part as (
   select unnest({list(BODY_MARKERS)}) as body_marker, generate_subscripts({list(BODY_MARKERS)}, 1) as body_part_id
 ), points as (
-  {' union all '.join(f"select time_series_id, {n} as body_part_id, {_sql_x(p, 0)} as x_pos_mm, {_sql_x(p, 1)} as y_pos_mm from frames" for n, p in enumerate(BODY_MARKERS, 1))}
+  select time_series_id, p.n as body_part_id, p.x as x_pos_mm, p.y as y_pos_mm from (
+    select time_series_id, unnest([{', '.join(f"{{'n': {n}, 'x': ({_sql_x(p, 0)})::double, 'y': ({_sql_x(p, 1)})::double}}" for n, p in enumerate(BODY_MARKERS, 1))}]) as p from frames)
 ), posture as (
   select * from points where not (time_series_id % 13 = 0 and body_part_id = 7)
 ), trajectory as (
   select * from points where time_series_id % 17 <> 0
 )"""
-_PARTS = dict.fromkeys(c.rsplit("_", 1)[0] for c in build.POSTURE)
-BASE = f"""base as (
-  select f.trial_id, tr.well_number, f.frame_number, tr.tadpole_group_id, v.thrust_mm_s, v.slip_mm_s, v.yaw_rad_s,
-    {', '.join(f"p_{c.rsplit('_', 1)[0]}.{c[-1]}_pos_mm as {c}" for c in build.POSTURE)}
-  from frames f join velocity v on f.time_series_id = v.time_series_id join trial tr on f.trial_id = tr.trial_id
-    {' '.join(f"left join posture p_{p} on f.time_series_id = p_{p}.time_series_id and p_{p}.body_part_id = (select body_part_id from body_part where body_marker = '{p}')" for p in _PARTS)}
-  where tr.tadpole_group_id in {GROUPS}
+_PIVOT = ", ".join(f"max({c[-1]}_pos_mm) filter (body_marker = '{c.rsplit('_', 1)[0]}') as {c}" for c in build.POSTURE)
+BASE = f"""chosen as (
+  select f.time_series_id, f.trial_id, tr.well_number, f.frame_number, tr.tadpole_group_id, v.thrust_mm_s, v.slip_mm_s, v.yaw_rad_s
+  from frames f join velocity v on f.time_series_id = v.time_series_id join trial tr on f.trial_id = tr.trial_id where tr.tadpole_group_id in {GROUPS}
+), wide as (
+  select time_series_id, {_PIVOT} from posture join body_part using (body_part_id) group by time_series_id
+), base as (
+  select chosen.* exclude (time_series_id), wide.* exclude (time_series_id) from chosen left join wide on chosen.time_series_id = wide.time_series_id
 )"""
 
 
