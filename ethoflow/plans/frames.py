@@ -422,27 +422,11 @@ def significance_stars(spark, d):
     return frames(spark, d).select("trial_id", "frame_number", numeric.stars(F.when(F.col("x") < 0.5, 0.0005).when(F.col("x") < 1, 0.005).when(F.col("x") < 3, 0.03).otherwise(0.2)).alias("sig"))
 
 
-@query()
-def kmeans_fit(spark, d):
-    names = [f"f{i}" for i in range(64)]
-    labelled, _, _ = cluster.kmeans(_vectors(spark, d).select("vec_id", *names), names, 4, seed=1)
-    return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
 def _vectors(spark, d):
     v = load(spark, d, "embeddings")
     return v.select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(f"f{i}") for i in range(64)))
 
 
-@query("""with v as (select vec_id, label, embedding::double[] as e from embeddings), d as (
-  select a.vec_id, a.label, b.label as other, sum(list_distance(a.e, b.e)) as s, count(*) as n from v a join v b on true group by all
-), s as (
-  select vec_id, label, max(s / nullif(n - 1, 0)) filter (other = label) as own, min(s / n) filter (other <> label) as near, max(n) filter (other = label) as size from d group by all
-) select r::int as repeat, label, round(avg(case when size > 1 then (near - own) / greatest(near, own) else 0 end), 5) as silhouette from s, range(10) r(r) group by all""")
-def silhouette(spark, d):
-    return rounded(cluster.silhouette(_vectors(spark, d), [f"f{i}" for i in range(64)]), 5)
-
-
 # Attempts of three centroids each: the cheapest of the six matchings counts.
 _MATCHINGS = ((0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0))
 
