@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ethoflow.catalog import query
-from ethoflow.operators import bouts, proportions, stats
+from ethoflow.operators import bouts, density, proportions, stats
 from ethoflow.plans.frames import ANIMALS, FPS, SHARES
-from ethoflow.plans.roles import K, frames, load, rounded
+from ethoflow.plans.roles import FRAMES, K, frames, load, rounded
 
 #: Ways to choose k of the ranks 1 to i with the sum s, for the exact laws.
 WAYS = """ways(i, k, s, n) as (
@@ -158,3 +158,23 @@ def duration_intervals(spark, d):
 def one_animal_durations(spark, d):
     """All bouts as the sample, as for a single animal."""
     return rounded(bouts.one_animal(bouts.segments(frames(spark, d), FPS)))
+
+
+@query(f"""{ANIMALS}, vals as (select label, log10(mean_ms::double) as x from animals where mean_ms > 0),
+about as (select label, count(*) as n, min(x) as low, max(x) as high, stddev_samp(x) * pow(count(*), -0.2::double) as wide from vals group by label having count(*) >= 3 and max(x) > min(x)),
+bins as (select label, least(511, floor((x - low) / ((high - low) / 512)))::int as bin, count(*) as c from vals join about using (label) group by all),
+laid as (select label, p as point, low + p / 199.0::double * (high - low) as x, low + (bin + 0.5::double) * ((high - low) / 512) as centre, c, n, wide from bins join about using (label), range(200) p(p)),
+dens as (select label, point, any_value(x) as x, sum(c * exp(-pow((x - centre) / wide, 2) / 2) / (n * wide * 2.5066282746310002::double)) as density from laid group by label, point)
+select label::int as label, point::int as point, round(pow(10, x), 5) as x, round(density, 5) as density, round(density / max(density) over (partition by label), 5) as relative from dens""")
+def duration_densities(spark, d):
+    """The half violins of each prototype's mean durations, on a logarithmic axis."""
+    animals = bouts.per_animal(bouts.segments(frames(spark, d), FPS))
+    return rounded(density.kernel_density(animals, "mean_ms", ("label",), log=True), 5)
+
+
+@query(f"""with {FRAMES}, q as (select grp, label, count(*) as n, quantile_cont(x, 0.25) as q1, median(x) as median, quantile_cont(x, 0.75) as q3 from frames group by all)
+select grp, label::int as label, n, round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3, round(min(x) filter (x between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)), 6) as low,
+  round(max(x) filter (x between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)), 6) as high, count(*) filter (x not between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) as n_outside
+from frames join q using (grp, label) group by all""")
+def box_statistics(spark, d):
+    return rounded(density.box_statistics(frames(spark, d), "x", ("grp", "label")))
