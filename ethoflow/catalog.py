@@ -27,4 +27,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from ethoflow.plans import database, files, fits, frames, inference, kinematics, prototypes, report, saved, tables  # noqa: E402, F401  they fill QUERIES
+from ethoflow.plans import database, files, fits, frames, inference, kinematics, prototypes, report, saved, stores, tables  # noqa: E402, F401  they fill QUERIES

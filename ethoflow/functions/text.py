@@ -131,5 +131,6 @@ def clip_parts(name: Column) -> Column:
 
 
 def initials_fit(initials: Column, first: Column, last: Column) -> Column:
-    i = F.lower(F.trim(initials))
-    return (F.lower(first) == i) | (F.concat(F.lower(F.substring(first, 1, 1)), F.lower(F.substring(last, 1, 1))) == F.substring(i, 1, 2))
+    i, a, b = (F.lower(F.trim(F.coalesce(x, F.lit("")))) for x in (initials, first, last))
+    sign = F.concat(F.substring(a, 1, 1), F.substring(b, 1, 1))
+    return (a == i) | ((sign != "") & (sign == F.substring(i, 1, 2)))

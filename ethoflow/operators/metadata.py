@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ethoflow.functions.text import plain_name, prefix_key, tail_key
+from ethoflow.operators.ranges import row_index
 
 
 def _keys_by(plates: DataFrame, key: Column, name: str) -> DataFrame:
@@ -49,11 +50,12 @@ def candidate_keys(videos: DataFrame, plates: DataFrame) -> DataFrame:
 def get_or_create(table: DataFrame, wanted: DataFrame, keys: Sequence[str], id_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows to append, wanted rows with ids): known keys keep their id, new ones get the next.
 
-    New entities are few (animals, groups, people); they are numbered in one window.
+    New entities are numbered in the order of their keys, dealt to ranges.
     """
     new = wanted.select(*keys).distinct().alias("w").join(table.alias("t"), [F.col(f"w.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys], "left_anti")
     top = table.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__top"))
-    numbered = new.crossJoin(F.broadcast(top)).withColumn(id_col, (F.col("__top") + F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*keys))).cast(dict(table.dtypes)[id_col])).drop("__top")
+    placed = row_index(new, keys, "__n").crossJoin(F.broadcast(top))  # one row
+    numbered = placed.withColumn(id_col, (F.col("__top") + F.col("__n") + 1).cast(dict(table.dtypes)[id_col])).drop("__top", "__n")
     known = table.groupBy(*keys).agg(F.min(id_col).alias(id_col)).unionByName(numbered)
     ids = wanted.alias("w").join(known.alias("k"), [F.col(f"w.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys]).select("w.*", f"k.{id_col}")
     return numbered, ids

@@ -48,7 +48,7 @@ class _Writer(DataSourceArrowWriter):
     """Tasks write their rows at their places of one hidden file, which the commit renames.
 
     A place depends on the row's number alone, so a task that runs twice writes
-    the same bytes twice.
+    the same bytes twice.  A task that outlives a failed job may leave the hidden file.
     """
 
     def __init__(self, path: str, rows: int, width: int, kind: str) -> None:
