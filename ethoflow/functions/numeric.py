@@ -70,9 +70,9 @@ def within(bounds: Mapping[str, tuple[float | None, float | None]], keep_nan: bo
     return ok
 
 
-def frames_of_ms(ms: float, fps: Column | float) -> Column:
+def frames_of_ms(ms: Column | float, fps: Column | float) -> Column:
     """Frames in so many milliseconds, one at least; halves go to even."""
-    return F.greatest(F.lit(1), F.bround(F.lit(ms) * 1e-3 * fps).cast("int"))
+    return F.greatest(F.lit(1), F.bround((ms if isinstance(ms, Column) else F.lit(ms)) * 1e-3 * fps).cast("int"))
 
 
 def column_spec(spec: str | None) -> list[int] | None:

@@ -61,6 +61,11 @@ def get_or_create(table: DataFrame, wanted: DataFrame, keys: Sequence[str], id_c
     return numbered, ids
 
 
+def looked_up(rows: DataFrame, table: DataFrame, key: str, value: str, default: object = -1) -> DataFrame:
+    """Adds the value that a table has for each row's key, and the default for unknown keys."""
+    return rows.join(table.select(key, value), key, "left").withColumn(value, F.coalesce(value, F.lit(default)))
+
+
 def updated(table: DataFrame, condition: Column, values: Mapping[str, object]) -> DataFrame:
     return table.withColumns({c: F.when(condition, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})
 

@@ -16,6 +16,42 @@ def wide(df: DataFrame, labels: Sequence[int], trial: str = "trial_id", label: s
     return out.select(trial, *(F.try_divide(F.col(f"cluster_{x}"), F.col("__n")).alias(f"cluster_{x}") for x in labels))
 
 
+def labels_in(df: DataFrame, condition: Column | None = None, label: str = "label") -> DataFrame:
+    """The labels that occur, or those of rows that meet a condition; of several groups it is the union of their sets."""
+    rows = df if condition is None else df.where(condition)
+    return rows.select(label).where(F.col(label).isNotNull()).distinct()
+
+
+def wide_by_data(df: DataFrame, trial: str = "trial_id", label: str = "label") -> DataFrame:
+    """``wide`` with the labels from 0 to the largest that occurs, as one aggregate finds it; unassigned rows do not count."""
+    top = df.agg(F.max(label)).first()[0]
+    return wide(df.where(F.col(label) >= 0), range(max(0, -1 if top is None else top) + 1), trial, label)
+
+
+def share_of_label(df: DataFrame, keys: Sequence[str], value: int, label: str = "label") -> DataFrame:
+    """Rows (keys, share, n): one label's share of the frames of each group, such as wells of a baseline and of a dose."""
+    return df.groupBy(*keys).agg(F.avg((F.col(label) == value).cast("double")).alias("share"), F.count(F.lit(1)).alias("n"))
+
+
+def trials_per_label(df: DataFrame, keys: Sequence[str] = ("grp",), label: str = "label", trial: str = "trial_id") -> DataFrame:
+    """How many recordings of each group have a label at all."""
+    return df.groupBy(label, *keys).agg(F.count_distinct(trial).alias("n_trials"))
+
+
+def in_all(df: DataFrame, key: str, conditions: Sequence[Column]) -> DataFrame:
+    """The keys that have a row for every condition, as paired animals have for both of their recordings; one aggregate."""
+    seen = df.groupBy(key).agg(*(F.bool_or(F.coalesce(c, F.lit(False))).alias(f"__c{i}") for i, c in enumerate(conditions)))
+    every = F.lit(True)
+    for i in range(len(conditions)):
+        every = every & F.col(f"__c{i}")
+    return seen.where(every).select(key)
+
+
+def with_names(df: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Adds the names of groups, null for groups without one; names: one row a group, a small dimension."""
+    return df.join(F.broadcast(names), key, "left")
+
+
 def long(shares: DataFrame, ids: Sequence[str] = ("trial_id",)) -> DataFrame:
     names = [c for c in shares.columns if c.startswith("cluster_")]
     return shares.unpivot(list(ids), names, "cluster", "proportion").withColumn("cluster", F.regexp_replace("cluster", "^cluster_", "").cast("int"))

@@ -131,6 +131,12 @@ def left_out(df: DataFrame, index: str, n: int, percent: float, position: float)
     return df if size == 0 else df.where(F.pmod(F.col(index) - start, F.lit(n)) >= size)
 
 
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 1) -> DataFrame:
+    """The first rows of each group by an order, such as its first traces or a series' first recording."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
+
+
 def row_index(df: DataFrame, order: Sequence[str], out: str = "row_index") -> DataFrame:
     """A dense 0-based index in the order of the columns, without a sort in one task; the same after a lost executor."""
     return ranges.row_index(df, order, out)

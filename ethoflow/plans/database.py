@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ethoflow.catalog import query
-from ethoflow.operators import build, kinematics
+from ethoflow.operators import build, kinematics, metadata
 from ethoflow.operators.clean import DEFAULT_BOUNDS, cleaned
 from ethoflow.plans.roles import FRAMES, frames, load, rounded
 from ethoflow.schemas import BODY_MARKERS
@@ -191,5 +191,5 @@ def id_lookup_with_velocity(spark, d):
 @query(f"with {DATABASE} select o_orderkey, coalesce(tadpole_group_id, -1) as tadpole_group_id from orders left join trial on o_custkey = trial_id")
 def group_id_mapping(spark, d):
     groups = database(spark, d)["trial"].select(F.col("trial_id").alias("o_custkey"), "tadpole_group_id")
-    rows = load(spark, d, "orders").select("o_orderkey", "o_custkey").join(groups, "o_custkey", "left")
-    return rows.select("o_orderkey", F.coalesce("tadpole_group_id", F.lit(-1)).alias("tadpole_group_id"))
+    rows = load(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return metadata.looked_up(rows, groups, "o_custkey", "tadpole_group_id").select("o_orderkey", "tadpole_group_id")

@@ -376,10 +376,7 @@ def agglomerate(spark, d):
 
 @query(f"with {FRAMES} select trial_id, frame_number::int as frame_number, label::int as label from (select *, row_number() over (partition by grp, label order by time_series_id) as r from frames) where r <= 3")
 def first_n_per_group(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("grp", "label").orderBy("time_series_id")
-    return frames(spark, d).withColumn("r", F.row_number().over(w)).where("r <= 3").select("trial_id", "frame_number", "label")
+    return sequence.first_rows(frames(spark, d), ("grp", "label"), ("time_series_id",), 3).select("trial_id", "frame_number", "label")
 
 
 @query(f"with {FRAMES} select label::int as k, round(quantile_cont(x, 0.25), 6) as inertia_q1, round(quantile_cont(x, 0.5), 6) as inertia_median, round(quantile_cont(x, 0.75), 6) as inertia_q3, count(*) as n_fits from frames group by 1")

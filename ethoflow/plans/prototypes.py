@@ -182,19 +182,18 @@ def decade_groups(spark, d):
 
 @query(f"with {FRAMES} select label::int as label, grp, count(distinct trial_id) as n_trials from frames group by all")
 def trials_per_cluster(spark, d):
-    return frames(spark, d).groupBy("label", "grp").agg(F.count_distinct("trial_id").alias("n_trials"))
+    return proportions.trials_per_label(frames(spark, d))
 
 
 @query(f"with {FRAMES} select distinct label::int as label from frames where grp = 0 union select distinct label::int from frames where grp = 1")
 def label_union(spark, d):
-    f = frames(spark, d)
-    return f.where("grp = 0").select("label").union(f.where("grp = 1").select("label")).distinct()
+    return proportions.labels_in(frames(spark, d), F.col("grp").isin(0, 1))
 
 
 @query("select o_custkey from orders where o_orderstatus = 'F' intersect select o_custkey from orders where o_orderstatus = 'O'")
 def paired_animals(spark, d):
-    o = load(spark, d, "orders")
-    return o.where("o_orderstatus = 'F'").select("o_custkey").intersect(o.where("o_orderstatus = 'O'").select("o_custkey"))
+    status = F.col("o_orderstatus")
+    return proportions.in_all(load(spark, d, "orders"), "o_custkey", [status == "F", status == "O"])
 
 
 PAIRS = """pairs as (
@@ -262,9 +261,11 @@ def label_lookup(spark, d):
     return rows.select("trial_id", "frame_number", "label", F.col("display_id").cast("int").alias("display_id"), "category")
 
 
-@query("select i::int as raw_id, i::int as display_id, 'unclassified' as category from range(36) r(i)")
+@query(f"with {FRAMES} select label::int as display_id, 'unclassified' as category, count(*) as n from frames group by 1")
 def identity_map(spark, d):
-    return metadata.identity_map(spark, 36)
+    """Frames by display id under the map that leaves ids as they are."""
+    m = metadata.identity_map(spark, 36).withColumn("short_label", F.lit(None).cast("string"))
+    return metadata.mapped_labels(frames(spark, d), m).groupBy("display_id", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {MAP} select raw_id, display_id::int as display_id, category, left(category, 2) || '.' || row_number() over (partition by category order by raw_id) as short_label from d")
@@ -282,8 +283,11 @@ def chosen_prototypes(spark, d):
     return rounded(rows.groupBy("category").agg(F.sum("v").alias("total")))
 
 
-@query("""with g as (select d::int as del_size, p::int as position, k::int as k from (values (0), (50), (25), (10)) a(d), range(2, 101, 2) b(p), range(2, 52, 2) c(k))
-select * from g where not (del_size = 25 and position < 20)""")
+@query("""with g as (select d::int as del_size, p::int as position, k::int as k from (values (0), (50), (25), (10)) a(d), range(2, 101, 2) b(p), range(2, 52, 2) c(k)),
+f as (select [0, 50, 25, 10][p_partkey % 4 + 1] as del_size, p_size * 2 as position, p_partkey % 25 * 2 + 2 as k from part)
+select * from g where not exists (select 1 from f where f.del_size = g.del_size and f.position = g.position and f.k = g.k)""")
 def unfinished_fits(spark, d):
-    grid = cluster.sweep_grid(spark)
-    return cluster.unfinished(grid, grid.where("del_size = 25 and position < 20"))
+    """The grid without the fits that are there already."""
+    n, size = F.col("p_partkey"), F.array(*map(F.lit, (0, 50, 25, 10)))
+    done = load(spark, d, "part").select(F.get(size, (n % 4).cast("int")).alias("del_size"), (F.col("p_size") * 2).alias("position"), (n % 25 * 2 + 2).cast("int").alias("k"))
+    return cluster.unfinished(cluster.sweep_grid(spark), done)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ethoflow.catalog import query
 from ethoflow.functions import text
-from ethoflow.operators import metadata, report
+from ethoflow.operators import metadata, report, sequence
 from ethoflow.plans.roles import GROUPS, STAR, load, star
 
 
@@ -188,5 +187,4 @@ def missing_clips(spark, d):
 
 @query("select o_custkey, o_orderkey, o_orderdate from (select *, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as r from orders) where r = 1")
 def first_video(spark, d):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return load(spark, d, "orders").withColumn("r", F.row_number().over(w)).where("r = 1").select("o_custkey", "o_orderkey", "o_orderdate")
+    return sequence.first_rows(load(spark, d, "orders"), ("o_custkey",), ("o_orderdate", "o_orderkey")).select("o_custkey", "o_orderkey", "o_orderdate")

@@ -45,9 +45,8 @@ def fit_files(spark, d):
 @query("""with f as (select s_suppkey % 4 + 2 as k, s_suppkey % 3 * 10 as r, s_suppkey as p, unnest(range(1, (s_suppkey % 4 + 3)::bigint)) as i, s_suppkey % 7 as v from supplier)
 select p::double as cut_position_percent, (i - 1)::int as centroid, i::double as x, v::double as y from f where k = 3 and r = 10""")
 def chosen_fits(spark, d):
-    rows = _fits(spark, d).where("k = 3 and reduction_percent = 10")
-    rows = rows.select("cut_position_percent", F.posexplode("centroids").alias("centroid", "c"))
-    return rows.select("cut_position_percent", "centroid", F.col("c")[0].alias("x"), F.col("c")[1].alias("y"))
+    rows = cluster.chosen_centroids(_fits(spark, d), 3, 10)
+    return rows.select("cut_position_percent", "centroid", F.col("values")[0].alias("x"), F.col("values")[1].alias("y"))
 
 
 @query("""with s as (select s_suppkey as id, (s_suppkey % 4 + 2) as k, (s_suppkey % 3 * 10) as r from supplier)

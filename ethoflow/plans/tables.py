@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ethoflow import schemas
 from ethoflow.catalog import query
 from ethoflow.functions import numeric, text
-from ethoflow.operators import bouts, build, cluster, ingest, metadata, proportions, report, sequence, stats
+from ethoflow.operators import bouts, build, cluster, features, ingest, metadata, proportions, report, sequence, stats
 from ethoflow.plans.frames import ANIMALS, CENTROIDS, FEATURES, FPS
 from ethoflow.plans.roles import FRAMES, LANDMARKS, frames, landmarks, load, rounded
 from ethoflow.session import scratch_path
@@ -71,12 +71,17 @@ def annotation_scan(spark, d):
     return files.geometry(spark, at)
 
 
-@query(f"select i::int as body_part_id, {list(schemas.BODY_MARKERS)}[i] as body_marker from range(1, 9) r(i)")
+@query(f"""with {LANDMARKS}, part as (select i::int as body_part_id, {list(schemas.BODY_MARKERS)}[i] as body_marker from range(1, 9) r(i)),
+long as (select 'left_eye' as body_marker, left_eye_x as x from landmarks union all select 'right_eye', right_eye_x from landmarks union all select 'tail_base', tail_base_x from landmarks)
+select body_part_id, body_marker, count(*) as n, round(sum(x), 3) as x from long join part using (body_marker) group by all""")
 def database_seed(spark, d):
+    """Landmarks under the ids of the seeded body parts."""
     at = scratch_path(spark, "db")
     schemas.create(spark, at, ("body_part", "trial"))
     schemas.create(spark, at, ("body_part",))  # what is there stays
-    return schemas.read(spark, at, "body_part")
+    long = features.unpivoted_parts(landmarks(spark, d), ["trial_id"], ("left_eye", "right_eye", "tail_base"))
+    rows = long.withColumnRenamed("body_part", "body_marker").join(schemas.read(spark, at, "body_part"), "body_marker")
+    return rounded(rows.groupBy("body_part_id", "body_marker").agg(F.count(F.lit(1)).alias("n"), F.sum("x_pos_mm").alias("x")), 3)
 
 
 # Selectors, names and scalars
@@ -89,9 +94,14 @@ def column_ranges(spark, d):
     return rounded(load(spark, d, "embeddings").select("vec_id", total.alias("total")), 5)
 
 
-@query(f"select unnest({list(build.selected())}) as feature, generate_subscripts({list(build.selected())}, 1)::int - 1 as position")
+_SELECTED = build.selected((0, 1, 2, 3))  # thrust, slip, yaw and the first position
+
+
+@query(f"with {FRAMES} select trial_id, round(sum(thrust_mm_s), 4) as {_SELECTED[0]}, round(sum(slip_mm_s), 4) as {_SELECTED[1]}, round(sum(yaw_rad_s), 4) as {_SELECTED[2]}, round(sum(x), 4) as {_SELECTED[3]} from frames group by 1")
 def feature_names(spark, d):
-    return spark.createDataFrame(list(enumerate(build.selected())), "position int, feature string").select("feature", "position")
+    """Features chosen by their numbers in the clustering's matrix."""
+    rows = frames(spark, d).withColumnRenamed("x", "left_eye_x")
+    return rounded(rows.groupBy("trial_id").agg(*(F.sum(c).alias(c) for c in _SELECTED)), 4)
 
 
 @query("""select o_orderkey, 'cam' || o_custkey || '_well_' || printf('%02d', o_orderkey % 24) || '.mp4' as clip, 'cam' || o_custkey as stem, (o_orderkey % 24)::int as well,
@@ -132,8 +142,7 @@ def nan_to_null(spark, d):
 @query("select s_suppkey, greatest(1, round_even(s_suppkey * 5 * 1e-3::double * 100.0::double, 0))::int as frames from supplier")
 def frame_thresholds(spark, d):
     """Milliseconds at 100 frames a second; halves go to even."""
-    fps = F.lit(100.0)
-    return load(spark, d, "supplier").select("s_suppkey", F.greatest(F.lit(1), F.bround(F.col("s_suppkey") * 5 * 1e-3 * fps).cast("int")).alias("frames"))
+    return load(spark, d, "supplier").select("s_suppkey", numeric.frames_of_ms(F.col("s_suppkey") * 5, F.lit(100.0)).alias("frames"))
 
 
 # Repairs
@@ -180,7 +189,7 @@ def dimension_map(spark, d):
 def group_label_map(spark, d):
     names = spark.createDataFrame([(0, "control"), (1, "dose")], "grp long, group_name string")
     n = frames(spark, d).groupBy("trial_id", "grp", "label").agg(F.count(F.lit(1)).alias("n"))
-    return n.join(F.broadcast(names), "grp", "left").select("trial_id", "label", "n", "group_name")
+    return proportions.with_names(n, names, "grp").select("trial_id", "label", "n", "group_name")
 
 
 @query(f"""with {FRAMES}, a as (select event_id, row_number() over (order by event_id) as i from events), b as (select label, row_number() over (order by trial_id, frame_number) as i from frames)
@@ -215,6 +224,13 @@ def orphan_rows(spark, d):
 # Aggregates
 
 
+@query(f"""with {FRAMES}, k as (select max(label) as k from frames), c as (select trial_id, l as cluster, count(*) filter (label = l) as n, count(*) as all_n from frames, (select unnest(range(0, k + 1)) as l from k) group by all)
+select trial_id, cluster::int as cluster, round(n / all_n, 6) as proportion from c""")
+def proportions_by_data(spark, d):
+    """Shares of as many labels as occur."""
+    return rounded(proportions.long(proportions.wide_by_data(frames(spark, d))))
+
+
 @query(f"with {LANDMARKS} select 0 as feature_idx, 'left_eye_x' as feature, round(avg(left_eye_x), 6) as mu, round(stddev_pop(left_eye_x), 6) as sigma from landmarks union all select 1, 'left_eye_y', round(avg(left_eye_y), 6), round(stddev_pop(left_eye_y), 6) from landmarks")
 def mu_sigma_without_ids(spark, d):
     rows = landmarks(spark, d).select("trial_id", "frame_number", "left_eye_x", "left_eye_y")
@@ -223,8 +239,7 @@ def mu_sigma_without_ids(spark, d):
 
 @query(f"with {FRAMES} select grp, well_number, round(avg((label = 2)::int), 6) as share, count(*) as n from frames group by all")
 def baseline_proportions(spark, d):
-    rows = frames(spark, d)
-    return rounded(rows.groupBy("grp", "well_number").agg(F.avg((F.col("label") == 2).cast("double")).alias("share"), F.count(F.lit(1)).alias("n")))
+    return rounded(proportions.share_of_label(frames(spark, d), ("grp", "well_number"), 2))
 
 
 @query(f"with {FRAMES} select well_number, label::int as label, n, round(n / sum(n) over (partition by well_number), 6) as proportion from (select well_number, label, count(*) as n from frames group by all)")
