@@ -9,12 +9,12 @@ from AND, OR and XOR alone.  The best rows are then selected from the most
 significant slice downward, and rows that tie at the last place are resolved by
 their ids.
 
-Queries and rows meet in lanes: a lane holds a few blocks of rows for as long as
+Queries and rows meet in lanes: a lane holds some blocks of rows for as long as
 the blocks of queries pass through it, and only k rows for each query leave it.
 
 Edge cases: vectors that are null, or hold null or non-finite components, take
-no part, nor do those with a component of ``TOO_LARGE`` units or more; vectors
-of different lengths never meet; a null id takes no part; repeated ids are
+no part; components of any size do (a block that holds one beyond a long has as
+many slices as it needs); vectors of different lengths never meet; a null id takes no part; repeated ids are
 separate candidates, none of which meets a query of the same id; fewer than k
 candidates are all returned; scores are exact at any size and are compared
 before those beyond a long are shown as its ends.
@@ -22,6 +22,8 @@ before those beyond a long are shown as its ends.
 
 from __future__ import annotations
 
+import heapq
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,19 +37,43 @@ SCALE = 1024
 #: Rows in a block of the index, and queries in a block of queries.
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 64
-#: Quantised components stay below, so that sums of their products fit in 38 digits.
-TOO_LARGE = 1 << 56
+#: Blocks that a lane holds at most, on average.
+LANE_BLOCKS = 64
+#: Blocks of components below are quantised as longs, others as Python's integers.
+PLAIN = float(1 << 45)
+
+
+def quantise(rows: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x) of finite doubles, exactly: as longs, or as Python's integers where those are too small."""
+    if float(np.abs(rows).max(initial=0.0)) < PLAIN:
+        return np.floor(rows * SCALE).astype(np.int64)
+    # What is over 2^53 has no fraction.
+    return np.array([int(x) * SCALE if abs(x) >= 1 << 53 else int(np.floor(x * SCALE)) for x in rows.ravel().tolist()], dtype=object).reshape(rows.shape)
+
+
+def ordered(score: int) -> bytes:
+    """The score as bytes whose order is that of the scores, of any size."""
+    body = abs(score).to_bytes((abs(score).bit_length() + 7) // 8, "big")
+    if score >= 0:
+        return b"\x01" + len(body).to_bytes(4, "big") + body
+    return b"\x00" + (0xFFFFFFFF - len(body)).to_bytes(4, "big") + bytes(255 - b for b in body)
 
 
 def slices_of(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bitmaps [dimension, digit, words], low [dimension]) of an integer matrix [row, dimension]."""
     low = matrix.min(axis=0)
-    shifted = (matrix - low).astype(np.uint64)
+    shifted = matrix - low
     digits = max(1, int(shifted.max()).bit_length())
     rows = -(-len(matrix) // 64) * 64
     bits = np.zeros((matrix.shape[1], digits, rows), dtype=np.uint8)
-    for d in range(digits):
-        bits[:, d, : len(matrix)] = ((shifted >> np.uint64(d)) & np.uint64(1)).T
+    if matrix.dtype == object:
+        size = (digits + 7) // 8
+        raw = np.frombuffer(b"".join(int(x).to_bytes(size, "little") for x in shifted.ravel()), dtype=np.uint8).reshape(*shifted.shape, size)
+        bits[:, :, : len(matrix)] = np.unpackbits(raw, axis=2, bitorder="little")[:, :, :digits].transpose(1, 2, 0)
+    else:
+        shifted = shifted.astype(np.uint64)
+        for d in range(digits):
+            bits[:, d, : len(matrix)] = ((shifted >> np.uint64(d)) & np.uint64(1)).T
     return np.packbits(bits, axis=2, bitorder="little").view("<u8"), low
 
 
@@ -65,13 +91,13 @@ def _signed_digits(x: int) -> list[tuple[int, int]]:
     return out
 
 
-def add_slices(bitmaps: np.ndarray, query: np.ndarray, width: int) -> np.ndarray:
+def add_slices(bitmaps: np.ndarray, query: list[int], width: int) -> np.ndarray:
     """Bitmaps of sum(query * shifted component), in two's complement of so many digits."""
     digits, words = bitmaps.shape[1], bitmaps.shape[2]
     total = np.zeros((width, words), dtype=np.uint64)
     carry = np.zeros((width, words), dtype=np.uint64)
     fixed = 0
-    for d, x in enumerate(query.tolist()):
+    for d, x in enumerate(query):
         for at, sign in _signed_digits(int(x)):
             # Carry-save: three numbers become two, all digits at once.
             term = bitmaps[d]
@@ -133,15 +159,15 @@ def _rows(bitmap: np.ndarray) -> np.ndarray:
     return words[w] * 64 + b
 
 
-def search(bitmaps: np.ndarray, low: np.ndarray, ids: np.ndarray, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+def search(bitmaps: np.ndarray, low: list[int], ids: np.ndarray, query_id: int, query: list[int], k: int) -> list[tuple[int, int]]:
     """(vec_id, score) of the k best rows of one block."""
-    top = ((1 << bitmaps.shape[1]) - 1) * sum(map(abs, query.tolist()))
+    top = ((1 << bitmaps.shape[1]) - 1) * sum(map(abs, query))
     width = top.bit_length() + 2
     scores = add_slices(bitmaps, query, width)
     rows = np.zeros(bitmaps.shape[2] * 64, dtype=np.uint8)
     rows[: len(ids)] = ids != query_id
     best = select_top(scores, np.packbits(rows, bitorder="little").view("<u8"), k, ids)
-    shift = sum(q * x for q, x in zip(query.tolist(), low.tolist()))
+    shift = sum(q * x for q, x in zip(query, low))
     found = []
     for r in best.tolist():
         digits = (scores[:, r >> 6] >> np.uint64(r & 63)) & np.uint64(1)
@@ -150,23 +176,24 @@ def search(bitmaps: np.ndarray, low: np.ndarray, ids: np.ndarray, query_id: int,
     return found
 
 
-def quantised(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """Rows (id, vec): components floor(SCALE * x) as long; unfit vectors are left out."""
+def fit_rows(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """Rows (id, vec) with components as double; unfit vectors are left out."""
     vec = F.col(vec_col)
-    fit = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < float(TOO_LARGE))) & (F.size(vec) > 0)
+    fit = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & (F.size(vec) > 0)
     rows = df.where(F.col(id_col).isNotNull() & vec.isNotNull()).where(fit)
-    return rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vec, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("vec"))
+    return rows.select(F.col(id_col).cast("long").alias("id"), vec.cast("array<double>").alias("vec"))
 
 
 def _blocks(size: int, index: bool):
     """Packs the rows of each task into blocks of vectors of one length."""
 
     def pack(ids: list, vectors: list) -> dict:
-        matrix = np.array(vectors, dtype=np.int64)
-        low, body = np.zeros(0, dtype=np.int64), matrix
-        if index:
-            body, low = slices_of(matrix)
-        return {"dims": matrix.shape[1], "digits": body.shape[1], "ids": np.array(ids, dtype=np.int64).tobytes(), "low": low.tobytes(), "body": body.tobytes()}
+        matrix = quantise(np.array(vectors, dtype=np.float64))
+        out = {"dims": matrix.shape[1], "ids": np.array(ids, dtype=np.int64).tobytes()}
+        if not index:
+            return out | {"digits": 0, "numbers": json.dumps(matrix.tolist()), "body": b""}
+        body, low = slices_of(matrix)
+        return out | {"digits": body.shape[1], "numbers": json.dumps(low.tolist()), "body": body.tobytes()}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, tuple[list, list]] = {}  # by length
@@ -183,7 +210,8 @@ def _blocks(size: int, index: bool):
     return run
 
 
-_PACKED = "dims int, digits int, ids binary, low binary, body binary"
+#: numbers: the least components of a block of rows, or the vectors of a block of queries.
+_PACKED = "dims int, digits int, ids binary, numbers string, body binary"
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -191,12 +219,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
     small_batches(spark)
-    index = scratch.keep(quantised(vectors, id_col, vec_col).mapInPandas(_blocks(BLOCK_ROWS, True), _PACKED), "index")
-    queries = quantised(vectors.where(is_query), id_col, vec_col).coalesce(max(1, spark.sparkContext.defaultParallelism // 2))
+    index = scratch.keep(fit_rows(vectors, id_col, vec_col).mapInPandas(_blocks(BLOCK_ROWS, True), _PACKED), "index")
+    queries = fit_rows(vectors.where(is_query), id_col, vec_col).coalesce(max(1, spark.sparkContext.defaultParallelism // 2))
     queries = scratch.keep(queries.mapInPandas(_blocks(BLOCK_QUERIES, False), _PACKED), "queries")
-    # Every block of queries goes once to every lane; a lane holds a few blocks of rows.
-    lanes = max(1, index.count())
-    names = ["dims", "digits", "ids", "low", "body"]
+    # Every block of queries goes once to every lane; a lane holds blocks of rows, as many as its memory takes where there are many.
+    blocks = index.count()
+    lanes = max(1, min(blocks, max(spark.sparkContext.defaultParallelism, -(-blocks // LANE_BLOCKS))))
+    names = ["dims", "digits", "ids", "numbers", "body"]
     rows = index.select(F.pmod(F.xxhash64("ids"), F.lit(lanes)).cast("int").alias("lane"), F.lit(0).alias("asks"), *names)
     every = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
     asked = queries.select(every, F.lit(1).alias("asks"), *names)
@@ -209,19 +238,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
                     lane, blocks = v.lane, []
                 ids = np.frombuffer(v.ids, dtype=np.int64)
                 if not v.asks:
-                    blocks.append((v.dims, np.frombuffer(v.body, dtype="<u8").reshape(v.dims, v.digits, -1), np.frombuffer(v.low, dtype=np.int64), ids))
+                    blocks.append((v.dims, np.frombuffer(v.body, dtype="<u8").reshape(v.dims, v.digits, -1), json.loads(v.numbers), ids))
                     continue
-                matrix = np.frombuffer(v.body, dtype=np.int64).reshape(-1, v.dims)
-                out = [
-                    (q, i, str(score)) for dims, bitmaps, low, own in blocks if dims == v.dims
-                    for q, query in zip(ids.tolist(), matrix) for i, score in search(bitmaps, low, own, q, query, k)
-                ]
+                out = []
+                for q, query in zip(ids.tolist(), json.loads(v.numbers)):
+                    own = [hit for dims, bitmaps, low, names in blocks if dims == v.dims for hit in search(bitmaps, low, names, q, query, k)]
+                    out += [(q, i, ordered(x), min(max(x, -(1 << 63)), (1 << 63) - 1)) for i, x in heapq.nsmallest(k, own, key=lambda h: (-h[1], h[0]))]
                 if out:
-                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    yield pd.DataFrame(out, columns=["query_id", "vec_id", "ordered", "score"])
 
     met = rows.unionAll(asked).repartition(lanes, "lane").sortWithinPartitions("lane", "asks")
-    found = met.mapInPandas(visit, "query_id long, vec_id long, score string").withColumn("score", F.col("score").cast("decimal(38,0)"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.mapInPandas(visit, "query_id long, vec_id long, ordered binary, score long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("ordered"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    ends = [F.lit(x).cast("decimal(38,0)") for x in (str(-(1 << 63)), str((1 << 63) - 1))]
-    return ranked.select("query_id", "rank", "vec_id", F.least(F.greatest("score", ends[0]), ends[1]).cast("long").alias("score"))
+    return ranked.select("query_id", "rank", "vec_id", "score")
