@@ -33,29 +33,39 @@ HEADINGS = (
 RAW = {"fert_date": "fert_date_raw", "exp_date": "exp_date_raw"}
 
 
-def sheet_records(spark: SparkSession, path: str) -> DataFrame:
-    """Plate records of a metadata sheet saved as CSV: one row a plate, absent fields empty, and its videos as an array.
+def sheet_records(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """Plate records of a metadata sheet, a workbook or saved as CSV: one row a plate, absent fields empty, and its videos as an array.
 
     The second line holds the headings. Lines without a key are left out; columns whose heading begins with ``video``
     name recordings.
     """
+    if path.endswith(".xlsx"):
+        from ethoflow.sources import sheets
+
+        return plate_records(sheets.rows(spark, path, sheet))
     raw = spark.read.csv(path, header=False, multiLine=True, escape='"')
-    head = raw.limit(2).collect()  # two lines of one small file
-    if len(head) < 2:
+    line = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.monotonically_increasing_id()))  # one small file
+    return plate_records(raw.select(line.alias("line"), F.array(*raw.columns).alias("cells")))
+
+
+def plate_records(lines: DataFrame) -> DataFrame:
+    """``sheet_records`` of rows (line, cells), lines from 1."""
+    head = {r.line: r.cells for r in lines.where("line <= 2").collect()}
+    if 2 not in head:
         raise ValueError("the sheet has no headings")
-    labels = [str(x or "").strip().lower() for x in head[1]]
-    at: dict[str, str] = {}
-    for column, label in zip(raw.columns, labels):
+    labels = [str(x or "").strip().lower() for x in head[2]]
+    at: dict[str, int] = {}
+    for column, label in enumerate(labels):
         for part, name in HEADINGS:
             if label and part in label and name not in at:
                 at[name] = column
     if "key" not in at:
         raise ValueError("the sheet has no key column")
-    numbered = raw.withColumn("__line", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.monotonically_increasing_id())))
-    rows = numbered.where((F.col("__line") > 2) & (F.trim(F.coalesce(at["key"], F.lit(""))) != ""))
-    fields = [(F.trim(F.coalesce(at[n], F.lit(""))) if n in at else F.lit("")).alias(RAW.get(n, n)) for n in dict(HEADINGS).values()]
-    videos = [F.trim(c) for c, label in zip(raw.columns, labels) if label.startswith("video")]
-    named = F.filter(F.array(*videos), lambda v: v.isNotNull() & (v != "")) if videos else F.array().cast("array<string>")
+    cell = lambda i: F.trim(F.coalesce(F.get("cells", F.lit(i)), F.lit("")))
+    rows = lines.where((F.col("line") > 2) & (cell(at["key"]) != ""))
+    fields = [(cell(at[n]) if n in at else F.lit("")).alias(RAW.get(n, n)) for n in dict(HEADINGS).values()]
+    videos = [cell(i) for i, label in enumerate(labels) if label.startswith("video")]
+    named = F.filter(F.array(*videos), lambda v: v != "") if videos else F.array().cast("array<string>")
     return rows.select(*fields, named.alias("videos"))
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ethoflow.catalog import query
-from ethoflow.operators import bouts, cluster, ingest, metadata, prototypes
+from ethoflow.operators import bouts, cluster, ingest, metadata, prototypes, sequence
 from ethoflow.plans.frames import ANIMALS, FEATURES, FPS
 from ethoflow.plans.report import VIDEO_NAMES, _names
 from ethoflow.plans.roles import FRAMES, LANDMARKS, frames, landmarks, load, rounded
 from ethoflow.session import scratch_path
-from ethoflow.sources import files, saved
+from ethoflow.sources import files, saved, sheets
 
 
 @query(f"""with {LANDMARKS}, s as (
@@ -243,11 +243,9 @@ def csv_scan(spark, d):
     return rounded(saved.labelled_csv(spark, [f"{at}/1", f"{at}/2"], schema).drop("l_tax"))
 
 
-@query("""select 'P' || s_suppkey as key, case when s_suppkey % 2 = 0 then 'CB' else '' end as initials, 'g' || s_suppkey % 3 as sgrna, '1 to ' || s_suppkey % 24 as test_arenas, '' as notes,
-  case when s_suppkey % 3 = 0 then 'a' || s_suppkey || '.mp4' when s_suppkey % 3 = 1 then 'a' || s_suppkey || '.mp4,b, ' || s_suppkey else '' end as videos from supplier where s_suppkey % 5 <> 0""")
-def plate_sheet(spark, d):
+def _sheet(spark, d):
     """A sheet with two lines of headings, of which the second counts; lines without a key and absent columns."""
-    at, k = scratch_path(spark, "sheet"), F.col("s_suppkey").cast("string")
+    k = F.col("s_suppkey").cast("string")
     n = F.col("s_suppkey")
     rows = load(spark, d, "supplier").select(
         F.when(n % 5 != 0, F.concat(F.lit(" P"), k)).alias("a"), F.when(n % 2 == 0, "CB").alias("b"), F.concat(F.lit("g"), (n % 3).cast("string")).alias("c"),
@@ -256,6 +254,29 @@ def plate_sheet(spark, d):
     )
     heads = [("Plate", "", "", "Wells", "Recordings", "", -2), ("Key (unique)", "Initials", "sgRNA rank, dilution", "Test arenas", "Video 1", "video 2", -1)]
     heads = spark.createDataFrame(heads, "a string, b string, c string, e string, f string, g string, line int")
-    heads.unionByName(rows).repartition(1).sortWithinPartitions("line").drop("line").write.csv(at, emptyValue="")
-    got = ingest.sheet_records(spark, at)
+    return heads.unionByName(rows)
+
+
+def _records(got):
     return got.select("key", "initials", "sgrna", "test_arenas", "notes", F.array_join("videos", ",").alias("videos"))
+
+
+_SHEET = """select 'P' || s_suppkey as key, case when s_suppkey % 2 = 0 then 'CB' else '' end as initials, 'g' || s_suppkey % 3 as sgrna, '1 to ' || s_suppkey % 24 as test_arenas, '' as notes,
+  case when s_suppkey % 3 = 0 then 'a' || s_suppkey || '.mp4' when s_suppkey % 3 = 1 then 'a' || s_suppkey || '.mp4,b, ' || s_suppkey else '' end as videos from supplier where s_suppkey % 5 <> 0"""
+
+
+@query(_SHEET)
+def plate_sheet(spark, d):
+    """The sheet saved as CSV."""
+    at = scratch_path(spark, "sheet")
+    _sheet(spark, d).repartition(1).sortWithinPartitions("line").drop("line").write.csv(at, emptyValue="")
+    return _records(ingest.sheet_records(spark, at))
+
+
+@query(_SHEET)
+def plate_workbook(spark, d):
+    """The sheet as a workbook, written and read."""
+    at, names = scratch_path(spark, "workbook").removeprefix("file://") + "/plates.xlsx", ("a", "b", "c", "e", "f", "g")
+    lines = sequence.row_index(_sheet(spark, d), ("line", "a", "c", "e"), "n").select((F.col("n") + 1).alias("line"), F.array(*names).alias("cells"))
+    sheets.write_sheet(lines, at)
+    return _records(ingest.sheet_records(spark, at))
