@@ -642,6 +642,35 @@ def test_permutation_is_a_bijection(n):
     assert n < 17 or out.tolist() != list(range(n))
 
 
+def plain_permute(number, n, seed):
+    """A balanced Feistel network over plain integers, walked until it lands below n."""
+    full = (1 << 64) - 1
+
+    def mix(x, key):
+        x = (x + key) * 0x9E3779B97F4A7C15 & full
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    half = 1
+    while 1 << 2 * half < n:
+        half += 1
+    while True:
+        left, right = number >> half, number & (1 << half) - 1
+        for r in range(6):
+            left, right = right, left ^ mix(right, seed * 6 + r + 1) & (1 << half) - 1
+        number = left << half | right
+        if number < n:
+            return number
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 16, 17, 100, 255, 256, 257, 5000])
+def test_permutation_is_the_plain_one(n):
+    for seed in (0, 7):
+        want = [plain_permute(i, n, seed) for i in range(n)]
+        assert feistel.permute(np.arange(n), n, seed).tolist() == want and sorted(want) == list(range(n))
+
+
 def test_shards(spark):
     texts = TEXTS * 20
     df = docs(spark, texts)
@@ -654,7 +683,8 @@ def test_shards(spark):
     for r in rows:
         data = (texts[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32) == (len(data) + 1, zlib.crc32(data))
-        assert feistel.locate(r.number, len(rows), 16) == (r.shard, r.slot)
+        p = plain_permute(r.number, len(rows), 0)
+        assert feistel.locate(r.number, len(rows), 16) == (r.shard, r.slot) == (p % 16, p // 16)
     again = {r.doc_id: (r.shard, r.slot) for r in feistel.shard_documents(df.repartition(7)).collect()}
     assert again == {r.doc_id: (r.shard, r.slot) for r in rows}
     assert feistel.shard_documents(df.limit(0)).count() == 0
@@ -664,5 +694,5 @@ def test_shards(spark):
 
 
 def test_query_names():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
