@@ -5,10 +5,10 @@ that is neither a letter nor a digit becomes a space, so a UTF-8 text keeps its
 length and byte offsets map straight back to the original.  The automaton holds
 all windows of ten item words; one scan of a document finds every occurrence.
 
-The item windows are broadcast only up to ``PATTERN_BYTES`` (the size is summed
-by Spark first).  A larger benchmark is cut into shares of that size, each with
-its own automaton and scan; a written table between two scans keeps one
-automaton in memory, and each scan adds to the hits that the rows carry.
+The automaton is over words: it is built once, by one task, as packed arrays in
+the shared folder, which all workers map (``automaton``).  Its size follows the
+benchmark's, whatever that is, about 16 bytes a word and level; the documents
+are scanned once, a batch of texts together.
 
 Edge cases: null and empty texts have no words, so no hits; an item of one to
 nine words is one window; items without words are ignored; a null ``item_id``
@@ -19,7 +19,7 @@ as they came; further columns, of any name, do no harm.
 
 from __future__ import annotations
 
-import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ethoflow.llm._common import OWN, Scratch, free_name, small_batches
+from ethoflow.llm.automaton import Automaton, build
 
 WINDOW = 10
-#: Bytes of item text in one automaton; about 30 times as much memory in a worker.
-PATTERN_BYTES = 4 << 20
+#: Bytes of a text that are cut into words at a time.
+PIECE = 1 << 20
 
 _WORD = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _NORMAL = bytes(b if b in _WORD else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -45,89 +46,71 @@ def normalise(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_NORMAL)
 
 
-def windows(text: str | None) -> set[bytes]:
-    words = normalise(text).split()
-    if not words:
-        return set()
-    return {b" ".join(words[i : i + WINDOW]) for i in range(max(1, len(words) - WINDOW + 1))}
-
-
 class Scanner:
-    """The automaton of a list of (item_id, text)."""
-
-    def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
-        import ahocorasick
-
-        owners: dict[bytes, set] = {}
-        for item, text in items:
-            for w in windows(text):
-                owners.setdefault(w, set()).add(item)
-        self.automaton = ahocorasick.Automaton()
-        for w, ids in owners.items():
-            # Latin-1 maps bytes to characters one to one; outer spaces hold a match to word borders.
-            self.automaton.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, len(w), tuple(i for i in ids if i is not None)))
-        self.empty = not owners
-        if owners:
-            self.automaton.make_automaton()
-
-    def scan(self, text: str | None) -> tuple[int, list[int], list[tuple[int, int, int, int]]]:
-        """(words, items, spans as (first word, last word, start, end) with character offsets)."""
-        plain = normalise(text)
-        words = plain.split()
-        found: list[tuple[int, int]] = []
-        items: set[int] = set()
-        if words and not self.empty:
-            joined = f" {b' '.join(words).decode('latin-1')} "
-            for at, (n, size, ids) in self.automaton.iter(joined):
-                found.append((at - size, n))  # the first character of the match's first word, in joined
-                items.update(ids)
+    """The mapped automaton, and the texts of a batch scanned together."""
+
+    def __init__(self, root: str) -> None:
+        self.automaton = Automaton(root)
+
+    def scan(self, texts: list[str | None]) -> list[tuple[int, list[int], list[tuple[int, int, int, int]]]]:
+        """(words, items, spans as (first word, last word, start, end) with character offsets) of each text."""
+        runs, sizes = [], []
+        for text in texts:
+            n = 0
+            for words in pieces(normalise(text)):
+                runs.append(self.automaton.numbers(words).astype(np.uint32))
+                n += len(words)
+            runs.append(np.zeros(1, dtype=np.uint32))  # no window reaches over a text's end
+            sizes.append(n)
+        starts = np.concatenate(([0], np.cumsum([n + 1 for n in sizes])))
+        found = list(self.automaton.occurrences(np.concatenate(runs))) if runs else []
+        out: list = [(n, [], []) for n in sizes]
         if not found:
-            return len(words), [], []
-        begins = np.flatnonzero(np.frombuffer(joined.encode("latin-1"), dtype=np.uint8)[:-1] == 0x20) + 1
-        firsts = np.searchsorted(begins, np.array([f[0] for f in found]))
-        ranges = sorted({(int(a), int(a) + n) for a, (_, n) in zip(firsts, found)})
-        raw = np.frombuffer(plain, dtype=np.uint8)
-        inside = np.concatenate(([False], raw != 0x20, [False]))
-        edges = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)  # byte start and end of each word
-        source = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        chars = np.concatenate(([0], np.cumsum((source & 0xC0) != 0x80)))  # characters before each byte
-        spans = [(a, b - 1, int(chars[edges[a, 0]]), int(chars[edges[b - 1, 1]])) for a, b in ranges]
-        return len(words), sorted(items), merged(spans)
+            return out
+        last, pattern = (np.concatenate([f[i] for f in found]).astype(np.int64) for i in (0, 1))
+        by = np.argsort(last, kind="stable")
+        last, pattern = last[by], pattern[by]
+        doc = np.searchsorted(starts, last, side="right") - 1
+        cuts = np.flatnonzero(np.diff(doc)) + 1
+        for part in np.split(np.arange(len(doc)), cuts):
+            d = int(doc[part[0]])
+            end = last[part] - starts[d] + 1
+            kinds = np.unique(pattern[part])
+            first = end - self.automaton.length[pattern[part]]
+            out[d] = (sizes[d], self.automaton.owners(kinds), placed(texts[d], first, end))
+        return out
+
+
+def pieces(plain: bytes) -> Iterator[list[bytes]]:
+    """The words of a normalised text, about PIECE bytes at a time."""
+    at = 0
+    while at < len(plain):
+        cut = plain.find(b" ", at + PIECE)
+        cut = cut if cut >= 0 else len(plain)
+        yield plain[at:cut].split()
+        at = cut
+
+
+def placed(text: str | None, first: np.ndarray, end: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """Joined spans of words first to end - 1 with their character offsets in the text."""
+    raw = np.frombuffer(normalise(text), dtype=np.uint8)
+    inside = np.concatenate(([False], raw != 0x20, [False]))
+    edges = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2)  # byte start and end of each word
+    source = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    chars = np.concatenate(([0], np.cumsum((source & 0xC0) != 0x80)))  # characters before each byte
+    ranges = sorted(set(zip(first.tolist(), end.tolist())))
+    return merged([(a, b - 1, int(chars[edges[a, 0]]), int(chars[edges[b - 1, 1]])) for a, b in ranges])
 
 
 _scanners: dict[str, Scanner] = {}
 
 
-def _scanner(key: str, items: list) -> Scanner:
-    """One automaton for each worker process and list of items."""
-    if key not in _scanners:
+def _scanner(root: str) -> Scanner:
+    """One mapped automaton for each worker process."""
+    if root not in _scanners:
         _scanners.clear()
-        _scanners[key] = Scanner(items)
-    return _scanners[key]
-
-
-def _scan(rows: DataFrame, items: list[tuple], text_col: str, own: list[str]) -> DataFrame:
-    """The rows with n_words, items and spans under their own names; hits of an earlier scan are kept."""
-    key = hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).hexdigest()
-    sent = rows.sparkSession.sparkContext.broadcast(items)
-    carried = [c for c in rows.columns if c not in own]
-    at, before = carried.index(text_col), own[2] in rows.columns
-    fields = ("first_word", "last_word", "start", "end")
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([(n, pa.int32()) for n in fields]))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = None
-        for batch in batches:
-            scanner = scanner or _scanner(key, sent.value)
-            found = [scanner.scan(t) for t in batch.column(at).to_pylist()]
-            if before:
-                old = zip(batch.column(len(carried) + 1).to_pylist(), batch.column(len(carried) + 2).to_pylist())
-                found = [(n, sorted({*ids, *i0}), merged([*spans, *(tuple(s.values()) for s in s0)])) for (n, ids, spans), (i0, s0) in zip(found, old)]
-            cols = [[f[0] for f in found], [f[1] for f in found], [[dict(zip(fields, s)) for s in f[2]] for f in found]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carried))), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[*carried, *own])
-
-    schema = T.StructType([*(rows.schema[c] for c in carried), T.StructField(own[0], T.LongType()), T.StructField(own[1], T.ArrayType(T.LongType())), T.StructField(own[2], T._parse_datatype_string(SPANS))])
-    return rows.select(*carried, *(own if before else ())).mapInArrow(run, schema)
+        _scanners[root] = Scanner(root)
+    return _scanners[root]
 
 
 def merged(spans: list[tuple]) -> list[tuple]:
@@ -141,28 +124,42 @@ def merged(spans: list[tuple]) -> list[tuple]:
     return out
 
 
-def shares(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple]]:
-    """The items in lists of at most PATTERN_BYTES of text (one item at least)."""
-    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("text is not null")
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-total // PATTERN_BYTES) or 1
-    if n == 1:
-        return [[tuple(r) for r in rows.collect()]]
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(2 * n))
-    return [[tuple(r) for r in rows.where(part == i).collect()] for i in range(2 * n)]
+def compiled(benchmark: DataFrame, item_col: str, text_col: str) -> str:
+    """The folder of the benchmark's automaton, written by one task (each attempt has its own folder)."""
+    root = Scratch(benchmark.sparkSession, "decontaminate").root
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = f"{root}/{uuid.uuid4().hex}"
+        items = ((i, normalise(t).split()) for batch in batches for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        build(own, items, WINDOW)
+        yield pa.RecordBatch.from_arrays([pa.array([own])], names=["folder"])
+
+    small_batches(benchmark.sparkSession)
+    rows = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("text is not null").distinct()
+    written = rows.repartition(1).mapInArrow(run, "folder string").collect()
+    if not written:  # no task runs for a benchmark without rows
+        build(f"{root}/empty", [], WINDOW)
+        return f"{root}/empty"
+    return written[0].folder
 
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str) -> tuple[DataFrame, list[str]]:
-    """(the rows with three more columns, these columns' names)."""
+    """(the rows with n_words, items and spans under names of their own, these names)."""
     small_batches(docs.sparkSession)
     own = [free_name(docs, OWN + n) for n in ("words", "items", "spans")]
-    parts = shares(benchmark, item_col, "text")
-    scratch = Scratch(docs.sparkSession, "decontaminate")
-    for i, items in enumerate(parts):
-        docs = _scan(docs, items, text_col, own)
-        if i + 1 < len(parts):
-            docs = scratch.keep(docs, "scanned")  # else all automata would be in memory at once
-    return docs, own
+    root = compiled(benchmark, item_col, "text")
+    names, at = docs.columns, docs.columns.index(text_col)
+    fields = ("first_word", "last_word", "start", "end")
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([(n, pa.int32()) for n in fields]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _scanner(root).scan(batch.column(at).to_pylist())
+            cols = [[f[0] for f in found], [f[1] for f in found], [[dict(zip(fields, s)) for s in f[2]] for f in found]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[*names, *own])
+
+    more = [T.StructField(own[0], T.LongType()), T.StructField(own[1], T.ArrayType(T.LongType())), T.StructField(own[2], T._parse_datatype_string(SPANS))]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more])), own
 
 
 def scan_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ethoflow.llm import _arrays, bpe, components, decontaminate, feistel, line_dedup, ngram_lm, quality_crf, queries, simhash, substring_dedup, topk_bsi, url_filter
+from ethoflow.llm import _arrays, automaton, bpe, components, decontaminate, feistel, line_dedup, ngram_lm, quality_crf, queries, simhash, substring_dedup, topk_bsi, url_filter
 from ethoflow.llm._common import OWN, Scratch, crc_of_id
 
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -101,24 +101,22 @@ def brute_hits(text, items):
                 if w[at : at + n] == iw[p : p + n]:
                     hit.update(range(at, at + n))
                     names.add(item)
-    return len(w), len(hit), sorted(names)
+    return len(w), len(hit), sorted(names, key=lambda i: (i is not None, i or 0))
 
 
-def test_decontamination(spark, monkeypatch):
+def test_decontamination(spark):
     rng = random.Random(3)
     vocab = [f"k{i}" for i in range(30)] + ["É1", "字"]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate((25, 10, 11, 3, 1, 40))] + [(6, None), (7, "!!"), (1, "k1 k2"), (10, "K3, k4-K5")]
     texts = TEXTS + [f"{' '.join(rng.choice(vocab) for _ in range(20))}!? {items[i % 6][1].upper()} / {' '.join(rng.choice(vocab) for _ in range(5))}" for i in range(12)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = {i: brute_hits(t, items) for i, t in enumerate(texts) if t is not LONG}
-    for size in (decontaminate.PATTERN_BYTES, 100):  # one automaton, and several
-        monkeypatch.setattr(decontaminate, "PATTERN_BYTES", size)
-        got = {r.doc_id: r for r in decontaminate.scan_documents(docs(spark, texts), bench).collect()}
-        assert len(got) == len(texts)
-        for i, w in want.items():
-            assert (got[i].n_words, got[i].n_hit, list(got[i].items)) == w
-            for s in got[i].spans:
-                assert words2(texts[i][s.start : s.end]) == words2(texts[i])[s.first_word : s.last_word + 1]
+    got = {r.doc_id: r for r in decontaminate.scan_documents(docs(spark, texts), bench).collect()}
+    assert len(got) == len(texts)
+    for i, w in want.items():
+        assert (got[i].n_words, got[i].n_hit, list(got[i].items)) == w
+        for s in got[i].spans:
+            assert words2(texts[i][s.start : s.end]) == words2(texts[i])[s.first_word : s.last_word + 1]
     odd = docs(spark, texts).withColumn(OWN + "spans", F.lit("mine"))
     assert {r[OWN + "spans"] for r in decontaminate.drop_contaminated(odd, bench).collect()} == {"mine"}
     kept = decontaminate.drop_contaminated(docs(spark, texts), bench)
@@ -128,6 +126,32 @@ def test_decontamination(spark, monkeypatch):
     assert decontaminate.scan_documents(docs(spark, texts).limit(0), bench).count() == 0
 
 
+def test_automaton_cuts_runs_anywhere(tmp_path, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    rng = random.Random(5)
+    for case in range(12):
+        vocab = [f"k{i}" for i in range(2 + case % 4)]
+        items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice((1, 2, 4, 9, 10, 11, 25))))) for i in range(4)]
+        items += [(9, items[0][1]), (None, items[1][1]), (11, items[2][1] + " unseen")]
+        texts = [" ".join(rng.choice(vocab + ["other"]) for _ in range(rng.randrange(90))) + "! " + items[3][1] for _ in range(6)] + [None, "", "?"]
+        root = f"{tmp_path}/{case}"
+        automaton.build(root, ((i, decontaminate.normalise(t).split()) for i, t in items), decontaminate.WINDOW)
+        for lane in (1, 3, 256):
+            monkeypatch.setattr(automaton, "LANE", lane)
+            for text, (n, names, spans) in zip(texts, decontaminate.Scanner(root).scan(texts)):
+                want = brute_hits(text, items)
+                assert (n, sum(s[1] - s[0] + 1 for s in spans), names) == (want[0], want[1], sorted(x for x in want[2] if x is not None))
+
+
+def test_decontamination_with_a_large_benchmark(spark):
+    rng = random.Random(8)
+    items = [(i, " ".join(f"w{rng.randrange(1 << 20)}" for _ in range(40))) for i in range(20_000)]  # 6 MB
+    chosen = rng.sample(range(20_000), 30)
+    texts = ["nothing of it", *(f"Before {' '.join(items[i][1].split()[5:25]).upper()}, after" for i in chosen), items[7][1][:60]]
+    found = {r.doc_id: r for r in decontaminate.scan_documents(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert [(found[i].n_hit, list(found[i]["items"])) for i in range(len(texts))] == [(0, []), *((20, [i]) for i in chosen), (0, [])]
+
+
 # 3. BPE
 
 
