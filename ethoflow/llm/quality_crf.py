@@ -15,7 +15,7 @@ labels follow each other.
 The model has about a hundred weights, fitted on the driver from a bounded sample
 of labelled rows: those with the smallest hash of the id, ``MAX_TRAIN_DOCS`` at
 most, and no more once they hold ``MAX_TRAIN_LINES`` lines.  Long texts take part
-whole, as several chains.  Scoring covers every row and the whole text.
+whole, as one chain each.  Scoring covers every row and the whole text.
 
 Edge cases: null and empty texts, and texts of empty lines, have no line and
 score the share of label 1 in the sample; a null id is never a training row; of repeated
@@ -40,8 +40,8 @@ from ethoflow.llm._common import OWN, small_batches
 
 MAX_TRAIN_DOCS = 4000
 MAX_TRAIN_LINES = 150_000
-#: Lines of a chain in training.
-MAX_CHAIN = 500
+#: Lines of a chain that are summed in one go; blocks are joined exactly.
+BLOCK = 256
 STEPS, MORE_STEPS = 120, 40
 #: Times that lines may change over, and how unlikely their label must be.
 TURNS, UNLIKELY = 3, 0.2
@@ -152,49 +152,74 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def marginals(unary: np.ndarray, starts: np.ndarray, sizes: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+def marginals(unary: np.ndarray, starts: np.ndarray, sizes: np.ndarray, moves: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, float]:
     """(P(good) of each line, expected transitions [from, to], log of the chains' sums).
 
-    All chains advance together: step t handles the t-th line of every document
-    that has one.
+    The steps of a long chain are products of small matrices, so they may be grouped: chains are taken in blocks
+    of lines, all blocks advance together for both labels that may lie outside, and then the blocks of a chain
+    are joined in order.  The sums are those of whole chains.
     """
-    order = np.argsort(-sizes, kind="stable")
-    starts, sizes = starts[order], sizes[order]
-    longest = int(sizes[0]) if len(sizes) else 0
-    live = np.searchsorted(-sizes, -np.arange(longest), side="left")  # documents of more than t lines
+    has = sizes > 0
+    starts, sizes = starts[has], sizes[has]
     phi = np.stack([np.zeros_like(unary), unary], axis=1)
-    fwd, bwd = np.empty_like(phi), np.zeros_like(phi)
+    # The blocks, a chain's in order.
+    per = -(-sizes // block)
+    chain = np.repeat(np.arange(len(sizes)), per)
+    place = np.arange(len(chain)) - np.repeat(np.cumsum(per) - per, per)
+    begin = starts[chain] + place * block
+    length = np.minimum(block, sizes[chain] - place * block)
+    by_length = np.argsort(-length, kind="stable")
+    longest = int(length.max()) if len(length) else 0
+    live = np.searchsorted(-length[by_length], -np.arange(longest), side="left")  # blocks of more than t lines
+    # [line, label outside the block, label of the line]
+    into, onto = np.full((len(unary), 2, 2), -np.inf), np.full((len(unary), 2, 2), -np.inf)
+    heads = place == 0
     for t in range(longest):
-        at = starts[: live[t]] + t
+        which = by_length[: live[t]]
+        at = begin[which] + t
         if t == 0:
-            fwd[at] = phi[at]
+            into[at] = np.where(heads[which][:, None, None], 0.0, moves[None]) + phi[at][:, None, :]
         else:
-            before = fwd[at - 1]
-            fwd[at] = phi[at] + np.logaddexp(before[:, :1] + moves[0], before[:, 1:] + moves[1])
-    for t in range(longest - 2, -1, -1):
-        at = starts[: live[t + 1]] + t
-        after = phi[at + 1] + bwd[at + 1]
-        bwd[at] = np.logaddexp(moves[:, 0] + after[:, :1], moves[:, 1] + after[:, 1:])
+            before = into[at - 1]
+            into[at] = phi[at][:, None, :] + np.logaddexp(before[:, :, :1] + moves[0], before[:, :, 1:] + moves[1])
+    end = begin + length - 1
+    onto[end] = np.where(np.eye(2, dtype=bool), 0.0, -np.inf)
+    for t in range(2, longest + 1):  # lines from the block's end
+        which = by_length[: live[t - 1]]
+        at = end[which] - t + 1
+        after = phi[at + 1][:, None, :] + onto[at + 1]  # [block, label at the block's end, label of the next line]
+        onto[at] = np.logaddexp(after[:, :, :1] + moves[:, 0], after[:, :, 1:] + moves[:, 1])
+    # Blocks of a chain in order, all chains together: what comes into a block, and what lies behind its end.
+    left, right = np.zeros((len(chain), 2)), np.zeros((len(chain), 2))
+    left[heads] = (0.0, -np.inf)  # no label comes before a chain: one way in
+    by_place = np.argsort(place, kind="stable")
+    rounds = np.split(by_place, np.flatnonzero(np.diff(place[by_place])) + 1) if len(place) else []
+    for which in rounds[1:]:
+        whole = into[end[which - 1]]
+        left[which] = np.logaddexp(left[which - 1][:, :1] + whole[:, 0], left[which - 1][:, 1:] + whole[:, 1])
+    for which in rounds[:0:-1]:
+        whole = onto[begin[which]] + phi[begin[which]][:, None, :]  # [block, label at its end, label at its begin]
+        over = np.logaddexp(whole[:, 0] + right[which][:, :1], whole[:, 1] + right[which][:, 1:])
+        right[which - 1] = np.logaddexp(over[:, :1] + moves[:, 0], over[:, 1:] + moves[:, 1])
+    block_of = np.repeat(np.arange(len(chain)), length)
+    rows = np.repeat(begin, length) + np.arange(len(block_of)) - np.repeat(np.cumsum(length) - length, length)
+    fwd, bwd = np.empty_like(phi), np.empty_like(phi)
+    fwd[rows] = np.logaddexp(left[block_of][:, :1] + into[rows, 0], left[block_of][:, 1:] + into[rows, 1])
+    bwd[rows] = np.logaddexp(right[block_of][:, :1] + onto[rows, 0], right[block_of][:, 1:] + onto[rows, 1])
     both = fwd + bwd
     total = np.logaddexp(both[:, 0], both[:, 1])
     good = np.exp(both[:, 1] - total)
     inner = np.ones(len(unary), dtype=bool)
-    has = sizes > 0
-    inner[starts[has]] = False
+    inner[starts] = False
     i = np.flatnonzero(inner)
     pair = np.zeros((2, 2))
     for a in range(2):
         for b in range(2):
             pair[a, b] = np.exp(fwd[i - 1, a] + moves[a, b] + phi[i, b] + bwd[i, b] - total[i]).sum()
-    ends = starts[has] + sizes[has] - 1
+    ends = starts + sizes - 1
     return good, pair, float(np.logaddexp(fwd[ends, 0], fwd[ends, 1]).sum())
 
 
-def cut_chains(sizes: np.ndarray, longest: int = MAX_CHAIN) -> np.ndarray:
-    """Lengths of the chains that documents of so many lines are cut into."""
-    return np.concatenate([np.append(np.full((n - 1) // longest, longest), (n - 1) % longest + 1) for n in sizes.tolist()])
-
-
 def _maximised(x: np.ndarray, y: np.ndarray, sizes: np.ndarray, theta: np.ndarray, steps: int, ridge: float) -> np.ndarray:
     """Weights of the highest likelihood of the lines' labels, by Adam from given ones."""
     starts = np.cumsum(sizes) - sizes
@@ -241,15 +266,15 @@ def fit(found: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, steps: i
     x = (x - mean) / scale
     document, weight = np.repeat(np.arange(len(sizes)), sizes), np.concatenate([f[1] for f in found])
     label = y_doc[document]
-    y, chains, n = label, cut_chains(sizes), x.shape[1]
-    theta = _maximised(x, y, chains, np.zeros(n + 5), steps, ridge)
+    y, n = label, x.shape[1]
+    theta = _maximised(x, y, sizes, np.zeros(n + 5), steps, ridge)
     for _ in range(TURNS):
-        good, _, _ = marginals(x @ theta[:n] + theta[n], np.cumsum(chains) - chains, chains, theta[n + 1 :].reshape(2, 2))
+        good, _, _ = marginals(x @ theta[:n] + theta[n], np.cumsum(sizes) - sizes, sizes, theta[n + 1 :].reshape(2, 2))
         new = changed_over(good, document, label, weight)
         if (new == y).all():
             break
         y = new
-        theta = _maximised(x, y, chains, theta, MORE_STEPS, ridge)
+        theta = _maximised(x, y, sizes, theta, MORE_STEPS, ridge)
     model = Model(mean, scale, theta[:n], float(theta[n]), theta[n + 1 :].reshape(2, 2), 1.0, 0.0, prior)
     raw = model.raw(found)
     a, b = 1.0, 0.0

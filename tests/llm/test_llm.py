@@ -453,8 +453,31 @@ def test_score_equals_enumeration():
     assert got[30:].tolist() == [0.5] * 3
 
 
-def test_lines_change_over_and_long_texts_are_cut():
-    assert quality_crf.cut_chains(np.array([1, 500, 501, 1200])).tolist() == [1, 500, 500, 1, 500, 500, 200]
+def test_blocks_of_long_chains_sum_as_whole_chains():
+    rng = np.random.default_rng(4)
+    sizes = np.array([1, 0, 7, 600, 2, 257, 1100, 256])
+    starts, u, moves = np.cumsum(sizes) - sizes, 3 * rng.normal(size=sizes.sum()), rng.normal(size=(2, 2))
+    good, pair, log_z = np.zeros(len(u)), np.zeros((2, 2)), 0.0
+    for s, n in zip(starts, sizes):
+        if not n:
+            continue
+        phi = np.array([[0.0, x] for x in u[s : s + n]])
+        f, b = [phi[0]], [np.zeros(2)]
+        for t in range(1, n):
+            f.append(phi[t] + [np.logaddexp(f[-1][0] + moves[0, y], f[-1][1] + moves[1, y]) for y in (0, 1)])
+        for t in range(n - 2, -1, -1):
+            b.insert(0, np.array([np.logaddexp(moves[y, 0] + phi[t + 1, 0] + b[0][0], moves[y, 1] + phi[t + 1, 1] + b[0][1]) for y in (0, 1)]))
+        z = np.logaddexp(*f[-1])
+        log_z += z
+        good[s : s + n] = [np.exp(f[t][1] + b[t][1] - z) for t in range(n)]
+        for t in range(1, n):
+            pair += np.exp(f[t - 1][:, None] + moves + (phi[t] + b[t])[None, :] - z)
+    for block in (1, 2, 3, 256, 5000):
+        got = quality_crf.marginals(u, starts, sizes, moves, block)
+        assert np.allclose(got[0], good) and np.allclose(got[1], pair) and got[2] == pytest.approx(log_z)
+
+
+def test_lines_change_over():
     good, document = np.array([0.9, 0.05, 0.1, 0.9, 0.95, 0.5]), np.array([0, 0, 0, 1, 1, 1])
     label = np.array([1, 1, 1, 0, 0, 0])
     # Of two unlikely lines in each document, half of the length leaves room for the more unlikely one only.
