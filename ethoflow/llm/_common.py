@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,17 +23,23 @@ class Scratch:
 
     A written table cuts the lineage: a lost executor costs the running stage
     only.  ``drop`` deletes a table that nothing reads any more, ``release``
-    those of all calls.
+    those of a thread's calls.
     """
 
-    #: Folders of this process's calls.
-    made: list[str] = []
+    #: Folders of this thread's calls.
+    _made = threading.local()
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self.spark = spark
         self.root = scratch_path(spark, label)
         self._n = 0
-        self.made.append(self.root)
+        self.made().append(self.root)
+
+    @classmethod
+    def made(cls) -> list[str]:
+        if not hasattr(cls._made, "roots"):
+            cls._made.roots = []
+        return cls._made.roots
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -55,10 +63,10 @@ def _delete(spark: SparkSession, at: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the intermediate tables and models of all calls so far; for when their results have been written."""
-    while Scratch.made:
-        _delete(spark, Scratch.made.pop())
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the intermediate tables and models of this thread's calls, all or those after the first ``since``; for when their results have been written."""
+    while len(Scratch.made()) > since:
+        _delete(spark, Scratch.made().pop())
 
 
 def small_batches(spark: SparkSession, size: int = 8 << 20) -> None:

@@ -1,5 +1,6 @@
 """The pipeline on a small corpus with known cases, each stage against a brute-force version of it."""
 
+import os
 import random
 import struct
 import zlib
@@ -115,3 +116,20 @@ def test_stages_on_odd_tables(spark, corpus):
         else:
             assert len(got) == len(rows) and all(r.decodes for r in got)
         assert stage(spark, odd.limit(0), d).count() == 0
+
+
+def test_tables_of_a_written_stage_go(spark, tmp_path):
+    """Only the last stage's input stays of what a run wrote; the result can be read, and read again."""
+    from ethoflow.llm._common import Scratch, _delete
+
+    made = len(Scratch.made())
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() == out.count() > 0
+    roots = Scratch.made()[made:]
+    left = [r for r in roots if not r.rsplit("/", 1)[1].startswith("bpe")]
+    assert len(left) == 1 and left[0].rsplit("/", 1)[1].startswith("pipeline")
+    path = left[0].removeprefix("file:").replace("///", "/")
+    assert [p.split("-", 1)[1] for p in sorted(os.listdir(path)) if not p.startswith(".")] == ["decontaminate"]
+    for r in roots:
+        _delete(spark, r)
+    del Scratch.made()[made:]
