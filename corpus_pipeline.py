@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ethoflow.llm import bpe, decontaminate, line_dedup, quality_crf, simhash
-from ethoflow.llm._common import OWN, crc_of_id, free_name, table
+from ethoflow.llm._common import OWN, Scratch, crc_of_id, free_name, release, table
 from ethoflow.llm.queries import THRESHOLD, rank_file
 
 
@@ -55,11 +55,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written to the shared folder and read again."""
-    from ethoflow.llm._common import Scratch
+    """All stages over documents, each result written to the shared folder and read again.
 
+    Once a stage's result is written, what the stage kept on its way goes, and so does its input if a stage wrote it.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before, made = docs, len(Scratch.made())
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        release(spark, since=made)
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
