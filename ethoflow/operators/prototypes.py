@@ -97,13 +97,15 @@ def drift_corrected(centres: DataFrame, keys: Sequence[str] = ("video_id",), hea
 
     Each well starts at the median of its first frames; all wells then move by the mean step of all wells.
     """
+    rows = centres.repartition(*keys)  # one shuffle serves all that follows
     w = Window.partitionBy(*keys, "well").orderBy("frame_number")
-    anchor = centres.withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= head).groupBy(*keys, "well").agg(F.median("x").alias("ax"), F.median("y").alias("ay"))
-    steps = centres.withColumns({f"__d{c}": F.col(c) - F.lag(c).over(w) for c in "xy"})
+    anchor = rows.withColumn("__i", F.row_number().over(w)).where(F.col("__i") <= head).groupBy(*keys, "well").agg(F.median("x").alias("ax"), F.median("y").alias("ay"))
+    steps = rows.withColumns({f"__d{c}": F.col(c) - F.lag(c).over(w) for c in "xy"})
     mean = steps.groupBy(*keys, "frame_number").agg(F.coalesce(F.avg("__dx"), F.lit(0.0)).alias("dx"), F.coalesce(F.avg("__dy"), F.lit(0.0)).alias("dy"))
     so_far = Window.partitionBy(*keys).orderBy("frame_number").rowsBetween(Window.unboundedPreceding, 0)
     path = mean.withColumns({c: F.sum(f"d{c}").over(so_far) for c in "xy"})
-    return path.join(anchor, list(keys)).select(*keys, "frame_number", "well", (F.col("ax") + F.col("x")).alias("x"), (F.col("ay") + F.col("y")).alias("y"))
+    # Both sides grow with the recordings, which sizes guessed from the source do not tell: no broadcast.
+    return path.hint("merge").join(anchor, list(keys)).select(*keys, "frame_number", "well", (F.col("ax") + F.col("x")).alias("x"), (F.col("ay") + F.col("y")).alias("y"))
 
 
 def gaussian_smoothed(df: DataFrame, columns: Sequence[str], sigma: float, keys: Sequence[str], order: str = "frame_number") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ethoflow.functions import numeric, text
 from ethoflow.functions.geometry import aligned, per_second, to_body_frame, with_body_axis, wrapped
-from ethoflow.operators import bouts, clean, cluster, features, kinematics, markov, metadata, proportions, sequence, stats
+from ethoflow.operators import bouts, clean, cluster, features, kinematics, markov, metadata, proportions, prototypes, sequence, stats
 
 W = lambda: sequence.by(("trial_id",))
 
@@ -393,3 +393,13 @@ def test_partitions_do_not_matter(spark):
     df = labels(spark, [0, 1, 1, 2, 0, 0, 1]).union(labels(spark, [1, 1, 0, 0], animal=2))
     want = sorted(map(tuple, bouts.durations(df, 50.0).collect()))
     assert sorted(map(tuple, bouts.durations(df.repartition(7), 50.0).collect())) == want
+
+
+def test_drift_correction_broadcasts_no_rows(spark):
+    """Every well of a video is there in each of its frames, at the anchor plus the mean step so far."""
+    grid = spark.range(2).select(F.col("id").alias("video_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("frame_number"))
+    grid = grid.withColumn("well", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    rows = grid.withColumns({"x": (F.col("well") * 10 + F.col("frame_number") * F.col("video_id")).cast("double"), "y": F.col("well").cast("double")})
+    df = prototypes.drift_corrected(rows, head=1)
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, rows.collect()))
