@@ -54,7 +54,7 @@ def per_second(value: Column, mm: float, px: Column | float, fps: Column | float
 
 
 def speed(x: str = "thrust_mm_s", y: str = "slip_mm_s") -> Column:
-    return F.hypot(F.col(x), F.col(y))
+    return F.sqrt(F.col(x) * F.col(x) + F.col(y) * F.col(y))
 
 
 def speed_with_turn(x: str = "thrust_mm_s", y: str = "slip_mm_s", yaw: str = "yaw_rad_s") -> Column:

@@ -73,7 +73,8 @@ def above(x: Column, limit: float | Column) -> Column:
 
 
 def ground_speed(w, fps: float) -> Column:
-    return F.hypot(gradient("x", w), gradient("y", w)) * fps
+    dx, dy = gradient("x", w), gradient("y", w)
+    return F.sqrt(dx * dx + dy * dy) * fps  # correctly rounded steps, so that an exact length falls on the edge of a bin
 
 
 def with_channels(df: DataFrame, limits: Limits = Limits(), keys: Sequence[str] = ("trial_id",)) -> DataFrame:
@@ -110,8 +111,8 @@ def channel_stats(df: DataFrame, channels: Sequence[str], keys: Sequence[str] =
 def bin_of(x: Column, low: float, high: float, bins: int) -> Column:
     """The bin (from 0) of a value in [low, high], the last one closed; else null."""
     inside = measured(x) & x.between(low, high)
-    number = F.width_bucket(x, F.lit(float(low)), F.lit(float(high)), F.lit(bins))
-    return F.when(inside, F.least(number, F.lit(bins)).cast("int") - 1)
+    # Places in whole bin widths: a value on an edge between bins lies in the upper one.
+    return F.when(inside, F.least(F.floor((x - float(low)) / ((high - low) / bins)), F.lit(bins - 1)).cast("int"))
 
 
 def histogram(df: DataFrame, x: str, low: float, high: float, bins: int = HISTOGRAM_BINS, keys: Sequence[str] = ()) -> DataFrame:

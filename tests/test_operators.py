@@ -403,3 +403,11 @@ def test_drift_correction_broadcasts_no_rows(spark):
     df = prototypes.drift_corrected(rows, head=1)
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, df.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_length_on_the_edge_of_a_bin(spark):
+    """The middle frame moves by (-0.6, 0.45), 7.5 a second at ten frames: the lower edge of bin 9."""
+    track = [(1, f, x, y, 0.0, 0.0, 0.0) for f, (x, y) in enumerate([(2.738, 2.0), (1.2189999999999999, 8.0), (1.538, 2.9)])]
+    df = spark.createDataFrame(track, "trial_id int, frame_number int, x double, y double, thrust_mm_s double, slip_mm_s double, yaw_rad_s double")
+    moved = kinematics.with_channels(df, kinematics.Limits(fps=10.0)).where("frame_number = 1")
+    assert [r.bin for r in kinematics.channel_histograms(moved).where("channel = 'speed'").collect()] == [9]
