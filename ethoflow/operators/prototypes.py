@@ -132,19 +132,19 @@ def gaussian_smoothed(df: DataFrame, columns: Sequence[str], sigma: float, keys:
     return df.withColumns(product).drop("__at", "__n", *new)
 
 
-def closest_radii(circles: DataFrame, keys: Sequence[str], keep: int = 24) -> DataFrame:
-    """Of each plate's circles those whose radius is nearest to the median radius."""
+def closest_radii(circles: DataFrame, keys: Sequence[str], keep: int = 24, ties: Sequence[str] = ()) -> DataFrame:
+    """Of each plate's circles those whose radius is nearest to the median radius; ties: columns that decide between equal circles."""
     middle = F.median("radius").over(Window.partitionBy(*keys))
     df = circles.withColumn("__off", F.abs(F.col("radius") - middle))
-    w = Window.partitionBy(*keys).orderBy("__off", "cx", "cy")
+    w = Window.partitionBy(*keys).orderBy("__off", "cx", "cy", *ties)
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= keep).drop("__off", "__r")
 
 
-def grid_order(circles: DataFrame, keys: Sequence[str], columns: int = 6, out: str = "well_number") -> DataFrame:
-    """Numbers each plate's circles row by row from 1: by y into rows of so many, then by x."""
-    down = Window.partitionBy(*keys).orderBy("cy", "cx")
+def grid_order(circles: DataFrame, keys: Sequence[str], columns: int = 6, out: str = "well_number", ties: Sequence[str] = ()) -> DataFrame:
+    """Numbers each plate's circles row by row from 1: by y into rows of so many, then by x; ties: columns that decide between equal places."""
+    down = Window.partitionBy(*keys).orderBy("cy", "cx", *ties)
     df = circles.withColumn("__row", F.floor((F.row_number().over(down) - 1) / columns))
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy("__row", "cx", "cy"))).drop("__row")
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy("__row", "cx", "cy", *ties))).drop("__row")
 
 
 def decades(df: DataFrame, value: str, out: str = "decade") -> DataFrame:

@@ -164,14 +164,14 @@ def _circles(spark, d):
 
 @query(f"with {CIRCLES} select plate, p_partkey from kept")
 def closest_radii(spark, d):
-    return prototypes.closest_radii(_circles(spark, d), ("plate",)).select("plate", "p_partkey")
+    return prototypes.closest_radii(_circles(spark, d), ("plate",), ties=("p_partkey",)).select("plate", "p_partkey")
 
 
 @query(f"""with {CIRCLES}, r as (select *, (row_number() over (partition by plate order by cy, cx) - 1) // 6 as line from kept)
 select plate, p_partkey, row_number() over (partition by plate order by line, cx, cy) as well_number from r""")
 def grid_order(spark, d):
-    kept = prototypes.closest_radii(_circles(spark, d), ("plate",))
-    return prototypes.grid_order(kept, ("plate",)).select("plate", "p_partkey", F.col("well_number").cast("long").alias("well_number"))
+    kept = prototypes.closest_radii(_circles(spark, d), ("plate",), ties=("p_partkey",))
+    return prototypes.grid_order(kept, ("plate",), ties=("p_partkey",)).select("plate", "p_partkey", F.col("well_number").cast("long").alias("well_number"))
 
 
 @query(f"with {FRAMES}, {SHARES}, u as (unpivot shares on {', '.join(CLUSTERS)} into name cluster value v) select floor(log10(v + 1e-10))::int as decade, count(*) as n from u group by 1")

@@ -411,3 +411,13 @@ def test_length_on_the_edge_of_a_bin(spark):
     df = spark.createDataFrame(track, "trial_id int, frame_number int, x double, y double, thrust_mm_s double, slip_mm_s double, yaw_rad_s double")
     moved = kinematics.with_channels(df, kinematics.Limits(fps=10.0)).where("frame_number = 1")
     assert [r.bin for r in kinematics.channel_histograms(moved).where("channel = 'speed'").collect()] == [9]
+
+
+def test_equal_circles_are_decided(spark):
+    """Of equal circles the smaller number comes first, in whatever order the rows arrive."""
+    rows = [("p", i, 1.0, 2.0, 5.0) for i in range(40)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "plate string, i int, cx double, cy double, radius double").repartition(3)
+        kept = prototypes.closest_radii(df, ("plate",), 24, ties=("i",))
+        got = prototypes.grid_order(kept, ("plate",), ties=("i",))
+        assert sorted(col(got, "i", "well_number")) == [(i, i + 1) for i in range(24)]
