@@ -149,7 +149,10 @@ def series_by_attributes(series: DataFrame, attributes: DataFrame, wanted: DataF
     own = attributes.groupBy("series_id").agg(F.array_sort(F.collect_set("attribute_id")).alias("own"))
     have = series.join(own, "series_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<int>")))
     asked = wanted.withColumn("asked", F.array_sort(F.array_distinct("attribute_ids")))
-    same = [asked[c].eqNullSafe(have[c]) for c in ("experiment_type_id", "investigator_id", "experiment_date")]
+    # Of series that no request can tell apart only the first is met, so a request has one hit at most.
+    facts = ("experiment_type_id", "investigator_id", "experiment_date")
+    have = have.groupBy(*facts, "own").agg(F.min("series_id").alias("series_id"))
+    same = [asked[c].eqNullSafe(have[c]) for c in facts]
     hits = asked.join(have, [*same, F.col("asked") == F.col("own")]).groupBy("request").agg(F.min("series_id").alias("series_id"))
     return wanted.select("request").join(hits, "request", "left")
 

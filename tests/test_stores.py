@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ethoflow.operators import density
+from ethoflow.operators import density, ingest
 from ethoflow.schemas import TABLES
 from ethoflow.sources import arrays, ingested, label_files
 from ethoflow.sources.store import Store
@@ -139,3 +139,13 @@ def test_boxes(spark):
     df = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4, 100)] + [("b", 7.0)], "k string, v double")
     got = {r.k: tuple(r)[1:] for r in density.box_statistics(df, "v", ("k",)).collect()}
     assert got == {"a": (5, 2.0, 3.0, 4.0, 1.0, 4.0, 1), "b": (1, 7.0, 7.0, 7.0, 7.0, 7.0, 0)}
+
+
+def test_equal_series_are_met_once(spark):
+    """Series that no request can tell apart are one row before they meet the requests."""
+    series = spark.createDataFrame([(i, 1, 2, None) for i in (9, 4, 7)] + [(3, 1, 2, None)], "series_id long, experiment_type_id int, investigator_id int, experiment_date date")
+    own = spark.createDataFrame([(i, a) for i in (9, 4, 7) for a in (5, 6)] + [(3, 5)], "series_id long, attribute_id int")
+    wanted = spark.createDataFrame([(1, 1, 2, None, [6, 5]), (2, 1, 2, None, [5]), (3, 1, 1, None, [5])], "request long, experiment_type_id int, investigator_id int, experiment_date date, attribute_ids array<int>")
+    got = ingest.series_by_attributes(series, own, wanted)
+    assert sorted(map(tuple, got.collect())) == [(1, 4), (2, 3), (3, None)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 3
