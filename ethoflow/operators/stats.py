@@ -38,20 +38,38 @@ def false_discovery(df: DataFrame, p: str = "p", out: str = "p_adj", keys: Seque
 STATISTICS = {"meanDiff": lambda a, b: a.mean(axis=-1) - b.mean(axis=-1), "medianDiff": lambda a, b: np.median(a, axis=-1) - np.median(b, axis=-1), "sumDiff": lambda a, b: a.sum(axis=-1) - b.sum(axis=-1)}
 
 
+#: Random relabellings are drawn as counts of distinct values where a value is there so many times on average.
+FEW_VALUES = 8
+#: Numbers held at once for random relabellings.
+DRAWN_AT_ONCE = 1 << 22
+
+
 def permutation_p(a: np.ndarray, b: np.ndarray, n: int | str = 10_000, seed: int = 0, statistic: str = "meanDiff") -> float:
     """Two-sided p-value of a difference under relabelling.
 
     "all", or a number of draws that all relabellings do not exceed: the share of
-    all of them; else that of random ones, the observed arrangement counted.
+    all of them; else that of random ones, the observed arrangement counted. Means and sums depend only on how often
+    each value is in a group: with few distinct values those counts are drawn, from the same law.
     """
     if len(a) == 0 or len(b) == 0:
         return float("nan")
-    if n == "all" or math.comb(len(a) + len(b), len(a)) <= n:
+    ways = math.lgamma(len(a) + len(b) + 1) - math.lgamma(len(a) + 1) - math.lgamma(len(b) + 1)  # the count itself has as many digits as there are values
+    if n == "all" or (ways < math.log(max(n, 1)) + 1 and math.comb(len(a) + len(b), len(a)) <= n):
         return exact.relabelled_share(a, b, statistic)
     f, both, rng = STATISTICS[statistic], np.concatenate([a, b]), np.random.default_rng(seed)
     seen, hits, done = abs(float(f(a, b))), 0, 0
+    values, counts = np.unique(both, return_counts=True)
+    few = statistic != "medianDiff" and len(values) * FEW_VALUES <= len(both)
+    rows = max(1, min(2000, DRAWN_AT_ONCE // (len(values) if few else len(both))))
+    if few:
+        total, parts = float(counts @ values), (len(a), len(b)) if statistic == "meanDiff" else (1, 1)
     while done < n:
-        size = min(2000, n - done)
+        size = min(rows, n - done)
+        if few:
+            drawn = rng.multivariate_hypergeometric(counts, len(a), size=size) @ values
+            hits += int((np.abs(drawn / parts[0] - (total - drawn) / parts[1]) >= seen - 1e-12 * max(1.0, abs(total) / min(parts))).sum())
+            done += size
+            continue
         mixed = rng.permuted(np.broadcast_to(both, (size, len(both))), axis=1)
         hits += int((np.abs(f(mixed[:, : len(a)], mixed[:, len(a) :])) >= seen - 1e-12).sum())
         done += size

@@ -191,3 +191,25 @@ def test_whole_silhouettes_meet_all_pairs(spark):
             assert got[k, c] == (int((lab == c).sum()), pytest.approx(s[lab == c].mean()))
     every = cluster.silhouettes(df.where("k = 0").select("label", "x"), None, repeats=2).collect()
     assert sorted((r.repeat, r.label, r.n) for r in every) == [(r, c, int((labels[0] == c).sum())) for r in (0, 1) for c in range(3)]
+
+
+def _held(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_random_relabellings_of_few_values():
+    """Counts of values are drawn instead of rows; against the normal law of the difference of means."""
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 5, 10_000) / 4, rng.integers(0, 5, 10_000) / 4
+    p, held = _held(lambda: stats.permutation_p(a, b, 4000))
+    both = np.concatenate([a, b])
+    want = math.erfc(abs(a.mean() - b.mean()) / (both.std(ddof=1) * math.sqrt(2 / 10_000)) / math.sqrt(2))
+    assert p == pytest.approx(want, abs=0.03) and held < 50 << 20
+    assert stats.permutation_p(a, b + 1, 200) == 1 / 201
+
