@@ -133,19 +133,13 @@ def median_law(xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     own = np.diff(np.concatenate([[at_most(m, first - 1)], tails]))
     if n % 2:
         return xs[places - 1], own
+    if n >= 1000:
+        return _banded_law(xs, places, own)
     with np.errstate(all="ignore"):  # pairs out of order, which do not count, may overflow
-        log = lambda x: np.log(np.maximum(x, 0) / n)
         # Exactly m draws up to i, the largest of them i; the others from j on, the smallest of them j.
-        low = np.exp(m * log(places)) - np.exp(m * log(places - 1))
-        high = np.exp(m * log(n - places + 1)) - np.exp(m * log(n - places))
-        ways = math.exp(math.lgamma(n + 1) - 2 * math.lgamma(m + 1)) if n < 1000 else None
-        if ways is None:  # the powers alone would vanish
-            scale = math.lgamma(n + 1) - 2 * math.lgamma(m + 1)
-            a, b = m * log(places), m * log(n - places + 1)
-            low, high = -np.expm1(m * (log(places - 1) - log(places))), -np.expm1(m * (log(n - places) - log(n - places + 1)))
-            joint = np.exp(scale + a[:, None] + b[None, :]) * low[:, None] * high[None, :]
-        else:
-            joint = ways * low[:, None] * high[None, :]
+        low = (places / n) ** m - ((places - 1) / n) ** m
+        high = ((n - places + 1) / n) ** m - ((n - places) / n) ** m
+        joint = math.exp(math.lgamma(n + 1) - 2 * math.lgamma(m + 1)) * low[:, None] * high[None, :]
     joint = np.triu(joint, 1)
     joint[np.diag_indices(len(places))] = np.maximum(0.0, own - joint.sum(axis=1))
     values = (xs[places - 1][:, None] + xs[places - 1][None, :]) / 2
@@ -155,6 +149,30 @@ def median_law(xs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[by], joint[by]
 
 
+#: Places between the two middle draws of a large sample; a further place is there with a chance below exp(-80).
+BAND = 128
+
+
+def _banded_law(xs: np.ndarray, places: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``median_law`` of an even number of values, a thousand or more: only middle draws near each other are paired."""
+    n = len(xs)
+    m = n // 2
+    with np.errstate(all="ignore"):
+        log = lambda x: np.log(np.maximum(x, 0) / n)
+        a, b = m * log(places), m * log(n - places + 1)  # the powers alone would vanish
+        low, high = -np.expm1(m * (log(places - 1) - log(places))), -np.expm1(m * (log(n - places) - log(n - places + 1)))
+    i = np.arange(len(places))[:, None]
+    j = i + np.arange(1, BAND + 1)
+    there = j < len(places)
+    j = np.minimum(j, len(places) - 1)
+    joint = np.where(there, np.exp(np.minimum(math.lgamma(n + 1) - 2 * math.lgamma(m + 1) + a[i] + b[j], 0.0)) * low[i] * high[j], 0.0)
+    x = xs[places - 1]
+    values = np.concatenate([x, ((x[i] + x[j]) / 2)[there]])
+    shares = np.concatenate([np.maximum(0.0, own - joint.sum(axis=1)), joint[there]])
+    by = np.argsort(values, kind="stable")
+    return values[by], shares[by]
+
+
 def median_interval(xs: np.ndarray, alpha: float = 0.05) -> tuple[float, float]:
     """The bootstrap interval of the median of sorted values; for under three their range."""
     if len(xs) < 3:

@@ -213,3 +213,10 @@ def test_random_relabellings_of_few_values():
     assert p == pytest.approx(want, abs=0.03) and held < 50 << 20
     assert stats.permutation_p(a, b + 1, 200) == 1 / 201
 
+
+def test_median_law_of_many_values():
+    """Only neighbouring draws are paired: the law is whole, and its memory follows the root of the number."""
+    xs = np.sort(np.random.default_rng(4).normal(size=9000))
+    (values, shares), held = _held(lambda: exact.median_law(xs))
+    assert shares.sum() == pytest.approx(1) and held < 40 << 20
+    assert float(values @ shares) == pytest.approx(np.median(xs), abs=0.01)
