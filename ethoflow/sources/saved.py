@@ -38,12 +38,22 @@ FIT_SCHEMA = (
 )
 
 
+#: Writers of many small files: the tasks that write files also put them in place, not the driver one by one.
+BY_TASKS = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+
+
+def _writers(df: DataFrame) -> int:
+    """Tasks that write many small files: a few for each core, however small the table is."""
+    return 4 * df.sparkSession.sparkContext.defaultParallelism
+
+
 def write_fits(fits: DataFrame, path: str) -> None:
     """One JSON document a fit, in folders by reduction and number of clusters; fields that a table lacks are null."""
     fields = [(n, t) for n, t in (f.strip().split(" ", 1) for f in FIT_SCHEMA.split(", "))]
     rows = fits.select(*(F.col(n) if n in fits.columns else F.lit(None).cast(t).alias(n) for n, t in fields))
     rows = rows.withColumns({"delSize": F.col("reduction_percent").cast("int"), "k": F.size("centroids")})
-    rows.write.mode("overwrite").partitionBy("delSize", "k").option("maxRecordsPerFile", 1).json(path)
+    rows = rows.repartition(_writers(rows))
+    rows.write.mode("overwrite").partitionBy("delSize", "k").options(**BY_TASKS).option("maxRecordsPerFile", 1).json(path)
 
 
 def fit_stem(tag: str, k: Column, size: Column, position: Column, kind: str) -> Column:
@@ -155,8 +165,8 @@ LAYOUT = ("well_number", "investigator_id", "experiment_type_id", "well_type_ids
 
 def write_layouts(layouts: DataFrame, path: str) -> None:
     """Rows (video_stem and the metadata table's columns) as one CSV a video; blank wells have empty fields."""
-    rows = layouts.select("video_stem", *LAYOUT).repartition("video_stem").sortWithinPartitions("video_stem", "well_number")
-    rows.write.mode("overwrite").partitionBy("video_stem").csv(path, header=True)
+    rows = layouts.select("video_stem", *LAYOUT).repartition(_writers(layouts), "video_stem").sortWithinPartitions("video_stem", "well_number")
+    rows.write.mode("overwrite").partitionBy("video_stem").options(**BY_TASKS).csv(path, header=True)
 
 
 def read_layouts(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ethoflow import schemas
-from ethoflow.sources import arrays, files
+from ethoflow.sources import arrays, files, saved
 from ethoflow.streaming import frames as live
 
 
@@ -51,3 +51,17 @@ def test_live_bouts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.label, r.n_frames) for r in spark.table("bouts_out").collect()) == [(0, 2), (1, 3)]
+
+
+def test_many_files_are_written_by_many_tasks(spark, tmp_path):
+    """A file for each fit and video, although the rows come in one partition."""
+    fits = spark.range(0, 24, 1, 1).select(F.array(F.array(F.lit(1.0)), F.array(F.lit(2.0))).alias("centroids"), F.lit(10.0).alias("reduction_percent"), F.col("id").cast("double").alias("cut_position_percent"))
+    saved.write_fits(fits, str(tmp_path / "fits"))
+    got = sorted((tmp_path / "fits").glob("*/*/*.json"))
+    assert len(got) == 24 and len({p.name[:10] for p in got}) > 4
+    assert sorted(r.cut_position_percent for r in files.fits(spark, str(tmp_path / "fits")).collect()) == [float(i) for i in range(24)]
+    wells = spark.range(0, 48, 1, 1).select(F.concat(F.lit("v"), F.expr("id div 2").cast("string")).alias("video_stem"), (F.col("id") % 2).cast("int").alias("well_number"), *(F.lit(1).alias(c) for c in saved.LAYOUT[1:]))
+    saved.write_layouts(wells, str(tmp_path / "layouts"))
+    got = sorted((tmp_path / "layouts").glob("*/*.csv"))
+    assert len(got) == 24 and len({p.name[:10] for p in got}) > 4
+    assert saved.read_layouts(spark, str(tmp_path / "layouts")).count() == 48
