@@ -410,6 +410,40 @@ def test_equal_passages_behind_edited_first_documents(spark):
             assert any(s.first <= 30 and s.last >= 79 for s in got[j].spans)
 
 
+def test_edited_passages_behind_first_documents_that_match_neither(spark):
+    """Two edited forms of sixty words; earlier documents hold the parts of them, each too short to match."""
+    texts, last = [], []
+    for trial in range(12):
+        passage = words_of(60, 1300 + trial, 100_000)
+        for k, part in enumerate((passage[:40], passage[20:])):
+            texts.append(words_of(60, 16_000 + 10 * trial + k, 100_000) + part + words_of(60, 17_000 + 10 * trial + k, 100_000))
+        last.append(len(texts))
+        for k in (0, 1):
+            own = passage[:]
+            own[30] = f"edit{k}"
+            texts.append(words_of(30, 18_000 + 2 * trial + k, 100_000) + own + words_of(40, 19_000 + 2 * trial + k, 100_000))
+    got = {r.doc_id: r for r in substring_dedup.passages(docs(spark, [" ".join(t) for t in texts])).collect()}
+    assert sum(got[i].class_id == got[i + 1].class_id == i for i in last) == 12
+    for i in last:
+        assert got[i - 1].class_id == i - 1 and got[i].n_links == got[i + 1].n_links == 1
+        assert any(s.first <= 31 and s.last >= 88 for s in got[i].spans) and any(s.first <= 31 and s.last >= 88 for s in got[i + 1].spans)
+
+
+def test_anchor_pairs_of_matching_ranges():
+    """Two texts with 46 common shingles but for one changed word share a pair of anchors, wherever the word is."""
+    for k in range(50):
+        passage = words_of(50, 600 + k, 100_000)
+        keys = []
+        for side in (0, 1):
+            own = passage[:]
+            own[k] = f"edit{side}"
+            s = substring_dedup.shingles_of(" ".join(words_of(30, 800 + 2 * k + side, 100_000) + own + words_of(30, 900 + 2 * k + side, 100_000)))
+            pairs, first, last = substring_dedup.anchor_pairs(s, np.ones(len(s), dtype=bool))
+            assert ((last - first >= substring_dedup.APART[0]) & (last - first <= substring_dedup.APART[1])).all()
+            keys.append(set(pairs.tolist()))
+        assert keys[0] & keys[1]
+
+
 # 6. Quality
 
 
