@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ethoflow.functions.text import compact, is_gradient, joined_label, parsed_date, wells
-from ethoflow.operators.metadata import candidate_keys, matched_videos
+from ethoflow.operators.metadata import matched_videos, with_candidates
 
 #: Parts of a sheet's headings (in lower case) and the field each stands for; the first column that fits counts.
 HEADINGS = (
@@ -92,7 +92,7 @@ CARRIED = ("female_identifier", "background_strain", "female_tank", "target_gene
 
 def build_plan(videos: DataFrame, plates: DataFrame) -> DataFrame:
     """One row a video (column filename) with its plate's fields, ready for review; without a plate, notes name the candidates."""
-    found = matched_videos(videos, plates).join(candidate_keys(videos, plates), "filename")
+    found = with_candidates(matched_videos(videos, plates), plates, F.col("key").isNull())
     rows = found.join(with_derived(plates), "key", "left")
     known = F.col("key").isNotNull()
     choose = F.concat(F.lit("NEEDS MANUAL MATCH"), F.when(F.size("keys") > 0, F.concat(F.lit("; candidates: "), F.array_join("keys", ", "))).otherwise(""))

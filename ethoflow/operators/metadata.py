@@ -37,14 +37,24 @@ def matched_videos(videos: DataFrame, plates: DataFrame) -> DataFrame:
 
 def candidate_keys(videos: DataFrame, plates: DataFrame) -> DataFrame:
     """Rows (filename, keys): the plates that any tier leads to, sorted; what to choose from where no tier decides."""
-    names = plates.select("key", F.explode("videos").alias("v")).where("v is not null")
-    found = None
-    for _, key in TIERS:
-        v, p = videos.select("filename", key(F.col("filename")).alias("k")), names.select("key", key(F.col("v")).alias("k"))
-        hits = v.where("k is not null").join(p, "k").select("filename", "key")
-        found = hits if found is None else found.unionAll(hits)
-    keys = found.groupBy("filename").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    return videos.select("filename").distinct().join(keys, "filename", "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<string>")))
+    return with_candidates(videos.select("filename").distinct(), plates, F.lit(True))
+
+
+def with_candidates(rows: DataFrame, plates: DataFrame, wanted: Column) -> DataFrame:
+    """Adds the sorted ``keys`` of the plates that any tier leads to, none where they are not wanted.
+
+    Plates are listed once for each name, so videos and plates of one name never meet pair by pair; where nothing reads
+    ``keys``, Spark leaves the joins out.
+    """
+    names, columns = plates.select("key", F.explode("videos").alias("v")).where("v is not null"), rows.columns
+    for name, key in TIERS:
+        at, keys = f"__{name}", f"__{name}_keys"
+        lists = names.select("key", key(F.col("v")).alias(at)).where(F.col(at).isNotNull()).groupBy(at).agg(F.collect_set("key").alias(keys))
+        # Rows without a name get one that no plate has, each its own, so that they do not meet in one task.
+        rows = rows.withColumn(at, F.coalesce(F.when(wanted, key(F.col("filename"))), F.concat(F.lit("#"), F.col("filename")))).join(lists, at, "left")
+    none = F.array().cast("array<string>")
+    keys = F.array_sort(F.array_distinct(F.concat(*(F.coalesce(f"__{name}_keys", none) for name, _ in TIERS))))
+    return rows.select(*columns, keys.alias("keys"))
 
 
 def get_or_create(table: DataFrame, wanted: DataFrame, keys: Sequence[str], id_col: str) -> tuple[DataFrame, DataFrame]:

@@ -31,8 +31,8 @@ READY = f"""{MATCHED}, ready as (
 @query(f"""with {READY} select video_stem, tadpole_group_id::int as tadpole_group_id, investigator_id::int as investigator_id, n_occupied::bigint as n_wells,
   (select max(tadpole_group_id) from entities)::bigint as n_groups, (select count(distinct mother) from entities)::bigint as n_frogs from entities""")
 def committed_plan(spark, d):
-    """Mothers, groups and people of a plan; the second commit of the same plan finds all of them."""
-    store, plan = _store(spark), kept(ingest.build_plan(*_plates(spark, d)), "plan")
+    """Mothers, groups and people of a plan; the second commit of the same plan finds all of them. A commit reads no notes."""
+    store, plan = _store(spark), kept(ingest.build_plan(*_plates(spark, d)).drop("notes"), "plan")
     ingested.commit_plan(store, plan)
     ingested.commit_plan(store, plan)
     rows = store.read("plate_layout").groupBy("video_stem").agg(F.max("tadpole_type_ids").alias("tadpole_group_id"), F.max("investigator_id").alias("investigator_id"), F.count("tadpole_type_ids").alias("n_wells"))
@@ -47,7 +47,7 @@ select filename, count(distinct well) as n_trials, count(*) as n_frames, round(s
 def ingested_videos(spark, d):
     """Two batches, of which the second replaces half of the first one's videos; a third one never commits."""
     store = _store(spark)
-    plan = kept(ingest.build_plan(*_plates(spark, d)), "plan")
+    plan = kept(ingest.build_plan(*_plates(spark, d)).drop("notes"), "plan")
     layout = ingested.commit_plan(store, plan)
     ready = ingest.plan_status(plan).where("plan_status = 'ready'").select(F.col("video_path").alias("filename"), "video_stem")
     videos = ready.select("filename", F.lit(1).alias("series_id"), F.lit(50.0).alias("fps"), F.lit(6.0).alias("pix2mm"))

@@ -363,6 +363,20 @@ def test_matching_tiers(spark):
     assert keys == {"x_777888888": ["p6", "p7"], "none": []}
 
 
+def test_candidates_are_listed_once_for_a_name(spark):
+    """Plates and videos of one name do not meet pair by pair, and a plan without notes looks for no candidates."""
+    from ethoflow.operators import ingest
+
+    plates = spark.createDataFrame([(f"p{i}", [f"cam_001{i:06d}"], *[""] * 15) for i in range(40)], "key string, videos array<string>, " + ", ".join(
+        f"{n} string" for n in ("initials", "fert_date_raw", "female_tank", "female_identifier", "background_strain", "target_gene", "cas9", "sgrna", "seq_folder", "exp_date_raw", "stage", "control_arenas", "test_arenas", "drug_dose", "notes")))
+    videos = spark.createDataFrame([(f"cam_001{i + 500:06d}.mp4",) for i in range(30)] + [("cam_001000003.mp4",)], "filename string")
+    plan = ingest.build_plan(videos, plates)
+    got = {r.video_path: (r.row_key, r.notes) for r in plan.collect()}
+    assert got["cam_001000003.mp4"] == ("p3", "") and len(got) == 31
+    assert got["cam_001000500.mp4"] == ("", "NEEDS MANUAL MATCH; candidates: " + ", ".join(sorted(f"p{i}" for i in range(40))))
+    assert "collect_set" not in plan.drop("notes")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_get_or_create_twice(spark):
     table = spark.createDataFrame([(7, "a", None)], "id int, k string, m string")
     wanted = spark.createDataFrame([("a", None), ("b", "x"), ("b", "x"), (None, None)], "k string, m string")
