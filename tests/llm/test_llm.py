@@ -444,6 +444,35 @@ def test_anchor_pairs_of_matching_ranges():
         assert keys[0] & keys[1]
 
 
+def test_only_shared_anchors_are_paired():
+    """Pairs of anchors that no other text holds are not dealt out; of the shared ones none is lost."""
+    passage = words_of(60, 610, 100_000)
+    made, all_pairs = [], []
+    for side in (0, 1):
+        s = substring_dedup.shingles_of(" ".join(words_of(200, 620 + side, 100_000) + passage + words_of(200, 630 + side, 100_000)))
+        keys, at, marked = substring_dedup.anchors_near(s, np.array([225], dtype=np.uint32).tobytes())
+        made.append((s, keys, at, marked))
+        all_pairs.append(substring_dedup.anchor_pairs(s, marked)[0])
+    left = [substring_dedup.anchor_pairs(s, marked, at[np.isin(keys, made[1 - k][1])])[0] for k, (s, keys, at, marked) in enumerate(made)]
+    shared = np.intersect1d(*all_pairs)
+    assert len(shared) and all(np.isin(shared, x).all() for x in left)
+    assert all(len(x) < len(y) / 3 for x, y in zip(left, all_pairs))
+
+
+def test_windows_of_many_texts_at_once():
+    texts = [" ".join(words_of(n, 640 + n, 300)) for n in (3, 50, 61, 400, 0, 120)] + [None, "a " * 90]
+    for text, got in zip(texts, substring_dedup._windows(texts)):
+        s = substring_dedup.shingles_of(text)
+        if len(s) < substring_dedup.WIDTH:
+            assert got is None
+            continue
+        orders, left, centres, right = substring_dedup.compact_windows(substring_dedup.ordered(s, substring_dedup._ALL))
+        inner = (centres >= substring_dedup.CONTEXT) & (centres < len(s) - substring_dedup.CONTEXT)
+        assert all(np.array_equal(x, y[inner]) for x, y in zip(got[1:5], (orders, left, centres, right))) and np.array_equal(got[5], s)
+        alone = substring_dedup._windows([text])[0]
+        assert np.array_equal(got[0], alone[0])
+
+
 # 6. Quality
 
 
