@@ -13,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from ethoflow.llm import _arrays, automaton, bpe, components, decontaminate, feistel, line_dedup, ngram_lm, quality_crf, queries, simhash, substring_dedup, topk_bsi, url_filter
+from ethoflow.llm import _arrays, _common, automaton, bpe, components, decontaminate, feistel, line_dedup, ngram_lm, quality_crf, queries, simhash, substring_dedup, topk_bsi, url_filter
 from ethoflow.llm._common import OWN, Scratch, crc_of_id
 
 LONG = " ".join(f"w{i}" for i in range(30_000))
@@ -459,6 +459,21 @@ def test_only_shared_anchors_are_paired():
     assert all(len(x) < len(y) / 3 for x, y in zip(left, all_pairs))
 
 
+def test_shuffle_files_go_with_their_job(spark):
+    import time
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    before, had = spark.conf.get(key, "false"), files()
+    with _common.shuffles_freed(spark):
+        _common.Scratch(spark, "freed").keep(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count().repartition(7, "k"), "rows")
+        end = time.time() + 20
+        while files() > had and time.time() < end:
+            time.sleep(0.2)
+        assert files() <= had
+    assert spark.conf.get(key, "false") == before
+
+
 def test_windows_of_many_texts_at_once():
     texts = [" ".join(words_of(n, 640 + n, 300)) for n in (3, 50, 61, 400, 0, 120)] + [None, "a " * 90]
     for text, got in zip(texts, substring_dedup._windows(texts)):
