@@ -62,6 +62,21 @@ HISTOGRAM_RANGES = {
 CHANNELS = tuple(HISTOGRAM_RANGES)
 
 
+#: Frames of a task of the operators that sort by runs: they hold a frame once for each sort, some 2 KB in all for a whole summary.
+TASK_FRAMES = 1 << 17
+
+
+def dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows by their recordings, in so many tasks that each gets some TASK_FRAMES, or one recording.
+
+    An exchange without a number of tasks would be merged by its bytes, which are few for narrow frames, so that a task's
+    rows and the memory of its sorts would grow with the table.
+    """
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, -(-df.count() // TASK_FRAMES))
+    return df.repartition(tasks, *keys)
+
+
 def measured(x: Column) -> Column:
     """Whether a value is a finite number; never null."""
     return F.coalesce(~F.isnan(x) & (F.abs(x) < math.inf), F.lit(False))
@@ -239,7 +254,7 @@ def mobility_aggregates(limits: Limits) -> list[Column]:
 
 def mobility(df: DataFrame, limits: Limits = Limits(), keys: Sequence[str] = ("trial_id",), value: str = "speed") -> DataFrame:
     """Mobile and immobile time; pauses shorter than ``immobile_ms`` count as mobile."""
-    return with_mobility(df, limits, keys, value).groupBy(*keys).agg(*mobility_aggregates(limits))
+    return with_mobility(dealt(df, keys), limits, keys, value).groupBy(*keys).agg(*mobility_aggregates(limits))
 
 
 def with_darting(df: DataFrame, limits: Limits, keys: Sequence[str], value: str) -> DataFrame:
@@ -281,7 +296,7 @@ def darting_aggregates(limits: Limits) -> list[Column]:
 
 def darting(df: DataFrame, limits: Limits = Limits(), keys: Sequence[str] = ("trial_id",), value: str = "abs_translational") -> DataFrame:
     """Episodes of bursts that follow each other closely with a saccade between; ``bursts`` counts all of them."""
-    return with_darting(df, limits, keys, value).groupBy(*keys).agg(*darting_aggregates(limits))
+    return with_darting(dealt(df, keys), limits, keys, value).groupBy(*keys).agg(*darting_aggregates(limits))
 
 
 def with_circling(df: DataFrame, limits: Limits, keys: Sequence[str], value: str) -> DataFrame:
@@ -311,12 +326,12 @@ def circling_aggregates(limits: Limits) -> list[Column]:
 
 def circling(df: DataFrame, limits: Limits = Limits(), keys: Sequence[str] = ("trial_id",), value: str = "abs_translational") -> DataFrame:
     """Bouts, time and share of circling; needs cx, cy, radius."""
-    return with_circling(df, limits, keys, value).groupBy(*keys).agg(*circling_aggregates(limits))
+    return with_circling(dealt(df, keys), limits, keys, value).groupBy(*keys).agg(*circling_aggregates(limits))
 
 
 def animal_summary(df: DataFrame, limits: Limits = Limits(), keys: Sequence[str] = ("trial_id",)) -> DataFrame:
     """One row an animal with all metrics: one shuffle by the keys, then windows and one aggregate in place."""
-    df = with_well(with_channels(df, limits, keys), keys, limits.well_radius).withColumn("__step", path_step(keys))
+    df = with_well(with_channels(dealt(df, keys), limits, keys), keys, limits.well_radius).withColumn("__step", path_step(keys))
     df = with_zone(with_sharp_turns(df, limits, keys), limits, keys)
     df = with_mobility(df, limits, keys, "speed")
     df = with_darting(df, limits, keys, "abs_translational")

@@ -435,3 +435,19 @@ def test_equal_circles_are_decided(spark):
         kept = prototypes.closest_radii(df, ("plate",), 24, ties=("i",))
         got = prototypes.grid_order(kept, ("plate",), ties=("i",))
         assert sorted(col(got, "i", "well_number")) == [(i, i + 1) for i in range(24)]
+
+
+def test_a_summary_deals_its_frames_to_enough_tasks(spark, monkeypatch):
+    """A task's frames don't grow with the table: so many tasks that each has TASK_FRAMES of them or so, however few bytes they have."""
+    rows = spark.range(4000).select(
+        (F.col("id") % 200).alias("trial_id"), F.floor(F.col("id") / 200).alias("frame_number"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 5).cast("double").alias("y"),
+        (F.col("id") % 11).cast("double").alias("thrust_mm_s"), (F.col("id") % 3).cast("double").alias("slip_mm_s"), (F.col("id") % 13 - 6).cast("double").alias("yaw_rad_s"),
+    )
+    whole = {r.trial_id: r for r in kinematics.animal_summary(rows).collect()}
+    monkeypatch.setattr(kinematics, "TASK_FRAMES", 100, raising=False)
+    for made in (kinematics.animal_summary, kinematics.mobility, kinematics.darting):
+        value = {} if made is kinematics.animal_summary else {"value": "thrust_mm_s"}
+        got = made(rows, **value).withColumn("task", F.spark_partition_id()).collect()
+        assert len(got) == 200 and len({r.task for r in got}) >= 30
+        if not value:
+            assert all(r.asDict() == whole[r.trial_id].asDict() | {"task": r.task} for r in got)
