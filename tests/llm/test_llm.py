@@ -459,6 +459,15 @@ def test_only_shared_anchors_are_paired():
     assert all(len(x) < len(y) / 3 for x, y in zip(left, all_pairs))
 
 
+def test_verification_in_parts_is_whole(spark):
+    passage = words_of(60, 650)
+    texts = [" ".join(words_of(20, 660 + i, 100_000) + passage) for i in range(6)]
+    pairs = spark.createDataFrame([(i, j, texts[i], [0, 0, 1000]) for i in range(6) for j in range(i)], "a long, b long, text_a string, offsets array<int>")
+    rows = docs(spark, texts).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    got = substring_dedup.verified_in_parts(pairs, rows, 3000, Scratch(spark, "parts"))
+    assert len(got.inputFiles()) and sorted((r.a, r.b) for r in got.collect()) == [(i, j) for i in range(6) for j in range(i)]
+
+
 def test_shuffle_files_go_with_their_job(spark):
     import time
 
