@@ -468,6 +468,67 @@ def test_verification_in_parts_is_whole(spark):
     assert len(got.inputFiles()) and sorted((r.a, r.b) for r in got.collect()) == [(i, j) for i in range(6) for j in range(i)]
 
 
+def plain_cuts(a, b):
+    """Runs of first places of common shingles, cut at the widest gap one by one; every count is taken from the texts."""
+    first_a, first_b = ({x: k for k, x in reversed(list(enumerate(t)))} for t in (a, b))
+    places, out = sorted((first_a[x], first_b[x]) for x in first_a if x in first_b), set()
+    todo = [places] if places else []
+    while todo:
+        run = todo.pop()
+        gaps = [max(y[0] - x[0], y[1] - x[1] if y[1] > x[1] else 1 << 40) for x, y in zip(run, run[1:])]
+        if gaps and max(gaps) > substring_dedup.GAP:
+            cut = gaps.index(max(gaps)) + 1
+            todo += [run[:cut], run[cut:]]
+            continue
+        in_a, in_b = a[run[0][0] : run[-1][0] + 1], b[run[0][1] : run[-1][1] + 1]
+        n, many = len(run), len(set(in_a)) + len(set(in_b))
+        if n >= substring_dedup.SIMILARITY * (many - n) and min(len(in_a), len(in_b)) >= substring_dedup.WIDTH - 1 and max(len(in_a), len(in_b)) >= substring_dedup.WIDTH:
+            out.add((run[0][0], run[-1][0], run[0][1], run[-1][1]))
+        elif gaps and max(gaps) > 1:
+            cut = gaps.index(max(gaps)) + 1
+            todo += [run[:cut], run[cut:]]
+    return sorted(out)
+
+
+def test_texts_given_up_early_match_nowhere():
+    """The bounds by which pairs are given up lose no range, in texts with and without repeats."""
+    rng, found = np.random.default_rng(11), 0
+    for _ in range(400):
+        a = rng.integers(0, rng.integers(20, 2000), rng.integers(46, 160))
+        b = a[rng.integers(0, 12) :].copy()
+        b[rng.integers(0, len(b), rng.integers(0, 16))] = rng.integers(5000, 5100)
+        a, b = np.concatenate([a, a[: rng.integers(1, 40)]]).astype(np.uint64), np.concatenate([rng.integers(3000, 4000, rng.integers(1, 40)), b]).astype(np.uint64)
+        x, y = substring_dedup._Text(a), substring_dedup._Text(b)
+        for t in (x, y):
+            spans = [len(set(t.shingles[k : k + substring_dedup.WIDTH - 1].tolist())) for k in range(len(t.shingles) - substring_dedup.WIDTH + 2)]
+            assert t.least <= min(spans, default=substring_dedup.WIDTH - 1)
+        got = substring_dedup._matched(x, y, [])
+        assert got == plain_cuts(a.tolist(), b.tolist())
+        found += bool(got)
+    assert 50 < found < 390
+
+
+def test_pairs_are_verified_without_texts(spark):
+    """Pairs carry the places of shingles in files; a worker that holds two texts only finds the same."""
+    passage = words_of(60, 670)
+    texts = [" ".join(words_of(20, 680 + i, 100_000) + passage) for i in range(12)] + [" ".join(words_of(90, 700, 100_000))]
+    root = f"{Scratch(spark, 'placed').root}/shingles"
+    places = substring_dedup.placed(docs(spark, texts).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), root).cache()
+    files = _arrays.AppendedFiles(root)
+    for r in places.collect():
+        assert files.read(r.file, r["at"], r.n).tolist() == substring_dedup.shingles_of(texts[r.doc_id]).tolist()
+    pairs = places.withColumnRenamed("doc_id", "a").crossJoin(places.select(F.col("doc_id").alias("b"))).where("a > b").withColumn("offsets", F.expr("array(0, 0, 1000)"))
+    found = substring_dedup.verified(pairs, places, root)
+    assert "text" not in "".join(pairs.columns)
+    assert sorted((r.a, r.b) for r in found.collect()) == [(i, j) for i in range(12) for j in range(i)]
+    places.unpersist()
+    held = substring_dedup._Texts(root)
+    held._held["other"] = substring_dedup._Text(np.zeros(1, dtype=np.uint64))
+    held._size = 1 << 40
+    r = places.first()
+    assert held.get(r.file, r["at"], r.n) is held.get(r.file, r["at"], r.n)
+
+
 def test_shuffle_files_go_with_their_job(spark):
     import time
 
