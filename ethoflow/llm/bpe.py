@@ -307,8 +307,10 @@ class Tokenizer:
         self._held = 0
 
     @cached_property
-    def _words(self) -> list[bytes | None]:
-        return words_by_rank(self._ranks)
+    def _words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The token of each rank, and whether there is one."""
+        words = np.array([*words_by_rank(self._ranks), None], dtype=object)[:-1]
+        return words, np.array([w is not None for w in words], dtype=bool)
 
     @cached_property
     def transducer(self) -> Transducer:
@@ -349,18 +351,17 @@ class Tokenizer:
 
     def decode_stream(self, ids: Iterable[int], block: int = 4096) -> Iterator[str]:
         """Pieces of text, each as soon as its bytes are complete."""
-        stream, words, ids = Utf8Stream(), self._words, iter(ids)
-        while some := list(islice(ids, block)):
-            if not 0 <= min(some) <= max(some) < len(words):
+        stream, (words, there) = Utf8Stream(), self._words
+        rest = iter(()) if isinstance(ids, np.ndarray) else iter(ids)
+        blocks = (ids[at : at + block] for at in range(0, len(ids), block)) if isinstance(ids, np.ndarray) else iter(lambda: list(islice(rest, block)), [])
+        for some in map(np.asarray, blocks):
+            if some.min() < 0 or some.max() >= len(words) or not there[some].all():
                 raise KeyError("an id outside the vocabulary")
-            found = [words[i] for i in some]
-            if None in found:
-                raise KeyError("an id outside the vocabulary")
-            yield stream.feed(b"".join(found))
+            yield stream.feed(b"".join(words[some].tolist()))
         yield stream.end()
 
     def decode(self, packed: bytes | None) -> str:
-        return "".join(self.decode_stream(np.frombuffer(packed or b"", dtype="<u4").tolist()))
+        return "".join(self.decode_stream(np.frombuffer(packed or b"", dtype="<u4")))
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -301,6 +301,20 @@ def brute_windows(ranks, width):
     return out
 
 
+def test_packed_ids_are_decoded_as_arrays():
+    """Packed ids become text without a Python number for each; gaps and ends of the vocabulary raise as for single ids."""
+    tok = bpe.Tokenizer({b"a": 0, b"b": 1, "é".encode()[:1]: 2, "é".encode()[1:]: 3, b"ab": 7}, r"(?s:.+)")
+    ids = np.array([7, 2, 3, 1] * 3000, dtype="<u4")
+    assert "".join(tok.decode_stream(ids)) == tok.decode(ids.tobytes()) == "".join(tok.decode_stream(iter(ids.tolist()))) == "abéb" * 3000
+    for bad in ([5], [8], [1 << 31]):
+        with pytest.raises(KeyError):
+            tok.decode(np.array(bad, dtype="<u4").tobytes())
+    for bad in ([-1], [1 << 70], [5]):
+        with pytest.raises(KeyError):
+            list(tok.decode_stream(bad))
+    assert isinstance(tok._words[0], np.ndarray) and tok.decode(None) == ""
+
+
 def test_compact_windows():
     rng = np.random.default_rng(0)
     for n in (0, 3, 7, 8, 50, 400):
