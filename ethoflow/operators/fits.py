@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ethoflow.functions.numeric import all_real
-from ethoflow.operators.ranges import kept
+from ethoflow.operators.ranges import FILE_ROWS, kept
 
 #: Centroids that a task compares its rows with at a time.
 WIDE = 4096
@@ -41,7 +41,7 @@ def _left(runs: Sequence[Run], n: int) -> list[tuple[int, int]]:
 
 def matrix_rows(df: DataFrame, columns: Sequence[str], index: str) -> DataFrame:
     """Rows (i, x) with finite features, written once for all passes."""
-    return kept(df.where(all_real(columns)).select(F.col(index).cast("long").alias("i"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x")), "features")
+    return kept(df.where(all_real(columns)).select(F.col(index).cast("long").alias("i"), F.array(*(F.col(c).cast("double") for c in columns)).alias("x")), "features", FILE_ROWS)
 
 
 def totals(rows: DataFrame, runs: Sequence[Run], n: int) -> list[tuple[np.ndarray, np.ndarray, float, float]]:

@@ -13,15 +13,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ethoflow.session import scratch_path
+from ethoflow.session import scratch_path, shuffles_freed
 
 RANGE, AT = "__range", "__at"
+#: Rows of a file of a table that many passes compute on, so that every core gets some.
+FILE_ROWS = 4096
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """The rows, written to the shared folder and read from there."""
+def kept(df: DataFrame, label: str, file_rows: int = 0) -> DataFrame:
+    """The rows, written to the shared folder and read from there; file_rows: rows of a file at most, 0 for any number."""
     at = f"{scratch_path(df.sparkSession, label)}/rows"
-    df.write.parquet(at)
+    with shuffles_freed(df.sparkSession):
+        df.write.option("maxRecordsPerFile", file_rows).parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

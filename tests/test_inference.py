@@ -193,6 +193,30 @@ def test_whole_silhouettes_meet_all_pairs(spark):
     assert sorted((r.repeat, r.label, r.n) for r in every) == [(r, c, int((labels[0] == c).sum())) for r in (0, 1) for c in range(3)]
 
 
+def _shuffled(spark):
+    """Records written to shuffles so far."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_silhouettes_do_not_send_the_rows_to_every_tile(spark):
+    """Thirty strips: rows are not sent to each of them, and two clusterings of the same rows meet their pairs once; some rows are in one of them only."""
+    rng = np.random.default_rng(5)
+    x, labels = rng.normal(size=(600, 3)), np.stack([np.arange(600) % 3, np.where(np.arange(600) % 7 == 0, -1, np.arange(600) % 4)], 1)
+    df = spark.createDataFrame([(c.tolist(), r.tolist()) for c, r in zip(labels, x)], "labels array<int>, x array<double>").repartition(5)
+    single, before = df.select(F.col("labels")[0].alias("label"), "x"), _shuffled(spark)
+    one = {(0, r.label): (r.n, r.silhouette) for r in cluster.whole_silhouettes(single, tile=20).collect()}
+    assert _shuffled(spark) - before < 6000  # a task sends each row's sums once
+    both = {(r.clustering, r.label): (r.n, r.silhouette) for r in cluster.whole_silhouettes_of(df, tile=20).collect()}
+    for f in (0, 1):
+        there = labels[:, f] >= 0
+        s, own = cluster.silhouette_of(x[there], labels[there, f]), labels[there, f]
+        want = {(f, c): (int((own == c).sum()), pytest.approx(s[own == c].mean())) for c in range(own.max() + 1)}
+        assert {k: v for k, v in both.items() if k[0] == f} == want
+        assert f or one == want
+
+
 def _held(run):
     import tracemalloc
 
