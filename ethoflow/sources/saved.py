@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ethoflow.sources import video_files
+
 
 def _in_file_order(df: DataFrame, out: str) -> DataFrame:
     """Numbers the rows of one small file from 0."""
@@ -166,11 +168,18 @@ LAYOUT = ("well_number", "investigator_id", "experiment_type_id", "well_type_ids
 def write_layouts(layouts: DataFrame, path: str) -> None:
     """Rows (video_stem and the metadata table's columns) as one CSV a video; blank wells have empty fields."""
     rows = layouts.select("video_stem", *LAYOUT).repartition(_writers(layouts), "video_stem").sortWithinPartitions("video_stem", "well_number")
-    rows.write.mode("overwrite").partitionBy("video_stem").options(**BY_TASKS).csv(path, header=True)
+    if at := video_files.mounted(path):
+        video_files.write(rows.select("video_stem", F.to_csv(F.struct(*LAYOUT)).alias("line")), at, ",".join(LAYOUT))
+    else:  # Spark's writer and reader keep the files' names on the driver
+        rows.write.mode("overwrite").partitionBy("video_stem").options(**BY_TASKS).csv(path, header=True)
 
 
 def read_layouts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=", ".join(f"{c} int" for c in LAYOUT) + ", video_stem string")
+    schema = ", ".join(f"{c} int" for c in LAYOUT)
+    if at := video_files.mounted(path):
+        lines = video_files.read(spark, at, 4 * spark.sparkContext.defaultParallelism)
+        return lines.select(F.from_csv("line", schema).alias("r"), "video_stem").select("r.*", "video_stem")
+    return spark.read.csv(path, header=True, schema=f"{schema}, video_stem string")
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:

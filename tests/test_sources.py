@@ -65,3 +65,21 @@ def test_many_files_are_written_by_many_tasks(spark, tmp_path):
     got = sorted((tmp_path / "layouts").glob("*/*.csv"))
     assert len(got) == 24 and len({p.name[:10] for p in got}) > 4
     assert saved.read_layouts(spark, str(tmp_path / "layouts")).count() == 48
+
+
+def test_the_driver_lists_no_layout_files(spark, tmp_path):
+    """Tasks list and read the files; folders, names and fields are those that Spark's own writer and reader have."""
+    stems = ["v1", "a b", "x=1%", "c:d", "e/f", "Stra\u00dfe", "{z}[0]^", "q'\"", "w\\n?*#", "", None]
+    rows = [(stem, w, 3, 2, 1 if w else None, None) for stem in stems for w in (1, 0)]
+    df = spark.createDataFrame(rows, "video_stem string, " + ", ".join(f"{c} int" for c in saved.LAYOUT))
+    ours, theirs = str(tmp_path / "ours"), str(tmp_path / "theirs")
+    saved.write_layouts(df, ours)
+    df.sortWithinPartitions("video_stem", "well_number").write.partitionBy("video_stem").csv(theirs, header=True)
+    assert sorted(p.name for p in (tmp_path / "ours").iterdir() if p.is_dir()) == sorted(p.name for p in (tmp_path / "theirs").iterdir() if p.is_dir())
+    want = sorted(map(str, ((stem or None, *r) for stem, *r in rows)))
+    kind = ", ".join(f"{c} int" for c in saved.LAYOUT) + ", video_stem string"
+    got = [saved.read_layouts(spark, ours), saved.read_layouts(spark, "file://" + theirs), spark.read.csv(ours, header=True, schema=kind)]
+    assert [sorted(map(str, map(tuple, g.select("video_stem", *saved.LAYOUT).collect()))) for g in got] == [want] * 3
+    assert got[0].inputFiles() == [] and (tmp_path / "ours" / "_SUCCESS").exists()
+    saved.write_layouts(df.where("video_stem = 'v1'"), ours)
+    assert saved.read_layouts(spark, ours).count() == 2
