@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ethoflow.llm._common import small_batches
+from ethoflow.llm._common import held, small_batches
 
 #: States of a worker's machine, about 400 bytes each with their transitions.
 MAX_STATES = 250_000
@@ -370,15 +370,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-_tokenizers: dict[str, Tokenizer] = {}
-
-
 def _tokenizer(key: str, ranks: dict[bytes, int], pattern: str) -> Tokenizer:
     """One tokenizer, with its states and memo, for each worker process."""
-    if key not in _tokenizers:
-        _tokenizers.clear()
-        _tokenizers[key] = Tokenizer(ranks, pattern)
-    return _tokenizers[key]
+    return held(("bpe", key), lambda: Tokenizer(ranks, pattern))
 
 
 def _mapped(df: DataFrame, source: str, new: list[tuple[T.StructField, pa.DataType]], path: str, pattern: str, how: Callable) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ethoflow.llm._common import OWN, Scratch, free_name, small_batches
+from ethoflow.llm._common import OWN, Scratch, free_name, held, small_batches
 from ethoflow.llm.automaton import Automaton, build
 
 WINDOW = 10
@@ -102,15 +102,9 @@ def placed(text: str | None, first: np.ndarray, end: np.ndarray) -> list[tuple[i
     return merged([(a, b - 1, int(chars[edges[a, 0]]), int(chars[edges[b - 1, 1]])) for a, b in ranges])
 
 
-_scanners: dict[str, Scanner] = {}
-
-
 def _scanner(root: str) -> Scanner:
     """One mapped automaton for each worker process."""
-    if root not in _scanners:
-        _scanners.clear()
-        _scanners[root] = Scanner(root)
-    return _scanners[root]
+    return held(("decontaminate", root), lambda: Scanner(root))
 
 
 def merged(spans: list[tuple]) -> list[tuple]:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ethoflow.llm._common import OWN, small_batches
+from ethoflow.llm._common import OWN, let_go, small_batches
 
 MAX_TRAIN_DOCS = 4000
 MAX_TRAIN_LINES = 150_000
@@ -311,6 +311,7 @@ def train(
     rows = rows.join(F.broadcast(chosen), ["id", "version"]).dropDuplicates(["id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             found = [line_features(t) for t in batch.column(1).to_pylist()]
             columns = [batch.column(0), batch.column(2), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())]
@@ -329,6 +330,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = OWN
     names, at = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             got = model.scores(batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], names=[*names, out])

@@ -165,6 +165,26 @@ def tokenizers():
     return bpe.Tokenizer(ranks, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), path, P.PATTERN
 
 
+def test_a_worker_keeps_the_tables_of_one_operator(tokenizers, tmp_path):
+    """The automaton and the tokenizer are not held together."""
+    import gc
+    import weakref
+
+    def gone(ref):
+        gc.collect()
+        return ref() is None
+
+    automaton.build(f"file://{tmp_path}/a", [(1, b"a b c d e f g h i j k l m n".split())], decontaminate.WINDOW)
+    scanner = weakref.ref(decontaminate._scanner(f"file://{tmp_path}/a"))
+    tok = weakref.ref(bpe._tokenizer("k", tokenizers[0]._ranks, tokenizers[3]))
+    assert gone(scanner) and tok() is bpe._tokenizer("k", {}, "")
+    decontaminate._scanner(f"file://{tmp_path}/a")
+    assert gone(tok)
+    tok = weakref.ref(bpe._tokenizer("k", tokenizers[0]._ranks, tokenizers[3]))
+    _common.let_go()
+    assert gone(tok)
+
+
 def test_bpe_equals_the_library(tokenizers):
     own, ref, _, _ = tokenizers
     rng = random.Random(1)
